@@ -6,14 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import chat_collapse, packing, quality, sharding
-from lociflow.llm.common import read
+from lociflow.llm import chat_collapse, langid, packing, quality, sharding, warc
+from lociflow.llm.common import read, shared_dir
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.collapse(read(spark, sf_dir, "conversations"))
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    warc.write(read(spark, sf_dir, "pages"), f"{folder}/warc")
+    return warc.resolve(warc.read(spark, f"{folder}/warc"), folder)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "_language.held_out", "_language.lang_pred", "_language.score", "_language.n_words")
+
+
 def op6_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
@@ -27,6 +38,6 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
+QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
 
 ORACLES: dict[str, str] = {}
