@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import chat_collapse, langid, packing, quality, sharding, warc
+from lociflow.llm import chat_collapse, decontam, langid, packing, quality, sharding, warc
 from lociflow.llm.common import read, shared_dir
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "_language.held_out", "_language.lang_pred", "_language.score", "_language.n_words")
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
@@ -38,6 +42,22 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
+
+ORACLES: dict[str, str] = {
+    "op5_spaced_seeds": """
+        WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+        item AS (SELECT min(item_id) AS item_id, t AS w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark) GROUP BY t HAVING len(t) > 0),
+        d AS (SELECT doc_id, unnest(range(1, len(t) - 9)) AS p, t FROM tok),
+        dp AS (SELECT doc_id, p, 0 AS m, concat_ws(' ', t[p], t[p + 1], t[p + 3], t[p + 6], t[p + 7], t[p + 9], t[p + 10]) AS h FROM d
+            UNION ALL SELECT doc_id, p, 1, concat_ws(' ', t[p], t[p + 2], t[p + 3], t[p + 7], t[p + 11], t[p + 12]) FROM d WHERE p <= len(t) - 12),
+        i AS (SELECT item_id, unnest(range(1, len(w) - 9)) AS q, w FROM item),
+        iq AS (SELECT item_id, q, 0 AS m, concat_ws(' ', w[q], w[q + 1], w[q + 3], w[q + 6], w[q + 7], w[q + 9], w[q + 10]) AS h FROM i
+            UNION ALL SELECT item_id, q, 1, concat_ws(' ', w[q], w[q + 2], w[q + 3], w[q + 7], w[q + 11], w[q + 12]) FROM i WHERE q <= len(w) - 12),
+        hit AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM dp JOIN iq USING (m, h)),
+        laid AS (SELECT doc_id, item_id, len(w) AS item_tokens, list_transform(w, lambda x, j: CASE WHEN j + shift >= 1 AND t[j + shift] = x THEN 1 ELSE 0 END) AS same
+            FROM hit JOIN tok USING (doc_id) JOIN item USING (item_id)),
+        best AS (SELECT *, list_max(list_transform(range(1, item_tokens - least(13, item_tokens) + 2), lambda s: list_sum(same[s:s + least(13, item_tokens) - 1]))) AS b FROM laid)
+        SELECT doc_id, item_id, max(list_sum(same))::BIGINT AS matched, max(item_tokens)::BIGINT AS item_tokens
+        FROM best WHERE b >= ceil(0.8 * least(13, item_tokens)) GROUP BY doc_id, item_id""",
+}
