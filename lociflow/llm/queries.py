@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import chat_collapse, decontam, langid, packing, quality, sharding, warc
+from lociflow.llm import chat_collapse, decontam, langid, packing, pii, quality, sharding, warc
 from lociflow.llm.common import read, shared_dir
 
 
@@ -25,6 +25,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "_language.held_out", "_language.lang_pred", "_language.score", "_language.n_words")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.surrogate(read(spark, sf_dir, "documents"), key="a deployment sets its own secret", counted="n_entities")
+    return found.select("doc_id", "text", "n_entities")
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,7 +47,7 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
+QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards)}
 
 ORACLES: dict[str, str] = {
     "op5_spaced_seeds": """
