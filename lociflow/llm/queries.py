@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import brown, chat_collapse, decontam, langid, packing, pii, quality, sharding, warc
+from lociflow.llm import brown, chat_collapse, decontam, jaccard, langid, packing, pii, quality, sharding, warc
 from lociflow.llm.common import read, shared_dir
 
 
@@ -47,11 +47,15 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
 
 
+def op9_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents"), k=3, percent=90).drop("text_key")
+
+
 def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards, op9_vertical_join, op10_brown_classes)}
 
 ORACLES: dict[str, str] = {
     "op5_spaced_seeds": """
