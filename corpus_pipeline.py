@@ -1,17 +1,67 @@
-"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, surrogates for personal data, packing."""
+"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, surrogates for personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociflow.llm import decontam, jaccard, langid, packing, pii
+from lociflow.llm.common import read, shared_dir, stored
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The secret of the surrogates; a deployment sets its own.
+PII_KEY = "a deployment sets its own secret"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language."""
+    found = langid.identify(docs, TOKENIZER)
+    return found.where(~langid.rejects(F.col("_language"))).drop("_language")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
+    return jaccard.keep_one(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a benchmark overlap."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates."""
+    return pii.surrogate(docs, PII_KEY)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences of powers of two; one row per piece with its ids."""
+    return packing.pack(docs, TOKENIZER)
+
 
-STAGES: list = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
-#: SQL cannot express the language model of the first stage.
+#: SQL cannot express the language model of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each one's result is stored in the shared folder and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    folder = shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)
