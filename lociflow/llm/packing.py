@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.langid import byte_letters
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
 #: Chunks that a worker remembers before it starts anew, and the longest chunk that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+#: A word of ASCII or Latin-1 letters and a run of ASCII signs without the apostrophe, which starts contractions.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Bytes of ids in one batch to the JVM.
 BATCH_BYTES = 4 << 20
 
@@ -31,15 +35,31 @@ def decompose(n: int, limit: int) -> list[int]:
 
 
 class ChunkIds(dict):
-    """Chunk to its ids as little-endian unsigned 32-bit bytes; filled by the tokenizer on demand, of bounded size."""
+    """Chunk to its ids as little-endian unsigned 32-bit bytes; filled on demand, of bounded size.
+
+    A chunk of Latin letters, with or without a run of ASCII signs behind, is by the tokenizer's own rules one word and
+    one run of signs; their lower-cased byte letters go to its BPE model directly. Any other chunk is encoded in full.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letter = {b: c for c, b in byte_letters().items()}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        if (found := self.parts.get(text)) is None:
+            spelled = text if text.isascii() else "".join([self.letter[b] for b in text.encode()])
+            found = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return found
 
     def encode(self, chunk: str) -> bytes:
+        if len(chunk) <= LONGEST and (m := PLAIN(chunk)):
+            word, signs = m.groups()
+            return self.part(word.lower()) + (self.part(signs) if signs else b"")
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
@@ -52,6 +72,8 @@ class ChunkIds(dict):
     def trim(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 4096) -> DataFrame:
