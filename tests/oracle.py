@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def rows_of(frame):
@@ -12,15 +13,16 @@ def rows_of(frame):
 
 
 def _key(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "~"
-    if hasattr(v, "tolist"):
-        return repr(v.tolist())
-    if isinstance(v, float):
-        return repr(float(f"{v:.10g}"))
-    if isinstance(v, bool):
-        return repr(v)
-    return repr(float(f"{float(v):.10g}")) if isinstance(v, int) or type(v).__name__.startswith(("int", "float", "Decimal")) else str(v)
+    if hasattr(v, "tolist") and not hasattr(v, "dtype") or isinstance(v, list):
+        return repr(list(v))
+    if isinstance(v, str):
+        return v
+    try:
+        return repr(float(f"{float(v):.10g}"))
+    except (TypeError, ValueError):
+        return str(v)
 
 
 def same(spark, query, sql, sf):
