@@ -1,9 +1,22 @@
 import pytest
 from oracle import same
 
+import __spark_entry__
 from lociflow.plans import catalog
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
-    same(spark, catalog.QUERIES[name], catalog.ORACLES[name], "/root/testdata/sf0.001")
+    same(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
