@@ -57,7 +57,44 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards, op9_vertical_join, op10_brown_classes)}
 
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op1_chat_snapshots": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, r, t) AS x FROM t GROUP BY 1),
+        d AS (SELECT x, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY x),
+        p AS (SELECT DISTINCT x[1:k] AS x FROM (SELECT x, unnest(range(1, len(x))) AS k FROM d))
+        SELECT conv_id, len(x)::BIGINT AS n_turns, n_copies,
+            array_to_string(list_transform(x, lambda m: '<|im_start|>' || replace(m.r, '<|', '< |') || chr(10) || replace(m.t, '<|', '< |') || '<|im_end|>' || chr(10)), '') AS chat
+        FROM d ANTI JOIN p USING (x)""",
+    "op7_quality_rules": f"""
+        WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w), h AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM g),
+        twice AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        r AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY 1),
+        m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+            len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+        v AS (SELECT doc_id, lang, unnest([1, 2, 3]) AS rule, unnest([n_symbols, n_dup_lines, n_repeat_words]) AS top, unnest([word_chars, n_lines, n_words]) AS bottom, base_failed FROM b),
+        good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+        k AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (bottom > 0 AND 1000 * top >= cut * bottom) AS k
+            FROM v SEMI JOIN good USING (doc_id) CROSS JOIN (SELECT unnest({list(quality.CUTOFFS)}) AS cut) WHERE NOT base_failed GROUP BY 1, 2, 3),
+        t AS (SELECT lang, rule, cut, CASE WHEN k >= n * 0.02 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) END AS tail,
+            0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM k)) * 36) AS level FROM k),
+        cuts AS (SELECT lang, rule, min(cut) AS cut FROM t WHERE tail <= level GROUP BY 1, 2),
+        bad AS (SELECT doc_id, min(rule) AS rule FROM v JOIN cuts USING (lang, rule) WHERE bottom > 0 AND 1000 * top >= cut * bottom GROUP BY 1)
+        SELECT b.* EXCLUDE (lang), CASE WHEN base_failed THEN 'base' ELSE ['symbols', 'dup_lines', 'repeats'][rule] END AS rejected_by, NOT base_failed AND rule IS NULL AS kept FROM b LEFT JOIN bad USING (doc_id)""",
+    "op9_vertical_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(reach.root), d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY 1, 2""",
     "op5_spaced_seeds": """
         WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
         item AS (SELECT min(item_id) AS item_id, t AS w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark) GROUP BY t HAVING len(t) > 0),
