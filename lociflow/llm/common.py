@@ -49,6 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lociflow-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table marked for broadcast where it has at most ``rows`` rows; beyond that the join is a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes an intermediate table below a shared folder and reads it back: later jobs start from files, not lineage."""
     path = f"{folder}/{name}"

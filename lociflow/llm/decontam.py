@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import shared_dir, stored
+from lociflow.llm.common import shared_dir, small, stored
 
 #: Selected positions of each mask: seven of eleven tokens, and six of thirteen.
 MASKS = ((0, 1, 3, 6, 7, 9, 10), (0, 2, 3, 7, 11, 12))
 #: Seeds of the benchmark up to which every executor gets them all; beyond it the hashes are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Keys of texts with hits, 8 bytes each, up to which the same holds for them.
+BROADCAST_KEYS = 2_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -65,14 +67,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     short = [r[0] for r in items.select(F.size("item").alias("n")).where(f"n < {max(spans)}").distinct().collect()]  # fewer values than a span
     masks = [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
     seeds = _seeds(items.withColumnRenamed("item", "toks"), "k", masks).withColumnRenamed("p", "q").distinct()
-    seeds = stored(seeds, folder, "seeds")
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    seeds = small(stored(seeds, folder, "seeds"), BROADCAST_SEEDS)
 
     keyed = docs.select("text").where("text IS NOT NULL").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")
     found = _seeds(keyed.select("text_md5", tokens(F.col("text")).alias("toks")), "text_md5", masks).join(seeds, "hash")
     hits = stored(found.select("text_md5", "k", (F.col("p") - F.col("q")).alias("shift")).distinct(), folder, "hits")
-    texts = keyed.join(hits.select("text_md5").distinct(), "text_md5", "left_semi").groupBy("text_md5").agg(F.first("text").alias("text"))
+    # short keys first, so that only texts with hits are shuffled; the exact key decides in the join with the hits
+    hit_keys = small(stored(hits.select(F.xxhash64("text_md5").alias("hit")).distinct(), folder, "hit-keys"), BROADCAST_KEYS)
+    texts = keyed.withColumn("hit", F.xxhash64("text_md5")).join(hit_keys, "hit", "left_semi").groupBy("text_md5").agg(F.first("text").alias("text"))
     texts = texts.select("text_md5", tokens(F.col("text")).alias("toks"))
     laid = hits.join(items, "k").join(texts, "text_md5").select(
         "text_md5",
@@ -98,5 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without an overlap, all columns as they were; a null text overlaps nothing."""
+    options.setdefault("folder", shared_dir(docs.sparkSession))
     bad = overlaps(docs, benchmark, **options).select(F.col("text_md5").alias("_bad_md5")).distinct()
+    bad = small(stored(bad, options["folder"], "bad"), BROADCAST_KEYS // 8)
     return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad["_bad_md5"], "left_anti")
