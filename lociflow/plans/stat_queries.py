@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.operators import aggregates as A
-from lociflow.operators import audit, folds, models, rankstats, sampling, stats
+from lociflow.operators import audit, folds, graphs, models, rankstats, sampling, stats
 from lociflow.sources.tables import table
 
 
@@ -256,13 +256,22 @@ def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return total.withColumn("jaccard", F.round(F.col("both") / F.col("either"), 9))
 
 
+def gram_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents connected by a shared word 12-gram."""
+    words = F.array_remove(F.split(F.lower("text"), r"[^a-z]+"), "")
+    docs = table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    spots = F.when(F.size("w") >= 12, F.sequence(F.lit(1), F.size("w") - 11)).otherwise(F.array().cast("array<int>"))
+    grams = docs.select("doc_id", F.transform(spots, lambda i: F.array_join(F.slice("w", i, 12), " ")).alias("g"))
+    return graphs.components(graphs.sharing(grams, "doc_id", "g"), "first", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gini, category_shares, shares_pivot, mean_pivot, redundancy, effect_size, trimmed_mean, quantiles, group_spread, leave_one_out, largest_magnitude, mutual_information, top3_share,
         with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
         hash_sample, stratified_pick, top_k, greedy_match, dinucleotide_shuffle, nearest_vectors, out_of_fold_auroc, fold_roles, fold_checks, pair_filter, leakage, duplicate_scan,
-        column_profile, table_diff, content_digest, first_wins, carry_forward, integrity, key_overlap,
+        column_profile, table_diff, content_digest, first_wins, carry_forward, integrity, key_overlap, gram_components,
     )
 }
 
@@ -345,6 +354,12 @@ ORACLES = {
     "first_wins": "SELECT l_partkey, l_suppkey, min(l_orderkey * 8 + l_linenumber) AS ord FROM lineitem GROUP BY 1, 2",
     "carry_forward": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "integrity": """SELECT count(*) AS n, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 50) AS bad_quantity, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS bad_flag, count(*) FILTER (NOT l_discount < 0.1) AS bad_discount FROM lineitem""",
+    "gram_components": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w),
+        f AS (SELECT g, min(doc_id) AS a FROM g GROUP BY 1 HAVING count(*) > 1), l AS (SELECT DISTINCT a, doc_id AS b FROM g JOIN f USING (g) WHERE doc_id <> a),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+        SELECT node, min(root) AS component FROM r GROUP BY 1""",
     "key_overlap": """WITH k AS (SELECT l_partkey, max((l_returnflag = 'R')::INT) AS r, max((l_returnflag = 'A')::INT) AS a FROM lineitem GROUP BY 1)
         SELECT sum(r * a)::BIGINT AS both, sum(greatest(r, a))::BIGINT AS either, sum(r * (1 - a))::BIGINT AS only_r, round(sum(r * a) / sum(greatest(r, a))::DOUBLE, 9) AS jaccard FROM k""",
 }

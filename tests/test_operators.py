@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
-from lociflow.operators import audit, folds, intervals, models, rankstats, sampling, stats
+from lociflow.operators import annotation, audit, folds, graphs, intervals, models, rankstats, sampling, stats, variants
 from lociflow.sources import genomic
 from lociflow.streaming import blocks
 
@@ -158,3 +158,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q = blocks.block_counts(blocks.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("blocks").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("blocks").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
+    found = {r.node: r.component for r in graphs.components(links, "a", "b").collect()}
+    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_regions_of_transcripts(spark):
+    rows = [("c", "exon", 0, 100, "-", "t"), ("c", "exon", 200, 300, "-", "t"), ("c", "CDS", 50, 100, "-", "t"), ("c", "CDS", 200, 250, "-", "t"), ("c", "UTR", 0, 50, "-", "t"), ("c", "UTR", 250, 300, "-", "t"), ("c", "exon", 500, 600, "+", "n")]
+    f = spark.createDataFrame(rows, "chrom string, feature string, start long, end long, strand string, transcript_id string")
+    got = {(r.region, r.start, r.end) for r in annotation.region_index(f).collect()}
+    assert got == {("utr3", 0, 50), ("utr5", 250, 300), ("cds", 50, 100), ("cds", 200, 250), ("intron", 100, 200), ("exon_nc", 500, 600)}
+
+
+def test_variant_windows(spark):
+    genome = "ACGTN" + "ACGTTGCAAC" * 4
+    t = genomic.tiles(spark.createDataFrame([("chr1", genome)], "chrom string, seq string"), 7)
+    v = spark.createDataFrame([("a", "chr1", 20, genome[20], "G"), ("b", "chr1", 21, "N", "G"), ("c", "chr1", 1, genome[1], "T"), ("d", "chr2", 20, "A", "C")], "vid string, chrom string, pos long, ref string, alt string")
+    peaks = spark.createDataFrame([("chr1", 18, 22, "-"), ("chr2", 900, 905, "+")], "chrom string, start long, end long, strand string")
+    folds_ = spark.createDataFrame([("chr1", 2)], "chrom string, fold int")
+    rows = variants.windows_for(variants.assign(v, peaks, folds_, 50), t, 5, [0, 1], 7).collect()
+    assert {(r.vid, r.shift_idx) for r in rows} == {("a", 0), ("a", 1)}
+    first = next(r for r in rows if r.shift_idx == 0)
+    rna = lambda s: s[::-1].translate(str.maketrans("ACGT", "UGCA"))
+    assert first.seq_ref == rna(genome[18:23]) and first.seq_alt == rna(genome[18:20] + "G" + genome[21:23]) and first.peak_distance == 0
+    d = spark.createDataFrame([("x", 0, 1.0), ("x", 1, -3.0), ("x", 2, float("nan")), ("y", 0, float("nan"))], "vid string, shift_idx int, delta double")
+    assert {r.vid: r.delta for r in variants.collapse(d, "delta").collect()} == {"x": -3.0, "y": None}
