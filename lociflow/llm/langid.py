@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 #: Weight of each piece of the vocabulary beside the counts.
 SMOOTHING = 0.05
 #: Words of up to so many bytes are computed together and remembered, so many at most; longer ones are computed each time.
-LONGEST, REMEMBERED = 40, 250_000
+LONGEST, REMEMBERED = 40, 200_000
 #: Characters of text whose words are held at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Languages learned at most, the most frequent first; it bounds the model, which every executor holds.
 MAX_LANGUAGES = 256
+#: Labelled rows that the classifier is fitted on, in expectation: a sample by hash where there are more.
+TRAIN_ROWS = 40_000
 
 letters = re.compile(r"[^\W\d_]+").findall
 
@@ -72,7 +74,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(train: DataFrame, tokenizer_path: str) -> Model:
-    """Learns from all rows of ``train`` with a non-null lang: the counts of the pieces that the tokenizer finds.
+    """Learns from the rows of ``train`` with a non-null lang: the counts of the pieces that the tokenizer finds.
 
     Rows are counted in their partitions; per language and piece, one sum reaches the driver: at most MAX_LANGUAGES
     times the vocabulary's size.
@@ -83,43 +85,37 @@ def fit(train: DataFrame, tokenizer_path: str) -> Model:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         words: dict[str, Counter] = defaultdict(Counter)
-        docs, pieces = Counter(), Counter()
+        pieces: Counter = Counter()
 
         def to_pieces() -> None:
             for lang, counted in words.items():
                 listed = list(counted)
-                for at in range(0, len(listed), 20_000):
-                    part = listed[at : at + 20_000]
-                    for word, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+                for at in range(0, len(listed), 5_000):
+                    part = listed[at : at + 5_000]
+                    for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                         for i in e.ids:
                             pieces[lang, i] += counted[word]
             words.clear()
 
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"]):
-                docs[lang] += 1
                 words[lang].update(words_of_text(text))
                 if sum(map(len, words.values())) > REMEMBERED:
                     to_pieces()
         to_pieces()
-        rows = [(lang, -1, n) for lang, n in docs.items()] + [(lang, i, n) for (lang, i), n in pieces.items()]
+        rows = [(lang, i, n) for (lang, i), n in pieces.items()]
         yield pd.DataFrame(rows, columns=["lang", "piece", "n"])
 
     rows = train.where(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
-    counts = rows.mapInPandas(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    top = counts.where("piece = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    found = counts.join(F.broadcast(top), "lang").toPandas()  # bounded: MAX_LANGUAGES times the vocabulary
-    languages = sorted(found["lang"].unique())
+    top = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    languages, docs = [lang for lang, _ in top], np.array([n for _, n in top], float)
     size = vocabulary(tokenizer_path)[2]
     if not languages:
         return Model([], np.zeros(0), np.zeros((size + 1, 0)))
-    column = {lang: k for k, lang in enumerate(languages)}
-    table, docs = np.zeros((size, len(languages))), np.zeros(len(languages))
-    for lang, piece, n in found.itertuples(index=False):
-        if piece < 0:
-            docs[column[lang]] = n
-        else:
-            table[piece, column[lang]] = n
+    counted = rows.where(F.col("lang").isin(languages)).mapInPandas(count, "lang string, piece int, n long")
+    column, table = {lang: k for k, lang in enumerate(languages)}, np.zeros((size, len(languages)))
+    for lang, piece, n in counted.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+        table[piece, column[lang]] = n
     probs = (table + SMOOTHING) / (table + SMOOTHING).sum(axis=0)
     return Model(languages, np.log(docs / docs.sum()), np.vstack([probs, np.zeros(len(languages))]))
 
@@ -147,7 +143,7 @@ class WordScores:
         for w in new:
             if len(b := w.encode()) <= LONGEST:
                 by_length[len(b)].append((w, b))
-        for n, group in by_length.items():
+        for n, group in ((n, g[at : at + 5_000]) for n, g in by_length.items() for at in range(0, len(g), 5_000)):
             at = len(self.index)
             while at + len(group) > len(self.table):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
@@ -181,12 +177,12 @@ class WordScores:
         return shift
 
     def of(self, words: list[str]) -> np.ndarray:
-        known = list(filter(self.index.__contains__, words))
-        total = self.table[np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))].sum(axis=0)
-        if len(known) < len(words):
-            for w, n in Counter(w for w in words if w not in self.index).items():
-                total = total + n * self.long(w)
-        return total
+        try:
+            return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        except KeyError:  # a long word
+            known = [w for w in words if w in self.index]
+            total = self.table[np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))].sum(axis=0)
+            return total + sum(n * self.long(w) for w, n in Counter(w for w in words if w not in self.index).items())
 
 
 def predict(text: Column, model: Model, tokenizer_path: str) -> Column:
@@ -205,7 +201,7 @@ def predict(text: Column, model: Model, tokenizer_path: str) -> Column:
             size = 0
 
             def flush() -> None:
-                scores.learn({w for words in held for w in words if len(w) <= LONGEST})
+                scores.learn(set().union(*held))
                 for words in held:
                     if not words or not model.languages:
                         out.append(("und", 0.0, len(words)))
@@ -227,13 +223,17 @@ def predict(text: Column, model: Model, tokenizer_path: str) -> Column:
     return predicted(text)
 
 
-def identify(docs: DataFrame, tokenizer_path: str, out: str = "_language") -> DataFrame:
+def identify(docs: DataFrame, tokenizer_path: str, out: str = "_language", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Adds the struct ``out`` (lang_pred, score, n_words, held_out) to every row of ``docs``.
 
-    Learns from the text and non-null lang of the rows that are not held out, predicts from the text alone. All other
-    columns stay as they are; repeated rows are predicted alike; an empty table stays empty.
+    Learns from the text and non-null lang of the rows that are not held out, of about ``train_rows`` of them where there
+    are more, chosen by a hash of doc_id. Predicts from the text alone. All other columns stay as they are; repeated rows
+    are predicted alike; an empty table stays empty.
     """
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"), tokenizer_path)
+    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    if (rows := train.count()) > train_rows:
+        train = train.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < round((1 << 20) * train_rows / rows))
+    model = fit(train.select("lang", "text"), tokenizer_path)
     found = docs.withColumn("_predicted", predict(F.col("text").cast("string"), model, tokenizer_path))
     return found.withColumn(out, F.struct("_predicted.*", held_out(F.col("doc_id")).alias("held_out"))).drop("_predicted")
 
