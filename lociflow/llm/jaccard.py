@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import shared_dir, stored
+from lociflow.llm.common import shared_dir, small, stored
 
-#: Ratio between the largest and the smallest size of a class.
-CLASS_RATIO = 1.25
 #: Orders tried for sets that leave too many fragments empty, before each shingle counts as a segment.
 ORDERS = 4
 #: Fragments in which overlaps are counted.
 COUNTED = 8
 #: Rows up to which a key table is sent to every executor; beyond it the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -73,17 +72,37 @@ def shingles(text: str | None, k: int, known: WordHashes) -> np.ndarray:
     return np.unique(rolled)
 
 
-def size_class(n: int) -> int:
-    return math.ceil(math.log(n) / math.log(CLASS_RATIO) - 1e-9)
+def class_ratio(percent: int) -> float:
+    """Ratio between the largest and the smallest size of a class: wider than that of sets that link, so that about half
+    of the sets need no second class."""
+    return max(1.25, (100 / percent) ** 2)
 
 
+def size_class(n: int, percent: int) -> int:
+    return math.ceil(math.log(n) / math.log(class_ratio(percent)) - 1e-9)
+
+
+@lru_cache(maxsize=None)
 def fragments(klass: int, percent: int) -> tuple[int, int]:
-    """How many fragments the sets of a class are cut into, and how many of those may be empty."""
-    differ = int(CLASS_RATIO**klass * (100 - percent) / percent + 1e-9)
-    spare = 1 + differ * (100 - percent) // 2_000
+    """How many fragments the sets of a class are cut into, and how many of those may be empty.
+
+    The spare fragments are those that stay empty in the class's smaller sets by chance, with two deviations to that.
+    """
+    largest = class_ratio(percent) ** klass
+    differ = int(largest * (100 - percent) / percent + 1e-9)
+    spare = 1
+    for _ in range(20):
+        count = differ + 1 + spare
+        empty = count * math.exp(-largest / class_ratio(percent) / count)
+        spare = min(1 + differ // 3, 1 + math.ceil(empty + 2 * math.sqrt(empty)))
     return differ + 1 + spare, spare
 
 
+def salt(klass: int, order: int) -> np.ndarray:
+    """What tells the hashes of classes and orders apart."""
+    return mix(np.array([(klass << 8) + order + 1], np.uint64)) * _ODD[2]
+
+
 def segment_hashes(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
     """The hashes of the set's segments that are not empty, as a class cuts them.
 
@@ -97,15 +116,15 @@ def segment_hashes(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
         place = ((keys >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         content = np.add.reduceat(mix(keys ^ _ODD[1]), starts)
-        found.append(mix(content + mix(place[starts] + np.uint64((klass << 8) + order) * _ODD[2])))
+        found.append(mix(content + mix(place[starts] + salt(klass, order))))
         if count - len(starts) <= spare:
             return np.concatenate(found)
-    return np.concatenate([*found, mix(items + np.uint64((klass << 8) + ORDERS) * _ODD[2])])
+    return np.concatenate([*found, mix(items + salt(klass, ORDERS))])
 
 
-def sketch(items: np.ndarray, klass: int) -> np.ndarray:
+def sketch(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
     """Parities of the shingles that fall into each of two bits per shingle of the class's largest sets."""
-    bits = 64 * math.ceil(2 * CLASS_RATIO**klass / 64)
+    bits = 64 * math.ceil(2 * class_ratio(percent) ** klass / 64)
     place = ((mix(items ^ _ODD[2]) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
@@ -115,13 +134,15 @@ def _text_key() -> Column:
 
 
 def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n (shingles), node (digest of the set, null without shingles) and cuts: per class the segment
-    hashes and the sketch."""
+    """rid (a number of the row), doc_id, text_key, n (shingles), node (digest of the set, null without shingles) and cuts:
+    per class the segment hashes and the sketch."""
     cut = pa.struct([("c", pa.int32()), ("segments", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("cuts", pa.list_(cut))])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("cuts", pa.list_(cut))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        from pyspark import TaskContext
+
+        known, rid = WordHashes(), TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         size = 0
 
@@ -133,9 +154,10 @@ def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 items = shingles(text.as_py(), k, known)
                 n, cuts = len(items), []
                 if n * (100 - percent) >= percent:  # smaller sets link with equal ones alone
-                    for c in sorted({size_class(n), size_class(max(1, n * 100 // percent))}):
-                        cuts.append({"c": c, "segments": segment_hashes(items, c, percent).view(np.int64), "sketch": sketch(items, c)})
-                held.append((doc_id, key, n, hashlib.md5(items.tobytes()).digest() if n else None, cuts))
+                    for c in sorted({size_class(n, percent), size_class(n * 100 // percent, percent)}):
+                        cuts.append({"c": c, "segments": segment_hashes(items, c, percent).view(np.int64), "sketch": sketch(items, c, percent)})
+                held.append((rid, doc_id, key, n, hashlib.md5(items.tobytes()).digest() if n else None, cuts))
+                rid += 1
                 size += n
                 if size > 200_000 or len(held) > 20_000:
                     yield batch_of()
@@ -144,12 +166,7 @@ def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield batch_of()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return whole.mapInArrow(rows, "doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,segments:array<long>,sketch:array<long>>>")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """The stored table, to be sent to all executors if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return whole.mapInArrow(rows, "rid long, doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,segments:array<long>,sketch:array<long>>>")
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -185,7 +202,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
-    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).join(_small(keys.select("text_key")), "text_key", "left_semi")
+    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).join(small(keys.select("text_key"), BROADCAST_ROWS), "text_key", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     parts = texts.mapInArrow(cut, "text_key string, part int, items array<long>").join(keys, "text_key").select("nid", "n", "part", "items")
     parts = stored(parts, folder, f"{name}-parts")
@@ -218,8 +235,8 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, text_key (MD5 of the text), n_shingles and component_id, the smallest doc_id that
-    links reach.
+    """One row per document: doc_id, text_key (MD5 of the text), n_shingles, component_id, the smallest doc_id that links
+    reach, and root, a number of the component (null without shingles).
 
     Two documents link where 100 |intersection| >= ``percent`` |union| of their sets of k-word shingles, in ASCII lower
     case. Texts without words, null ones included, have no shingle and link with nothing; their component is their own
@@ -228,12 +245,20 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     """
     folder = folder or shared_dir(docs.sparkSession)
     measured = stored(measure(docs, k, percent), folder, "measured")
-    nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("cuts").alias("cuts"))
-    nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), folder, "nodes")
-    cuts = nodes.select("nid", "n", F.explode_outer("cuts").alias("cut")).where("cut IS NOT NULL").select("nid", "n", "cut.*")
+    nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("nid"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_key").alias("text_key"))
+    nodes = stored(nodes, folder, "nodes")
+    # the cuts of one row of each node: read beside the measures while the numbers of those rows can be broadcast
+    first = measured.select(F.col("rid").alias("nid"), "n", "cuts")
+    few = nodes.count() <= BROADCAST_ROWS
+    first = first.join(F.broadcast(nodes.select("nid")), "nid", "left_semi") if few else stored(first.join(nodes.select("nid"), "nid", "left_semi"), folder, "cuts")
+    cuts = first.select("nid", "n", F.explode_outer("cuts").alias("cut")).where("cut IS NOT NULL").select("nid", "n", "cut.*")
     segments = cuts.select("nid", "c", F.explode_outer("segments").alias("s"))
-    shared = stored(segments.groupBy("s").agg(F.min("nid").alias("first"), F.max("nid").alias("last")).where("first <> last"), folder, "shared")
-    active = stored(segments.join(_small(shared), "s"), folder, "active")
+    shared = segments.groupBy("s").agg(F.min("nid").alias("first"), F.max("nid").alias("last"), F.first("c").alias("c"), F.count(F.lit(1)).alias("m"))
+    shared = stored(shared.where("first <> last"), folder, "shared")
+    # a segment of two nodes is known in full; the others' nodes are joined back
+    two = shared.where("m = 2").select("s", "c", "first", "last", F.explode(F.array("first", "last")).alias("nid"))
+    more = segments.select("s", "nid").join(small(shared.where("m > 2").drop("m"), BROADCAST_ROWS), "s")
+    active = stored(two.unionByName(more), folder, "active")
     sketches = cuts.select("nid", "n", "c", "sketch")
 
     stars = active.select(F.col("nid").alias("a"), "c", F.explode(F.array("first", "last")).alias("b")).where("a <> b")
@@ -255,9 +280,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
 
     member = nodes.select("node", "nid", "first_id").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(named, "root").select("node", "component_id")
+    member = member.join(named, "root").select("node", "component_id", "root")
     with_set = measured.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(member, "node").drop("node")
-    without = measured.where("node IS NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    without = measured.where("node IS NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return with_set.unionByName(without)
 
 
@@ -266,10 +291,19 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat both doc_id and text count once. Rows whose text has no words stay all. Columns stay as they were.
     """
-    found = classes(docs, **options)
-    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    folder = options.setdefault("folder", shared_dir(docs.sparkSession))
+    found = stored(classes(docs, **options).where("n_shingles > 0"), folder, "found")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    chosen = found.groupBy("root").agg(F.min(key).alias("x"))
+    other = found.join(chosen, "root").where(~key.eqNullSafe(F.col("x")))
+    other = stored(other.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), folder, "removed")
+    twice = stored(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"), folder, "repeated")
     keyed = docs.withColumn("_text_key", _text_key())
-    kept = keyed.join(chosen, keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_text_key"] == chosen["_key"]), "left_semi")
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return kept.dropDuplicates(["doc_id", "_text_key"]).unionByName(keyed.where(wordless)).drop("_text_key")
+    same = lambda k: keyed["doc_id"].cast("long").eqNullSafe(k["_id"]) & (keyed["_text_key"] == k["_key"])
+    removed = small(other, BROADCAST_ROWS)
+    kept = keyed.join(removed, same(removed), "left_anti")
+    if twice.limit(1).count():
+        repeated = small(twice, BROADCAST_ROWS)
+        on = lambda: kept["doc_id"].cast("long").eqNullSafe(repeated["_id"]) & (kept["_text_key"] == repeated["_key"])
+        kept = kept.join(repeated, on(), "left_anti").unionByName(kept.join(repeated, on(), "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return kept.drop("_text_key")

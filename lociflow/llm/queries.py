@@ -48,7 +48,7 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(read(spark, sf_dir, "documents"), k=3, percent=90).drop("text_key")
+    return jaccard.classes(read(spark, sf_dir, "documents"), k=3, percent=90).drop("text_key", "root")
 
 
 def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

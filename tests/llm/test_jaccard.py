@@ -65,18 +65,18 @@ def test_segments_and_sketches_keep_every_link():
             inter = len(np.intersect1d(a, b))
             if 100 * inter < percent * (len(a) + len(b) - inter) or inter == len(a) == len(b):
                 continue
-            ca, cb = ({jaccard.size_class(len(x)), jaccard.size_class(len(x) * 100 // percent)} for x in (a, b))
+            ca, cb = ({jaccard.size_class(len(x), percent), jaccard.size_class(len(x) * 100 // percent, percent)} for x in (a, b))
             common = ca & cb
             assert common
             assert any(np.intersect1d(jaccard.segment_hashes(a, c, percent), jaccard.segment_hashes(b, c, percent)).size for c in common)
             for c in common:
-                hamming = sum(bin(int(x)).count("1") for x in (jaccard.sketch(a, c) ^ jaccard.sketch(b, c)).view(np.uint64))
+                hamming = sum(bin(int(x)).count("1") for x in (jaccard.sketch(a, c, percent) ^ jaccard.sketch(b, c, percent)).view(np.uint64))
                 assert hamming <= len(a) + len(b) - 2 * inter
 
 
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.classes(empty).collect() == [] and jaccard.keep_one(empty).collect() == []
-    docs = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None)], "doc_id long, text string")
-    assert {r.component_id for r in jaccard.classes(docs).where("n_shingles > 0").collect()} == {4}
-    assert sorted(str(r.text) for r in jaccard.keep_one(docs).collect()) == ["None", "None", "a b c d e f"]
+    docs = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None), (None, "u v w x y z"), (None, "k l m n o p q"), (None, "k l m n o p q")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.classes(docs).where("n_shingles > 0").collect()} == {4, None}
+    assert sorted(str(r.text) for r in jaccard.keep_one(docs).collect()) == ["None", "None", "a b c d e f", "k l m n o p q", "u v w x y z"]
