@@ -37,7 +37,7 @@ COUNTED = 8
 #: Rows up to which a key table is sent to every executor; beyond it the join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 words_of_bytes = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -82,20 +82,26 @@ def size_class(n: int, percent: int) -> int:
     return math.ceil(math.log(n) / math.log(class_ratio(percent)) - 1e-9)
 
 
-@lru_cache(maxsize=None)
-def fragments(klass: int, percent: int) -> tuple[int, int]:
-    """How many fragments the sets of a class are cut into, and how many of those may be empty.
+def most_differ(n: float, klass: int, percent: int) -> int:
+    """In how many shingles a set of n at most differs from one that is no smaller, links with it and is of the class.
 
-    The spare fragments are those that stay empty in the class's smaller sets by chance, with two deviations to that.
+    It grows with n, so that it also bounds the difference from smaller sets.
     """
     largest = class_ratio(percent) ** klass
-    differ = int(largest * (100 - percent) / percent + 1e-9)
-    spare = 1
+    return int((n + min(largest, n * 100 / percent)) * (100 - percent) / (100 + percent) + 1e-6)
+
+
+@lru_cache(maxsize=None)
+def fragments(klass: int, percent: int) -> int:
+    """How many fragments the sets of a class are cut into: one more than its largest sets may differ in, and those that
+    stay empty in them by chance, with two deviations to that."""
+    largest = class_ratio(percent) ** klass
+    differ = most_differ(largest, klass, percent)
+    count = differ + 2
     for _ in range(20):
-        count = differ + 1 + spare
-        empty = count * math.exp(-largest / class_ratio(percent) / count)
-        spare = min(1 + differ // 3, 1 + math.ceil(empty + 2 * math.sqrt(empty)))
-    return differ + 1 + spare, spare
+        empty = count * math.exp(-largest / count)
+        count = differ + 2 + min(differ // 3, math.ceil(empty + 2 * math.sqrt(empty)))
+    return count
 
 
 def salt(klass: int, order: int) -> np.ndarray:
@@ -106,10 +112,10 @@ def salt(klass: int, order: int) -> np.ndarray:
 def segment_hashes(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
     """The hashes of the set's segments that are not empty, as a class cuts them.
 
-    Of two sets that link and do not both leave more fragments empty than are spare, an equal segment is not empty. Sets
-    that do leave more also give the segments of further orders, and after the last their single shingles.
+    A set has enough segments if they are more than it may differ in. Of two sets that link, an equal segment is not empty
+    if either has enough. Sets without also give the segments of further orders, and after the last their single shingles.
     """
-    count, spare = fragments(klass, percent)
+    count, differ = fragments(klass, percent), most_differ(len(items), klass, percent)
     found = []
     for order in range(ORDERS):
         keys = items if not order else np.sort(mix(items + np.uint64(order)))
@@ -117,7 +123,7 @@ def segment_hashes(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
         starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         content = np.add.reduceat(mix(keys ^ _ODD[1]), starts)
         found.append(mix(content + mix(place[starts] + salt(klass, order))))
-        if count - len(starts) <= spare:
+        if len(starts) > differ:
             return np.concatenate(found)
     return np.concatenate([*found, mix(items + salt(klass, ORDERS))])
 
