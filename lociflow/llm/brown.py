@@ -1,10 +1,11 @@
 """Language-model scoring with Brown class-based bigrams.
 
 Words are assigned to classes by exchange clustering, and a token's probability is its class's given the class before,
-times the word's within its class; both are smoothed. The most frequent words and the endings of all others are the
-units that are clustered: an infrequent word belongs to the class of its ending. Counts come from all training texts;
-what tasks and the driver hold is bounded by the numbers of units, classes and listed words, never by the corpus. The
-counts of words that are not listed stay in a table, which the tokens of those words are joined with.
+times the word's within its class; both are smoothed. The core, the most frequent words and the endings of all others,
+is clustered first. Every further training word then gets the class that its own neighbours choose against the core's
+classes; only words unseen in training belong to the class of their ending. Counts come from all training texts; what
+tasks and the driver hold is bounded by the numbers of units, classes and listed words, never by the corpus. The counts
+and classes of all words are a table, which the tokens of words that are not listed are joined with.
 """
 
 from __future__ import annotations
@@ -160,6 +161,126 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, self_pairs: float,
     return found, float(gain[found] - gain[own])
 
 
+def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, self_pairs: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """What ``best_class`` finds for many words, a row each, though never the end's class 0; only their own neighbours' classes are visited."""
+    rows = np.arange(len(own))
+    gain = np.zeros(left.shape)
+    for side, other, counts in ((right, left, between.T), (left, right, between)):
+        w, k = np.nonzero(side)
+        if not len(w):
+            continue
+        x = side[w, k]
+        rest = counts[k].copy()
+        rest[np.arange(len(w)), own[w]] -= x
+        mine = np.flatnonzero(k == own[w])
+        rest[mine] -= other[w[mine]]
+        rest[mine, k[mine]] -= self_pairs[w[mine]]
+        more = _xlogx(rest + x[:, None]) - _xlogx(rest)
+        more[np.arange(len(w)), k] = 0
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
+        gain[w[starts]] += np.add.reduceat(more, starts, axis=0)
+    n_right, n_left = right.sum(axis=1) + self_pairs, left.sum(axis=1) + self_pairs
+    diagonal = np.tile(np.diag(between), (len(own), 1))
+    diagonal[rows, own] -= left[rows, own] + right[rows, own] + self_pairs
+    gain += _xlogx(diagonal + left + right + self_pairs[:, None]) - _xlogx(diagonal)
+    for counts, n in ((between.sum(axis=1), n_right), (between.sum(axis=0), n_left)):
+        rest = np.tile(counts, (len(own), 1))
+        rest[rows, own] -= n
+        gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    found = gain.argmax(axis=1)
+    return np.where((own == 0) | (gain[rows, found] > gain[rows, own] + 1e-9), found, own)
+
+
+def count_neighbours(train: DataFrame, units: Units, unit_class: np.ndarray, classes: int) -> DataFrame:
+    """word, key, n for all words that are no units: key a counts tokens after class a, ``classes`` + a tokens before class a, and
+    2 ``classes`` those after the word itself; neighbours have the classes of their units."""
+    schema = pa.schema([("word", pa.binary()), ("key", pa.int32()), ("n", pa.int64())])
+    first, width = len(units.word), 2 * classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of: list[int] = unit_class[:first].tolist()
+        further: list[bytes] = []
+
+        class Place(dict):
+            def __missing__(self, word: bytes) -> int:
+                self[word] = place = first + len(further)
+                further.append(word)
+                class_of.append(int(unit_class[units.of(word)]))
+                return place
+
+        place = Place(units.word)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def merge() -> None:
+            nonlocal keys, counts, waiting
+            if held:
+                new, n = np.unique(np.concatenate(held), return_counts=True)
+                both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                keys, counts = both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            held.clear()
+            waiting = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, counts, place
+            merge()
+            words = pa.array(further, pa.binary())
+            for at in range(0, len(keys), 200_000):
+                part = keys[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(part // width)), pa.array((part % width).astype(np.int32)), pa.array(counts[at : at + 200_000])], schema=schema)
+            keys, counts = keys[:0], counts[:0]
+            further.clear()
+            del class_of[first:]
+            place = Place(units.word)
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                k = np.fromiter(map(class_of.__getitem__, at), np.int64, len(words))
+                i = np.flatnonzero(at >= first)
+                if len(i):
+                    base = (at[i] - first) * width
+                    before = np.concatenate([[0], at[:-1]])[i]  # the end, which is no further word, stands before the first token
+                    after = i + 1  # the end is the last token
+                    left = np.where(before == at[i], 2 * classes, np.concatenate([[0], k[:-1]])[i])
+                    held += [base + left, (base + classes + k[after])[at[after] != at[i]]]
+                    waiting += 2 * len(i)
+                if waiting > 2_000_000:
+                    merge()
+                if len(further) > HELD or len(keys) > 4_000_000:
+                    yield from done()
+        yield from done()
+
+    return train.select("text").mapInArrow(count, "word binary, key int, n long")
+
+
+def choose_classes(neighbours: DataFrame, units: Units, unit_class: np.ndarray, between: np.ndarray) -> DataFrame:
+    """word, c (its tokens) and k, the class that its neighbours choose, for all words that ``neighbours`` counts."""
+    classes = len(between)
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("k", pa.int32())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                words, lists = batch.column(0), batch.column(1)
+                x = lists.flatten()
+                n = np.zeros((len(words), 2 * classes + 1))
+                n[np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy()), x.field("key").to_numpy()] = x.field("n").to_numpy()
+                own = unit_class[np.array([units.of(w) for w in words.to_pylist()], np.int64)]
+                left, right, self_pairs = n[:, :classes], n[:, classes:-1], n[:, -1]
+                found = best_classes(own, left, right, self_pairs, between)
+                c = (left.sum(axis=1) + self_pairs).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(found.astype(np.int32))], schema=schema)
+
+    # the tasks have counted before; at most 2 * classes + 1 keys a word
+    summed = neighbours.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(choose, "word binary, c long, k int")
+
+
 def exchange(pairs: DataFrame, units: Units, classes: int, rounds: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """The class of every unit and the class bigram counts, by exchange clustering; class 0 is the end's alone.
 
@@ -222,131 +343,211 @@ def exchange(pairs: DataFrame, units: Units, classes: int, rounds: int, folder:
     return best[1], best[2]
 
 
+@dataclass
+class Vocabulary:
+    """``counts`` has word, c and the class k of every training word; ``listed`` are those whose logarithms of counts and classes tasks
+    hold. The class of an unseen word is that of its unit in the core."""
+
+    core: Units
+    core_class: np.ndarray
+    classes: int
+    listed: list[bytes]
+    listed_class: np.ndarray
+    log_count: np.ndarray
+    least: int
+    counts: DataFrame
+    total: int
+    types: int
+
+
 @dataclass
 class Model:
-    """``listed`` words have an index into ``classes_of`` and ``log_count``; all else follows from a word's unit."""
+    """``units`` are the core's and the further words that the driver holds, ``unit_class`` their classes."""
 
     units: Units
     unit_class: np.ndarray
     transitions: np.ndarray
     share: np.ndarray
-    listed: list[bytes]
-    log_count: np.ndarray
     counts: DataFrame
     total: int
     types: int
 
 
-def fit(train: DataFrame, folder: str, words: int = 2_000, endings: int = 500, listed: int = 200_000, classes: int = 64, rounds: int = 16) -> Model:
-    """Learns from all rows of ``train``. ``words`` and ``endings`` bound the units, ``listed`` the words whose counts
-    the tasks hold; the driver gets those and the class counts."""
+def learn(train: DataFrame, folder: str, words: int = 2_000, endings: int = 500, listed: int = 200_000, classes: int = 64, rounds: int = 16) -> Vocabulary:
+    """Classes of all words of ``train``. ``words`` and ``endings`` bound the core's units, ``listed`` the words whose counts
+    and classes the tasks hold; the driver gets those and the class counts."""
+    spark = train.sparkSession
     counts = stored(count_words(train), folder, "words")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     step = F.floor(F.log2("c") * 16).cast("int")
     steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()  # at most 1,024 rows
-    least = min([r.c for r, held in zip(steps, np.cumsum([r.n for r in steps])) if held <= listed], default=total + 1)
-    frequent = counts.where((F.octet_length("word") > 0) & (F.col("c") >= int(least))).collect()  # at most ``listed`` rows
+    least = int(min([r.c for r, held in zip(steps, np.cumsum([r.n for r in steps])) if held <= listed], default=total + 1))
+    frequent = counts.where((F.octet_length("word") > 0) & (F.col("c") >= least)).collect()  # at most ``listed`` rows
     top = sorted(((bytes(r.word), r.c) for r in frequent), key=lambda t: (-t[1], t[0]))
     ends = counts.where(F.octet_length("word") > 0).withColumn("e", F.expr(f"substring(word, -{ENDING}, {ENDING})")).groupBy("e").agg(F.sum("c").alias("c"))
     common = [bytes(r.e) for r in ends.orderBy(F.desc("c"), "e").limit(endings).collect()]
-    units = Units([w for w, _ in top[:words]], common)
-    pairs = stored(count_pairs(train, units), folder, "pairs")
-    unit_class, between = exchange(pairs, units, classes, rounds, folder)
-    schema = pa.schema([("k", pa.int32()), ("n", pa.int64())])
-
-    def per_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(classes, np.int64)
-        for batch in batches:
-            found += np.bincount([unit_class[units.of(w)] for w in batch.column(0).to_pylist()], minlength=classes) if batch.num_rows else 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes, dtype=np.int32)), pa.array(found)], schema=schema)
-
-    types_of = np.zeros(classes)
-    for k, n in counts.select("word").mapInArrow(per_class, "k int, n long").groupBy("k").agg(F.sum("n")).collect():  # one row per class
-        types_of[k] = n
-    tokens_of = between.sum(axis=0)
-    prior = (tokens_of + 0.5) / (tokens_of.sum() + 0.5 * classes)
-    transitions = (between + TRANSITION * prior[None, :]) / (between.sum(axis=1, keepdims=True) + TRANSITION)
-    share = np.log10(tokens_of + EMISSION * (types_of + 1))
-    words_listed = [END, *[w for w, _ in top]]
+    core = Units([w for w, _ in top[:words]], common)
+    pairs = stored(count_pairs(train, core), folder, "pairs")
+    core_class, between = exchange(pairs, core, classes, rounds, folder)
     ends_count = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    known = [(w, int(c), int(core_class[core.word[w]])) for w, c in [(END, ends_count), *top[:words]] if c]
+    further = choose_classes(count_neighbours(train, core, core_class, classes), core, core_class, between)
+    classed = stored(further.unionByName(spark.createDataFrame(known, "word binary, c long, k int")), folder, "classed")
+    class_of = {bytes(r.word): r.k for r in classed.where(F.col("c") >= least).select("word", "k").collect()}  # at most ``listed`` rows and the end
+    names = [END, *[w for w, _ in top]]
     log_count = np.log10(np.array([ends_count, *[c for _, c in top]]) + EMISSION)
-    return Model(units, unit_class, np.log10(transitions), share, words_listed, log_count, counts, int(total), int(types))
+    return Vocabulary(core, core_class, classes, names, np.array([0, *[class_of[w] for w in names[1:]]]), log_count, least, classed, int(total), int(types))
 
 
-def score(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Learns from the rows that are not held out and scores all. A null text is empty: its end alone is scored. ``score``
-    is the base-10 logarithm of the whole text's probability under the class model: each class splits its mass between
-    its training words, by count plus EMISSION, and one unknown word of weight EMISSION. ``base_score`` is that of the
-    unigram model over the same tokens. Repeated rows are scored alike; other columns are not read; an empty table gives
-    no row.
+def lay(docs: DataFrame, vocabulary: Vocabulary, folder: str, name: str) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, logs (the sum of its tokens' logarithms of counts) and ks, the class of
+    each token in a fixed number of bytes.
 
-    Tasks score the listed words and all class transitions, and hand on the other words of each document once each;
-    those are joined with the counts, and their logarithms summed. No frequent word takes part in that join.
+    Tasks look up the listed words, and hand on the other words of each document once each, with their places; those are
+    joined with the counts and classes. No frequent word takes part in that join.
     """
-    folder = folder or shared_dir(docs.sparkSession)
-    model = fit(docs.where(~held_out(F.col("doc_id"))), folder, **options)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("others", pa.float64())])
-    units, unit_class, log_count = model.units, model.unit_class, model.log_count
-    transitions, share, names = model.transitions, model.share, model.listed
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("places", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("ks", pa.binary())])
+    core, core_class, log_count, names, listed_class = vocabulary.core, vocabulary.core_class, vocabulary.log_count, vocabulary.listed, vocabulary.listed_class
+    classes, narrow = vocabulary.classes, np.min_scalar_type(vocabulary.classes)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        index = {w: k for k, w in enumerate(names)}
-        listed_class = np.array([unit_class[units.of(w)] for w in names])
-        count_log = np.concatenate([log_count, np.zeros(len(share))])
-        class_of = np.concatenate([listed_class, np.arange(len(share))])
+        count_log = np.concatenate([log_count, np.zeros(classes)])
+        class_of = np.concatenate([listed_class, np.arange(classes)])
 
         class Place(dict):
-            def __missing__(self, word: bytes) -> int:  # a word that is not listed stands for its class
-                return len(names) + unit_class[units.of(word)]
+            def __missing__(self, word: bytes) -> int:  # a word that is not listed stands for the class of its ending, until it is joined
+                return len(names) + core_class[core.of(word)]
 
-        place = Place(index)
-        columns: tuple[list, ...] = ([], [], [], [], [], [], [])
+        place = Place({w: k for k, w in enumerate(names)})
+        columns: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+        size = 0
 
         def batch_of() -> pa.RecordBatch:
+            nonlocal size
             done = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
             for c in columns:
                 c.clear()
+            size = 0
             return done
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = tokens(text.as_py())
                 at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                k = class_of[at]
-                logs = float(count_log[at].sum())
-                others = float(transitions[np.concatenate([[0], k[:-1]]), k].sum() - share[k].sum())
-                rare = Counter([words[i] for i in np.flatnonzero(at >= len(names))])
-                for c, values in zip(columns, (row, doc_id, None, len(words), len(words) - sum(rare.values()), logs, others)):
+                others = np.flatnonzero(at >= len(names)).tolist()
+                rare: dict[bytes, list[int]] = {}
+                for i in others:
+                    rare.setdefault(words[i], []).append(i)
+                for c, values in zip(columns, (row, doc_id, None, None, len(words), len(words) - len(others), float(count_log[at].sum()), class_of[at].astype(narrow).tobytes())):
                     c.append(values)
-                for word, n in rare.items():
-                    for c, values in zip(columns, (row, None, word, n, None, None, None)):
+                for word, places in rare.items():
+                    for c, values in zip(columns, (row, None, word, np.array(places, np.int32).tobytes(), len(places), None, None, None)):
                         c.append(values)
                 row += 1
-                if len(columns[0]) > 100_000:
+                size += len(words)
+                if len(columns[0]) > 50_000 or size > 2_000_000:
                     yield batch_of()
         yield batch_of()
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = []
+            for ks, found in zip(batch.column("ks").to_pylist(), batch.column("found").to_pylist()):
+                k = np.frombuffer(ks, narrow).copy()
+                for x in found or ():
+                    k[np.frombuffer(x["places"], np.int32)] = x["k"]
+                filled.append(k.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")] + [pa.array(filled, pa.binary())], names=["doc_id", "n_tokens", "n_known", "logs", "ks"])
+
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = stored(whole.mapInArrow(partial, "row long, doc_id long, word binary, n long, known long, logs double, others double"), folder, "parts")
-    rare = parts.where("word IS NOT NULL").select("row", "word", "n").join(model.counts, "word", "left")
+    parts = stored(whole.mapInArrow(partial, "row long, doc_id long, word binary, places binary, n long, known long, logs double, ks binary"), folder, f"{name}-parts")
+    rare = parts.where("word IS NOT NULL").select("row", "word", "places", "n").join(vocabulary.counts.where(F.col("c") < vocabulary.least), "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(EMISSION))).alias("rare_logs"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known"),
+        F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "places"))).alias("found"),  # no more than the document's tokens
     )
-    out = parts.where("word IS NULL").join(rare, "row", "left")
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
-    whole_mass = float(np.log10(model.total + BASE * (model.types + 1)))
-    return out.select(
+    out = parts.where("word IS NULL").join(rare, "row", "left").select(
         "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (logs - F.col("n") * F.lit(whole_mass)).alias("base_score"),
-        (logs + F.col("others")).alias("score"),
+        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))).alias("logs"),
+        "ks",
+        "found",
+    )
+    return stored(out.mapInArrow(fill, "doc_id long, n_tokens long, n_known long, logs double, ks binary"), folder, name)
+
+
+def weigh(vocabulary: Vocabulary, laid: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithms of transitions, and of each class's mass of tokens and types, from the classes of all training tokens."""
+    classes, narrow = vocabulary.classes, np.min_scalar_type(vocabulary.classes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for ks in batch.column(0).to_pylist():
+                k = np.frombuffer(ks, narrow).astype(np.int64)
+                found += np.bincount(np.concatenate([[0], k[:-1]]) * classes + k, minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes)), pa.array(found)], names=["pair", "n"])
+
+    between = np.zeros(classes * classes)
+    for pair, n in laid.select("ks").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():  # one row per pair of classes
+        between[pair] = n
+    between = between.reshape(classes, classes)
+    types_of = np.zeros(classes)
+    for k, n in vocabulary.counts.groupBy("k").agg(F.count(F.lit(1))).collect():  # one row per class
+        types_of[k] = n
+    tokens_of = between.sum(axis=0)
+    prior = (tokens_of + 0.5) / (tokens_of.sum() + 0.5 * classes)
+    transitions = (between + TRANSITION * prior[None, :]) / (between.sum(axis=1, keepdims=True) + TRANSITION)
+    return np.log10(transitions), np.log10(tokens_of + EMISSION * (types_of + 1))
+
+
+def fit(train: DataFrame, folder: str, **options) -> Model:
+    """The model of all rows of ``train``, with the classes of the listed words, or of all words if there are no more than HELD."""
+    v = learn(train, folder, **options)
+    transitions, share = weigh(v, lay(train, v, folder, "laid"))
+    held = v.counts if v.types <= HELD else v.counts.where(F.col("c") >= v.least)
+    further = {bytes(r.word): r.k for r in held.select("word", "k").collect() if bytes(r.word) not in v.core.word}
+    units = Units(v.core.words, v.core.endings)
+    units.word |= {w: len(units) + i for i, w in enumerate(further)}
+    return Model(units, np.concatenate([v.core_class, np.array(list(further.values()), np.int64)]), transitions, share, v.counts, v.total, v.types)
+
+
+def score(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Learns from the rows that are not held out and scores all. A null text is empty: its end alone is scored. ``score``
+    is the base-10 logarithm of the whole text's probability under the class model: each class splits its mass between
+    its training words, by count plus EMISSION, and one unknown word of weight EMISSION. ``base_score`` is that of the
+    unigram model over the same tokens. Repeated rows are scored alike; other columns are not read; an empty table gives
+    no row.
+    """
+    folder = folder or shared_dir(docs.sparkSession)
+    vocabulary = learn(docs.where(~held_out(F.col("doc_id"))), folder, **options)
+    laid = lay(docs, vocabulary, folder, "laid")
+    transitions, share = weigh(vocabulary, laid.where(~held_out(F.col("doc_id"))))
+    narrow = np.min_scalar_type(vocabulary.classes)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = []
+            for ks in batch.column("ks").to_pylist():
+                k = np.frombuffer(ks, narrow)
+                others.append(float(transitions[np.concatenate([[0], k[:-1]]).astype(np.int64), k].sum() - share[k].sum()))
+            kept = [batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(others, pa.float64())], names=["doc_id", "n_tokens", "n_known", "logs", "others"])
+
+    whole_mass = float(np.log10(vocabulary.total + BASE * (vocabulary.types + 1)))
+    return laid.mapInArrow(judge, "doc_id long, n_tokens long, n_known long, logs double, others double").select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(whole_mass)).alias("base_score"),
+        (F.col("logs") + F.col("others")).alias("score"),
     )

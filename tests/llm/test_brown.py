@@ -64,3 +64,46 @@ def test_best_class_equals_full_recount():
 
 def test_empty_table(spark):
     assert brown.score(docs(spark, [])).collect() == []
+
+
+def test_best_classes_equals_best_class_of_each_word():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 9, (40, 40)).astype(float) * (rng.random((40, 40)) < 0.3)
+    cls = rng.integers(0, 5, 40)
+    between = np.zeros((5, 5))
+    np.add.at(between, (cls[:, None].repeat(40, 1), cls[None, :].repeat(40, 0)), n)
+    others = [np.arange(40) != u for u in range(40)]
+    left = np.array([np.bincount(cls[o], n[o, u], 5) for u, o in enumerate(others)])
+    right = np.array([np.bincount(cls[o], n[u, o], 5) for u, o in enumerate(others)])
+    found = brown.best_classes(cls, left, right, np.diag(n), between)
+    checked = 0
+    for u in range(40):
+        want, gain = brown.best_class(int(cls[u]), left[u], right[u], n[u, u], between)
+        if want and gain > 1e-9:
+            checked += 1
+            assert found[u] == want
+    assert checked > 10
+
+
+def test_further_words_follow_their_neighbours_not_their_endings(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    a, b = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]
+    texts = []
+    for i in range(300):  # rare words of one ending stand among words of either kind
+        of, rare = (a, "p") if i % 2 else (b, "q")
+        texts.append(" ".join(rng.choice(of) if rng.random() < 0.8 else f"{rare}{rng.randrange(20)}xyz" for _ in range(30)))
+    rows = docs(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    options = dict(words=16, endings=1, listed=18, classes=3, rounds=8)
+    classes = {}
+    for r in brown.learn(rows, common.shared_dir(spark), **options).counts.collect():
+        classes.setdefault(bytes(r.word)[:1], set()).add(r.k)
+    assert len(classes[b"p"]) == len(classes[b"q"]) == 1 and classes[b"p"] != classes[b"q"]
+    count = Counter(w for t in texts for w in brown.tokens(t))
+    monkeypatch.setattr(brown, "HELD", 3)
+    again = brown.learn(rows, common.shared_dir(spark), **options)
+    assert {bytes(r.word): r.c for r in again.counts.collect()} == count
+    laid = {r.doc_id: r for r in brown.lay(rows, again, common.shared_dir(spark), "laid").collect()}
+    k = {bytes(r.word): r.k for r in again.counts.collect()}
+    assert all(list(laid[i].ks) == [k[w] for w in brown.tokens(t)] for i, t in enumerate(texts))
