@@ -7,15 +7,18 @@ the document are laid over each other and the overlap is verified token by token
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import shared_dir, small, stored
 
-#: Selected positions of each mask: seven of eleven tokens, and six of thirteen.
-MASKS = ((0, 1, 3, 6, 7, 9, 10), (0, 2, 3, 7, 11, 12))
+#: Selected positions of two masks of which one fits between any two substitutions among thirteen tokens (a test enumerates them).
+MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 3, 8, 9, 10))
 #: Seeds of the benchmark up to which every executor gets them all; beyond it the hashes are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 #: Keys of texts with hits, 8 bytes each, up to which the same holds for them.
@@ -27,6 +30,20 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def masks_of(n: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one, at some place in ``n`` tokens, meets no substitution, wherever as many are as ``share`` allows.
+
+    Beside MASKS, the tokens are cut into two blocks more than that, and each mask leaves out as many blocks.
+    """
+    wrong = n - math.ceil(share * n)
+    if n == 13 and wrong <= 2:
+        return MASKS
+    count = min(n, wrong + 2)
+    blocks = [range(n * i // count, n * (i + 1) // count) for i in range(count)]
+    kept = [[p for block in chosen for p in block] for chosen in combinations(blocks, max(1, count - wrong))]
+    return tuple(sorted({tuple(p - places[0] for p in places) for places in kept}))
+
+
 def _hashes(codes: str, mask: Sequence[int]) -> Column:
     """The hash of the selected tokens at each window of the mask's span, in order."""
     span = max(mask) + 1
@@ -54,7 +71,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
 
     A document overlaps an item where, on one alignment around a seed hit, some ``window`` consecutive tokens (all of a
     shorter item) agree in at least ``share`` of their positions. ``matched`` is the largest number of agreeing tokens of
-    the whole item on such an alignment. An item shorter than a mask's span is sought as a whole. Items of equal tokens
+    the whole item on such an alignment. The masks find every alignment that this accepts. Items of equal tokens
     count as one and give their smallest item_id; items and texts without a token overlap nothing. Equal texts are
     verified once. Empty tables give no row; other columns are not read.
     """
@@ -63,10 +80,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where("size(item) > 0")
     items = items.withColumn("k", F.md5(F.array_join("item", " ").cast("binary"))).groupBy("k").agg(F.min("item_id").alias("item_id"), F.first("item").alias("item"))
     items = stored(items, folder, "items")
-    spans = [max(m) + 1 for m in MASKS]
-    short = [r[0] for r in items.select(F.size("item").alias("n")).where(f"n < {max(spans)}").distinct().collect()]  # fewer values than a span
-    masks = [*MASKS, *[tuple(range(n)) for n in sorted(short)]]
-    seeds = _seeds(items.withColumnRenamed("item", "toks"), "k", masks).withColumnRenamed("p", "q").distinct()
+    sizes = [r[0] for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]  # no more values than ``window``
+    by_size = {n: masks_of(n, share) for n in sorted({*sizes, window})}
+    masks = sorted({m for found in by_size.values() for m in found})
+    of_size = lambda n: items.where(F.least(F.size("item"), F.lit(window)) == n).withColumnRenamed("item", "toks")
+    seeds = reduce(DataFrame.unionByName, [_seeds(of_size(n), "k", found) for n, found in by_size.items()]).withColumnRenamed("p", "q").distinct()
     seeds = small(stored(seeds, folder, "seeds"), BROADCAST_SEEDS)
 
     keyed = docs.select("text").where("text IS NOT NULL").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")

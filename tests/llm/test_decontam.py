@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 from lociflow.llm import decontam
@@ -47,3 +49,35 @@ def test_shuffle_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
     text = " ".join(f"w{i}" for i in range(20))
     assert decontam.contaminated(frame(spark, [(1, text, "x")]), bench(spark, [(5, text)])).first().item_id == 5
+
+
+def test_masks_hit_every_accepted_placement():
+    for n in range(1, 14):
+        wrong = n - math.ceil(0.8 * n)
+        for bad in itertools.combinations(range(n), wrong):
+            assert any(not {at + p for p in m} & set(bad) for m in decontam.masks_of(n, 0.8) for at in range(n - max(m))), (n, bad)
+
+
+def test_equals_alignment_without_seeds(spark):
+    rng = random.Random(8)
+    items = [[f"i{n}x{j}" for j in range(n)] for n in range(1, 21)]
+    texts = []
+    for w in items:
+        for _ in range(12):
+            t = list(w)
+            for i in rng.sample(range(len(t)), min(len(t), rng.randint(0, 4))):
+                t[i] = "other"
+            texts.append(["n"] * rng.randint(0, 3) + t[rng.choice([0, 0, 1]) : len(t) - rng.choice([0, 0, 1])] + ["n"] * rng.randint(0, 3))
+
+    def overlap(t, w):
+        width, best = min(13, len(w)), 0
+        for shift in range(-len(w), len(t)):
+            same = [0 <= j + shift < len(t) and t[j + shift] == x for j, x in enumerate(w)]
+            if max(sum(same[i : i + width]) for i in range(len(w) - width + 1)) >= math.ceil(0.8 * width):
+                best = max(best, sum(same))
+        return best
+
+    want = sorted((i, k, m, len(w)) for i, t in enumerate(texts) for k, w in enumerate(items) if (m := overlap(t, w)))
+    docs = frame(spark, [(i, " ".join(t), "x") for i, t in enumerate(texts)])
+    got = decontam.contaminated(docs, bench(spark, [(k, " ".join(w)) for k, w in enumerate(items)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched, r.item_tokens) for r in got) == want and len(want) > 60
