@@ -23,11 +23,14 @@ TITLES = {
 }
 ANY_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
+#: A group of a phone number does not start an address.
+NO_IP = rf"(?!{IP})"
 #: Kind -> pattern, in the order in which they are tried. Lookarounds keep matches whole and scans linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "ip": IP,
+    "phone": rf"(?<![\p{{L}}\d+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\)|[ .-]{NO_IP}\d(?=[ .-]\d))?[ .-]?{NO_IP}\d{{2,4}}(?:[ .-]?{NO_IP}\d{{2,4}}){{1,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])|(?<![\d.])\d{{3}}\.\d{{3}}\.\d{{4}}(?![\d.]*\d)|(?<!\d)(?<!\d[ -])\d{{3}} \d{{3}} \d{{4}}(?![ -]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "hex": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+\d)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",

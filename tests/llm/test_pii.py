@@ -54,3 +54,22 @@ def test_long_and_repeated_texts(spark):
 
 def test_empty_table(spark):
     assert pii.surrogate(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
+
+
+def test_adjacent_entities_and_short_phone_groups(spark):
+    texts = [
+        "call +1 (826) 555-4081 190.137.223.204 now",
+        "190.137.223.204 +33 1 23 45 67 89 10.0.0.1 end",
+        "or 555.123.4567, 555 123 4567 and 212 555 0100.",
+        "card 4111 1111 1111 1111 and 1.555.123.4567 stay apart",
+        "+1 (826) 555-4081",
+        "+49.30.1234.5678.90 and 190.137.223.204",
+    ]
+    out = run(spark, texts)
+    assert [r.found for r in out][:5] == [2, 3, 3, 1, 1]
+    a = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) (\d+\.\d+\.\d+\.\d+) now", out[0].text)
+    b = re.fullmatch(r"(\d+\.\d+\.\d+\.\d+) (\+33 \d \d\d \d\d \d\d \d\d) 10\.0\.0\.1 end|(\d+\.\d+\.\d+\.\d+) (\+33 \d \d\d \d\d \d\d \d\d) (\S+) end", out[1].text)
+    assert a and b and a[2] == (b[1] or b[3]) != "190.137.223.204" and a[1] == out[4].text != texts[4]
+    assert re.fullmatch(r"or \d{3}\.\d{3}\.\d{4}, \d{3} \d{3} \d{4} and \d{3} \d{3} \d{4}\.", out[2].text) and "4567" not in out[2].text
+    assert "1.555.123.4567" in out[3].text
+    assert out[5].text.split(" and ")[1] == a[2]
