@@ -11,31 +11,52 @@ from lociflow.functions.sequences import normal_tail
 from lociflow.operators.rankstats import midrank
 
 
-def placements(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Column:
-    """The share of the other class that a row's score beats, ties half: the structural components of the AUROC."""
-    both, own = midrank(F.col(score), by), midrank(F.col(score), [*by, label])
-    n_pos = F.sum((F.col(label) == 1).cast("long")).over(Window.partitionBy(*by))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return F.when(F.col(label) == 1, (both - own) / (n - n_pos)).otherwise(1 - (both - own) / n_pos)
+def placements(counts: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    """by..., score, and _pos and _neg: the share of the other class that a positive or negative row of that score beats, ties half.
+
+    ``counts`` has the rows _p and _n of each class; only distinct scores are ranked.
+    """
+    at = counts.groupBy(*by, score).agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    share = lambda c: (F.coalesce(F.sum(c).over(below), F.lit(0)) + F.col(c) / F.lit(2.0)) / F.nullif(F.sum(c).over(whole), F.lit(0))
+    return at.select(*by, score, share("_ns").alias("_pos"), (1 - share("_ps")).alias("_neg"))
 
 
 def delong(df: DataFrame, one: str, two: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """AUROCs of two scores on the same rows, their difference, its standard error, z and two-sided p.
 
-    The covariance comes from the variances of the placements in each class with n - 1; p is 1 where it is 0.
+    Rows are first counted per pair of scores. The covariance comes from the variances of the placements in each class with
+    n - 1, weighted by those counts; p is 1 where it is 0.
     """
     by = list(by)
     rows = df.where(F.col(one).isNotNull() & F.col(two).isNotNull() & F.col(label).isNotNull())
-    placed = rows.select(*by, label, placements(rows, one, label, by).alias("v1"), placements(rows, two, label, by).alias("v2"))
-    side = lambda k, c: F.when(F.col(label) == k, F.col(c))
-    g = placed.groupBy(*by).agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("n_pos"),
-        F.sum((F.col(label) != 1).cast("long")).alias("n_neg"),
-        F.avg(side(1, "v1")).alias("auc1"),
-        F.avg(side(1, "v2")).alias("auc2"),
-        F.var_samp(F.when(F.col(label) == 1, F.col("v1") - F.col("v2"))).alias("s10"),
-        F.var_samp(F.when(F.col(label) != 1, F.col("v1") - F.col("v2"))).alias("s01"),
+    key = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    keys = [f"_b{i}" for i in range(len(by))]
+    counts = rows.groupBy(*key, F.col(one).alias("_s1"), F.col(two).alias("_s2")).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_n"))
+    placed = counts
+    for i in "12":
+        ranked = placements(counts, f"_s{i}", keys).withColumnsRenamed({"_pos": f"_pos{i}", "_neg": f"_neg{i}"} | {f"_s{i}": f"_r{i}"} | {k: f"{k}_r{i}" for k in keys})
+        on = F.col(f"_s{i}") == F.col(f"_r{i}")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}_r{i}"))
+        placed = placed.join(ranked, on).drop(f"_r{i}", *[f"{k}_r{i}" for k in keys])
+    each = lambda w, x: F.sum(F.col(w) * x) / F.nullif(F.sum(w), F.lit(0))
+    means = placed.groupBy(*keys).agg(
+        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), each("_p", F.col("_pos1")).alias("auc1"), each("_p", F.col("_pos2")).alias("auc2"), each("_n", F.col("_neg1") - F.col("_neg2")).alias("_mean_neg")
     )
+    for k in keys:
+        means = means.withColumnRenamed(k, f"{k}_m")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_m"))
+    centred = placed.join(means, on)
+    spread = lambda w, v, mean, n: F.sum(F.col(w) * (F.col(f"{v}1") - F.col(f"{v}2") - mean) ** 2) / F.nullif(F.first(n) - 1, F.lit(0))
+    g = centred.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("n_pos", "n_neg", "auc1", "auc2")],
+        spread("_p", "_pos", F.col("auc1") - F.col("auc2"), "n_pos").alias("s10"),
+        spread("_n", "_neg", F.col("_mean_neg"), "n_neg").alias("s01"),
+    ).withColumnsRenamed(dict(zip(keys, by)))
     se = F.sqrt(F.col("s10") / F.col("n_pos") + F.col("s01") / F.col("n_neg"))
     return (
         g.withColumn("diff", F.col("auc1") - F.col("auc2"))

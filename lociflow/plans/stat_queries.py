@@ -111,7 +111,15 @@ def decile_auroc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delong_test(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_returnflag", "l_quantity", "l_discount", (F.col("l_linestatus") == "F").cast("int").alias("y"))
+    return _delong(table(spark, sf, "lineitem").where("l_linenumber = 1"))
+
+
+def delong_test_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _delong(table(spark, sf, "lineitem"))
+
+
+def _delong(lines: DataFrame) -> DataFrame:
+    df = lines.select("l_returnflag", "l_quantity", "l_discount", (F.col("l_linestatus") == "F").cast("int").alias("y"))
     found = stats.delong(df, "l_quantity", "l_discount", "y", ["l_returnflag"]).drop("p")
     return _round(found, 7, "auc1", "auc2", "diff", "se", "z")
 
@@ -269,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gini, category_shares, shares_pivot, mean_pivot, redundancy, effect_size, trimmed_mean, quantiles, group_spread, leave_one_out, largest_magnitude, mutual_information, top3_share,
-        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
+        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, delong_test_all_rows, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
         hash_sample, stratified_pick, top_k, greedy_match, dinucleotide_shuffle, nearest_vectors, out_of_fold_auroc, fold_roles, fold_checks, pair_filter, leakage, duplicate_scan,
         column_profile, table_diff, content_digest, first_wins, carry_forward, integrity, key_overlap, gram_components,
     )
@@ -363,3 +371,4 @@ ORACLES = {
     "key_overlap": """WITH k AS (SELECT l_partkey, max((l_returnflag = 'R')::INT) AS r, max((l_returnflag = 'A')::INT) AS a FROM lineitem GROUP BY 1)
         SELECT sum(r * a)::BIGINT AS both, sum(greatest(r, a))::BIGINT AS either, sum(r * (1 - a))::BIGINT AS only_r, round(sum(r * a) / sum(greatest(r, a))::DOUBLE, 9) AS jaccard FROM k""",
 }
+ORACLES["delong_test_all_rows"] = ORACLES["delong_test"].replace(" WHERE l_linenumber = 1", "")

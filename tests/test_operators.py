@@ -186,3 +186,10 @@ def test_variant_windows(spark):
     assert first.seq_ref == rna(genome[18:23]) and first.seq_alt == rna(genome[18:20] + "G" + genome[21:23]) and first.peak_distance == 0
     d = spark.createDataFrame([("x", 0, 1.0), ("x", 1, -3.0), ("x", 2, float("nan")), ("y", 0, float("nan"))], "vid string, shift_idx int, delta double")
     assert {r.vid: r.delta for r in variants.collapse(d, "delta").collect()} == {"x": -3.0, "y": None}
+
+
+def test_delong_ranks_distinct_scores_not_rows(spark):
+    rows = spark.range(4000).selectExpr("id % 3 AS g", "cast(id % 7 AS double) AS a", "cast(id * 31 % 5 AS double) AS b", "cast(id % 2 AS int) AS y")
+    counts = rows.selectExpr("g", "a", "cast(y AS long) AS _p", "cast(1 - y AS long) AS _n")
+    assert stats.placements(counts, "a", ["g"]).count() == 21
+    assert stats.delong(rows, "a", "b", "y", ["g"]).count() == 3
