@@ -54,6 +54,24 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` in number, joined with ``keyed``, one stored row for each key with its number ``m`` of rows.
+
+    Keys of more than a thousandth of the rows, fewer than 1,000, are broadcast, so that none gathers in one task.
+    """
+    frequent = F.broadcast(keyed.where(F.col("m") * 1000 > total).drop("m"))
+    rest = rows.join(frequent.select(key), key, "left_anti").join(keyed.where(F.col("m") * 1000 <= total).drop("m"), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes an intermediate table below a shared folder and reads it back: later jobs start from files, not lineage."""
     path = f"{folder}/{name}"

@@ -8,10 +8,14 @@ segments. Fragments serve twice:
   there are depends on the size; sets near the border of a size class are cut for both classes.
 * Counting. For the candidates, each fragment's overlap is counted separately, and the counts are summed per pair.
 
-Equal sets are one node. Of a segment's nodes only pairs with its first and its last node are counted at first; what they
-link forms components. All pairs of nodes from different components whose segments agree follow, if a parity sketch of
-their sets, whose Hamming distance never exceeds the true difference, allows a link. So links are never lost, and a group
-of near copies does not become all its pairs.
+Equal sets are one node. Pairs are counted in rounds, at most one for each node: its partner stands for a segment that they
+share, and is the nearest by a parity sketch of their sets, whose Hamming distance never exceeds the true difference. What
+links becomes a component, and in the next round only nodes of different components meet. Once hardly any link is found,
+all pairs of nodes from different components that share a segment and whose sketches allow a link follow. So no link between
+components is lost, and a group of near copies does not become all its pairs.
+
+Segments that many sets have, as those of a common passage, are left out for sets that must share more than these with
+any other they link with.
 """
 
 from __future__ import annotations
@@ -28,14 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import shared_dir, small, stored
+from lociflow.llm.common import fresh, join_keyed, shared_dir, small, stored
 
 #: Orders tried for sets that leave too many fragments empty, before each shingle counts as a segment.
 ORDERS = 4
 #: Fragments in which overlaps are counted.
 COUNTED = 8
-#: Rows up to which a key table is sent to every executor; beyond it the join is a shuffle.
+#: Nodes from which a segment or shingle is frequent: sets that must share others too are not sought by it.
+FREQUENT = 100
+#: A round that links no more than one part in so many of the first's is the last, before all pairs left are counted.
+WORTH = 20
+#: Rows of one or three numbers up to which a key table is sent to every executor; beyond it the join is a shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for tables with text keys, of about 60 bytes a row.
+BROADCAST_KEYS = 200_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 
@@ -109,23 +119,26 @@ def salt(klass: int, order: int) -> np.ndarray:
     return mix(np.array([(klass << 8) + order + 1], np.uint64)) * _ODD[2]
 
 
-def segment_hashes(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
-    """The hashes of the set's segments that are not empty, as a class cuts them.
+def segment_hashes(items: np.ndarray, klass: int, percent: int) -> tuple[np.ndarray, int]:
+    """The hashes of the set's segments that are not empty, as a class cuts them, and how many of them any set that links
+    with it has at least.
 
     A set has enough segments if they are more than it may differ in. Of two sets that link, an equal segment is not empty
     if either has enough. Sets without also give the segments of further orders, and after the last their single shingles.
     """
     count, differ = fragments(klass, percent), most_differ(len(items), klass, percent)
-    found = []
+    found, common = [], 0
     for order in range(ORDERS):
         keys = items if not order else np.sort(mix(items + np.uint64(order)))
         place = ((keys >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         content = np.add.reduceat(mix(keys ^ _ODD[1]), starts)
         found.append(mix(content + mix(place[starts] + salt(klass, order))))
+        if not order:
+            common = max(0, len(starts) - differ)
         if len(starts) > differ:
-            return np.concatenate(found)
-    return np.concatenate([*found, mix(items + salt(klass, ORDERS))])
+            return np.concatenate(found), common
+    return np.concatenate([*found, mix(items + salt(klass, ORDERS))]), common
 
 
 def sketch(items: np.ndarray, klass: int, percent: int) -> np.ndarray:
@@ -141,8 +154,9 @@ def _text_key() -> Column:
 
 def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """rid (a number of the row), doc_id, text_key, n (shingles), node (digest of the set, null without shingles) and cuts:
-    per class the segment hashes and the sketch."""
-    cut = pa.struct([("c", pa.int32()), ("segments", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    per class ``common`` and ``least``, how many segments and shingles a set that links shares with it, the segment hashes and the
+    sketch."""
+    cut = pa.struct([("c", pa.int32()), ("common", pa.int32()), ("least", pa.int64()), ("segments", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("node", pa.binary()), ("cuts", pa.list_(cut))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,18 +175,19 @@ def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 n, cuts = len(items), []
                 if n * (100 - percent) >= percent:  # smaller sets link with equal ones alone
                     for c in sorted({size_class(n, percent), size_class(n * 100 // percent, percent)}):
-                        cuts.append({"c": c, "segments": segment_hashes(items, c, percent).view(np.int64), "sketch": sketch(items, c, percent)})
+                        segments, common = segment_hashes(items, c, percent)
+                        cuts.append({"c": c, "common": common, "least": n - most_differ(n, c, percent), "segments": segments.view(np.int64), "sketch": sketch(items, c, percent)})
                 held.append((rid, doc_id, key, n, hashlib.md5(items.tobytes()).digest() if n else None, cuts))
                 rid += 1
                 size += n
-                if size > 200_000 or len(held) > 20_000:
+                if size > 100_000 or len(held) > 20_000:
                     yield batch_of()
                     held, size = [], 0
         if held:
             yield batch_of()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return whole.mapInArrow(rows, "rid long, doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,segments:array<long>,sketch:array<long>>>")
+    return whole.mapInArrow(rows, "rid long, doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,common:int,least:long,segments:array<long>,sketch:array<long>>>")
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -184,11 +199,10 @@ def _may_link(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> C
     return sizes & (_differs(sa, sb) * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) that link. The sets of their nodes are made again from one text of each, cut at fixed places of
-    the order; the overlap of each fragment is counted by itself and summed per pair."""
-    wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    keys = stored(nodes.join(wanted, "nid", "left_semi").select("nid", "n", "text_key"), folder, f"{name}-keys")
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, folder: str, name: str) -> DataFrame:
+    """nid, n, part and items of the nodes whose nid is in ``wanted``: their sets, made again from one text of each and cut
+    at fixed places of the order."""
+    keys = stored(nodes.join(wanted.select("nid").distinct(), "nid", "left_semi").select("nid", "n", "text_key"), folder, f"{name}-keys")
     schema = pa.schema([("text_key", pa.string()), ("part", pa.int32()), ("items", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +216,23 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
                 ends = np.searchsorted(place, np.arange(COUNTED + 1).astype(np.uint64))
                 held += [(key, part, items[ends[part] : ends[part + 1]].view(np.int64)) for part in range(COUNTED) if ends[part] < ends[part + 1]]
                 size += len(items)
-                if size > 500_000:
+                if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
                     held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
-    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).join(small(keys.select("text_key"), BROADCAST_ROWS), "text_key", "left_semi")
+    # short keys first; the exact key decides in the join with the nodes
+    short = small(keys.select(F.xxhash64("text_key").alias("short")), BROADCAST_ROWS)
+    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).withColumn("short", F.xxhash64("text_key")).join(short, "short", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     parts = texts.mapInArrow(cut, "text_key string, part int, items array<long>").join(keys, "text_key").select("nid", "n", "part", "items")
-    parts = stored(parts, folder, f"{name}-parts")
-    left = pairs.join(parts.select(F.col("nid").alias("a"), "part", F.col("items").alias("x"), F.col("n").alias("na")), "a")
+    return stored(parts, folder, f"{name}-parts")
+
+
+def verify(pairs: DataFrame, parts: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) that link: the overlap of each part is counted by itself and summed per pair."""
+    left = pairs.select("a", "b").join(parts.select(F.col("nid").alias("a"), "part", F.col("items").alias("x"), F.col("n").alias("na")), "a")
     both = left.join(parts.select(F.col("nid").alias("b"), "part", F.col("items").alias("y"), F.col("n").alias("nb")), ["b", "part"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("overlap"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
@@ -240,6 +260,93 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())
 
 
+def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, folder: str) -> DataFrame:
+    """s, c, nid: what stands in the place of the rows of frequent segments.
+
+    Any set that links with a node shares ``common`` of its segments, so that a node with fewer frequent ones is found by the
+    others. The rest share single shingles, ``least`` at any rate: they are sought by those that are not frequent, and by
+    their frequent segments only where ``least`` of their shingles are frequent, as in copies of one text.
+    """
+    count = F.count(F.lit(1))
+    hard = often.groupBy("nid", "c").agg(count.alias("h")).join(cuts.select("nid", "c", "common", "least"), ["nid", "c"]).where("h >= common").select("nid", "c", "least")
+    hard = stored(hard, folder, "hard")
+    sets = sets_of(hard, nodes, docs, k, folder, "hard").select("nid", F.explode("items").alias("item"))
+    single = stored(sets.join(hard, "nid").select(F.xxhash64("c", "item").alias("s"), "c", "nid", "least"), folder, "single")
+    known = single.groupBy("s").agg(count.alias("m"))
+    rare = single.join(known.where(f"m > 1 AND m < {FREQUENT}").select("s"), "s", "left_semi").select("s", "c", "nid")
+    held = single.join(small(known.where(f"m >= {FREQUENT}").select("s"), BROADCAST_ROWS), "s", "left_semi").groupBy("nid", "c", "least").agg(count.alias("h"))
+    alike = held.where("h >= least").select("nid", "c")
+    return rare.unionByName(often.select("s", "c", "nid").join(alike, ["nid", "c"], "left_semi"))
+
+
+def placed_in(active: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """s, c, nid and root, the component that the node belongs to so far."""
+    if roots is None:
+        return active.select("s", "c", "nid", F.col("nid").alias("root"))
+    return active.select("s", "c", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+
+def meeting(placed: DataFrame, turn: int) -> DataFrame:
+    """a, c, b: of every segment with nodes of two components, each node a with one node b that is in another component than
+    itself. In each segment and turn two nodes of different components, drawn by a hash, stand for the rest; in turn 0, when
+    every node is a component, its first and its last one."""
+    if not turn:
+        stand = placed.groupBy("s").agg(F.min("nid").alias("x"), F.max("nid").alias("y")).where("x <> y")
+        return placed.join(stand, "s").select(F.col("nid").alias("a"), "c", F.explode(F.array("x", "y")).alias("b")).where("a <> b").distinct()
+    drawn = F.struct(F.xxhash64("nid", "s", F.lit(turn)).alias("h"), "root", "nid")
+    one = placed.groupBy("s").agg(F.min(drawn).alias("x"))
+    placed = placed.join(one, "s")
+    other = placed.where("root <> x.root").groupBy("s").agg(F.min(drawn).alias("y"))
+    return placed.join(other, "s").select(F.col("nid").alias("a"), "c", F.when(F.col("root") != F.col("x.root"), F.col("x.nid")).otherwise(F.col("y.nid")).alias("b")).distinct()
+
+
+def near(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b and d, the distance of their sketches, of the pairs that may link."""
+    may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
+    found = met.join(_side(sketches, "a"), ["a", "c"]).join(_side(sketches, "b"), ["b", "c"]).where(may)
+    return found.select("a", "b", _differs(F.col("sa"), F.col("sb")).alias("d"))
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """At most one pair (a, b) for each node: that with the nearest sketch."""
+    best = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _side(sketches: DataFrame, side: str) -> DataFrame:
+    return sketches.select(F.col("nid").alias(side), "c", F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+
+
+def across(placed: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
+    """s, nid, root, n, sketch and stands, whether the node is the one of its component that stands for it in the segment, of
+    the segments with nodes of two components."""
+    stand = placed.groupBy("s", "root").agg(F.min("nid").alias("stand"))
+    open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+    placed = placed.join(open_, "s", "left_semi").join(stand, ["s", "root"]).withColumn("stands", F.col("nid") == F.col("stand"))
+    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "sketch", "stands"), folder, "placed")
+
+
+def met_across(left: DataFrame, right: DataFrame, percent: int, order: str) -> DataFrame:
+    """The pairs (a, b) of a segment's nodes in different components that may link."""
+    left = left.select("s", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("stands").alias("first_a"))
+    right = right.select(F.col("s").alias("s_b"), F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("stands").alias("first_b"))
+    may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
+    met = left.join(right, (F.col("s") == F.col("s_b")) & (F.col("ra") != F.col("rb")) & F.expr(order) & may)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def contracted(roots: DataFrame | None, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """nid and root of every linked node, after ``links`` have joined components."""
+    if roots is None:
+        return components(links, folder, name)
+    of = lambda side: roots.select(F.col("nid").alias(side), F.col("root").alias(f"r{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(ends.where("a <> b").distinct(), folder, name).withColumnRenamed("root", "new")
+    old = roots.join(moved.withColumnRenamed("nid", "root"), "root", "left").select("nid", F.coalesce("new", "root").alias("root"))
+    single = moved.join(roots.select("nid"), "nid", "left_anti").select("nid", F.col("new").alias("root"))
+    return stored(old.unionByName(single), folder, f"{name}-roots")
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, text_key (MD5 of the text), n_shingles, component_id, the smallest doc_id that links
     reach, and root, a number of the component (null without shingles).
@@ -251,7 +358,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     """
     folder = folder or shared_dir(docs.sparkSession)
     measured = stored(measure(docs, k, percent), folder, "measured")
-    nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("nid"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_key").alias("text_key"))
+    nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("nid"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("m"))
     nodes = stored(nodes, folder, "nodes")
     # the cuts of one row of each node: read beside the measures while the numbers of those rows can be broadcast
     first = measured.select(F.col("rid").alias("nid"), "n", "cuts")
@@ -262,32 +369,46 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     shared = segments.groupBy("s").agg(F.min("nid").alias("first"), F.max("nid").alias("last"), F.first("c").alias("c"), F.count(F.lit(1)).alias("m"))
     shared = stored(shared.where("first <> last"), folder, "shared")
     # a segment of two nodes is known in full; the others' nodes are joined back
-    two = shared.where("m = 2").select("s", "c", "first", "last", F.explode(F.array("first", "last")).alias("nid"))
-    more = segments.select("s", "nid").join(small(shared.where("m > 2").drop("m"), BROADCAST_ROWS), "s")
-    active = stored(two.unionByName(more), folder, "active")
-    sketches = cuts.select("nid", "n", "c", "sketch")
-
-    stars = active.select(F.col("nid").alias("a"), "c", F.explode(F.array("first", "last")).alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c").distinct()
-    of = lambda side: sketches.select(F.col("nid").alias(side), "c", F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
-    stars = stars.join(of("a"), ["a", "c"]).join(of("b"), ["b", "c"]).where(may).select("a", "b").distinct()
-    links = verify(stored(stars, folder, "stars"), nodes, docs, k, percent, folder, "stars")
-    roots = components(links, folder, "stars")
-
-    placed = active.select("s", "c", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
-    placed = stored(placed.join(open_, "s", "left_semi").join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "sketch"), folder, "placed")
-    left = placed.select("s", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = placed.select("s", F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    across = left.join(right, (left["s"] == right["s"]) & (F.col("ra") < F.col("rb")) & may).select("a", "b").distinct()
-    links = links.unionByName(verify(stored(across, folder, "across"), nodes, docs, k, percent, folder, "across"))
-    roots = components(links, folder, "all")
-
-    member = nodes.select("node", "nid", "first_id").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(named, "root").select("node", "component_id", "root")
-    with_set = measured.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(member, "node").drop("node")
+    two = shared.where("m = 2").select("s", "c", F.explode(F.array("first", "last")).alias("nid"))
+    more = segments.select("s", "nid").join(small(shared.where("m > 2").select("s", "c", "m"), BROADCAST_ROWS), "s")
+    more = stored(more, folder, "more")
+    active = two.unionByName(more.where(F.col("m") < FREQUENT).drop("m"))
+    often = more.where(F.col("m") >= FREQUENT)
+    if often.limit(1).count():
+        active = active.unionByName(without_frequent(often, cuts, nodes, docs, k, folder))
+    active = stored(active, folder, "active")
+    sketches = stored(cuts.join(small(active.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
+    found = stored(near(meeting(active, 0), sketches, percent), folder, "near-0")
+    involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
+    parts = sets_of(involved, nodes, docs, k, folder, "involved")
+    pairs, roots, turn, first_links = nearest(found), None, 0, 0
+    inner = stored(active.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
+    while True:
+        links = verify(stored(pairs, folder, f"pairs-{turn}"), parts, percent, folder, f"round-{turn}")
+        linked = links.count()
+        roots = contracted(roots, links, folder, f"round-{turn}") if linked or not turn else roots
+        first_links, turn = first_links or linked, turn + 1
+        if linked * WORTH <= first_links:  # all pairs that are left follow
+            break
+        pairs = nearest(near(meeting(placed_in(inner, roots), turn), sketches, percent))
+    # then all pairs: of one node for each component of a segment first, of the others if those have not joined them
+    placed = across(placed_in(active, roots), sketches, folder)
+    firsts = placed.where("stands")
+    for name, of in (("firsts", lambda: met_across(firsts, firsts, percent, "ra < rb")), ("others", lambda: met_across(placed.where("NOT stands"), placed, percent, "first_b OR a < b"))):
+        rest = stored(of(), folder, name)
+        if not rest.limit(1).count():
+            continue
+        parts = sets_of(rest.select(F.explode(F.array("a", "b")).alias("nid")), nodes, docs, k, folder, name)
+        roots = contracted(roots, verify(rest, parts, percent, folder, name), folder, name)
+        placed = placed.drop("root").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+    linked = stored(roots.join(nodes.select("nid", "first_id"), "nid"), folder, "linked")
+    named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = join_keyed(linked.select("nid", "root"), stored(named, folder, "named"), "root", linked.count())
+    member = nodes.select("node", "nid", "first_id", "m").join(named, "nid", "left")
+    member = member.select("node", "m", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "nid").alias("root"))
+    with_set = measured.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
+    with_set = join_keyed(with_set, stored(member, folder, "member"), "node", with_set.count()).select("doc_id", "text_key", "n_shingles", "component_id", "root")
     without = measured.where("node IS NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return with_set.unionByName(without)
 
@@ -295,21 +416,24 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one: that of smallest doc_id, then of smallest text key.
 
-    Rows that repeat both doc_id and text count once. Rows whose text has no words stay all. Columns stay as they were.
+    Rows that repeat both doc_id and text count once. Rows whose text has no words, null ones too, stay all. An empty table
+    stays empty. Columns stay as they were, whatever their names.
     """
     folder = options.setdefault("folder", shared_dir(docs.sparkSession))
     found = stored(classes(docs, **options).where("n_shingles > 0"), folder, "found")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     chosen = found.groupBy("root").agg(F.min(key).alias("x"))
-    other = found.join(chosen, "root").where(~key.eqNullSafe(F.col("x")))
-    other = stored(other.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), folder, "removed")
-    twice = stored(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"), folder, "repeated")
-    keyed = docs.withColumn("_text_key", _text_key())
-    same = lambda k: keyed["doc_id"].cast("long").eqNullSafe(k["_id"]) & (keyed["_text_key"] == k["_key"])
-    removed = small(other, BROADCAST_ROWS)
-    kept = keyed.join(removed, same(removed), "left_anti")
+    chosen = chosen.select(F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("key"))
+    ids = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    other = ids.join(chosen, ids["id"].eqNullSafe(chosen["id"]) & (ids["key"] == chosen["key"]), "left_anti")
+    other = stored(other.distinct(), folder, "removed")
+    twice = stored(ids.groupBy("id", "key").count().where("count > 1").drop("count"), folder, "repeated")
+    name = fresh(docs, "text_key")
+    keyed = docs.withColumn(name, _text_key())
+    same = lambda rows, k: rows["doc_id"].cast("long").eqNullSafe(k["id"]) & (rows[name] == k["key"])
+    removed = small(other, BROADCAST_KEYS)
+    kept = keyed.join(removed, same(keyed, removed), "left_anti")
     if twice.limit(1).count():
-        repeated = small(twice, BROADCAST_ROWS)
-        on = lambda: kept["doc_id"].cast("long").eqNullSafe(repeated["_id"]) & (kept["_text_key"] == repeated["_key"])
-        kept = kept.join(repeated, on(), "left_anti").unionByName(kept.join(repeated, on(), "left_semi").dropDuplicates(["doc_id", "_text_key"]))
-    return kept.drop("_text_key")
+        repeated = small(twice, BROADCAST_KEYS)
+        kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", name]))
+    return kept.drop(name)
