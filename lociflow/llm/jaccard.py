@@ -347,6 +347,39 @@ def contracted(roots: DataFrame | None, links: DataFrame, folder: str, name: str
     return stored(old.unionByName(single), folder, f"{name}-roots")
 
 
+def linked_roots(active: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame | None:
+    """nid and root, a number of its component, of every node that links with another; None if none does."""
+    sketches = stored(cuts.join(small(active.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
+    found = stored(near(meeting(active, 0), sketches, percent), folder, "near-0")
+    involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
+    parts = sets_of(involved, nodes, docs, k, folder, "involved")
+    pairs, roots, turn, first_links = nearest(found), None, 0, 0
+    inner = stored(active.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
+    while True:
+        links = verify(stored(pairs, folder, f"pairs-{turn}"), parts, percent, folder, f"round-{turn}")
+        linked = links.count()
+        roots = contracted(roots, links, folder, f"round-{turn}") if linked else roots
+        first_links, turn = first_links or linked, turn + 1
+        if linked * WORTH <= first_links:  # all pairs that are left follow
+            break
+        pairs = nearest(near(meeting(placed_in(inner, roots), turn), sketches, percent))
+    # then all pairs: of one node for each component of a segment first, of the others if those have not joined them
+    placed = across(placed_in(active, roots), sketches, folder)
+    firsts = placed.where("stands")
+    for name, of in (("firsts", lambda: met_across(firsts, firsts, percent, "ra < rb")), ("others", lambda: met_across(placed.where("NOT stands"), placed, percent, "first_b OR a < b"))):
+        rest = stored(of(), folder, name)
+        if not rest.limit(1).count():
+            continue
+        parts = sets_of(rest.select(F.explode(F.array("a", "b")).alias("nid")), nodes, docs, k, folder, name)
+        links = verify(rest, parts, percent, folder, name)
+        if not links.limit(1).count():
+            continue
+        roots = contracted(roots, links, folder, name)
+        placed = placed.drop("root").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+    return roots
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, text_key (MD5 of the text), n_shingles, component_id, the smallest doc_id that links
     reach, and root, a number of the component (null without shingles).
@@ -377,36 +410,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     if often.limit(1).count():
         active = active.unionByName(without_frequent(often, cuts, nodes, docs, k, folder))
     active = stored(active, folder, "active")
-    sketches = stored(cuts.join(small(active.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
-    found = stored(near(meeting(active, 0), sketches, percent), folder, "near-0")
-    involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
-    parts = sets_of(involved, nodes, docs, k, folder, "involved")
-    pairs, roots, turn, first_links = nearest(found), None, 0, 0
-    inner = stored(active.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
-    while True:
-        links = verify(stored(pairs, folder, f"pairs-{turn}"), parts, percent, folder, f"round-{turn}")
-        linked = links.count()
-        roots = contracted(roots, links, folder, f"round-{turn}") if linked or not turn else roots
-        first_links, turn = first_links or linked, turn + 1
-        if linked * WORTH <= first_links:  # all pairs that are left follow
-            break
-        pairs = nearest(near(meeting(placed_in(inner, roots), turn), sketches, percent))
-    # then all pairs: of one node for each component of a segment first, of the others if those have not joined them
-    placed = across(placed_in(active, roots), sketches, folder)
-    firsts = placed.where("stands")
-    for name, of in (("firsts", lambda: met_across(firsts, firsts, percent, "ra < rb")), ("others", lambda: met_across(placed.where("NOT stands"), placed, percent, "first_b OR a < b"))):
-        rest = stored(of(), folder, name)
-        if not rest.limit(1).count():
-            continue
-        parts = sets_of(rest.select(F.explode(F.array("a", "b")).alias("nid")), nodes, docs, k, folder, name)
-        roots = contracted(roots, verify(rest, parts, percent, folder, name), folder, name)
-        placed = placed.drop("root").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-
-    linked = stored(roots.join(nodes.select("nid", "first_id"), "nid"), folder, "linked")
-    named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    named = join_keyed(linked.select("nid", "root"), stored(named, folder, "named"), "root", linked.count())
-    member = nodes.select("node", "nid", "first_id", "m").join(named, "nid", "left")
-    member = member.select("node", "m", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "nid").alias("root"))
+    member = nodes.select("node", "nid", "first_id", "m")
+    if active.limit(1).count() and (roots := linked_roots(active, cuts, nodes, docs, k, percent, folder)) is not None:
+        linked = stored(roots.join(nodes.select("nid", "first_id"), "nid"), folder, "linked")
+        named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        named = join_keyed(linked.select("nid", "root"), stored(named, folder, "named"), "root", linked.count())
+        member = member.join(named, "nid", "left")
+        member = member.select("node", "m", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "nid").alias("root"))
+    else:
+        member = member.select("node", "m", F.col("first_id").alias("component_id"), F.col("nid").alias("root"))
     with_set = measured.where("node IS NOT NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
     with_set = join_keyed(with_set, stored(member, folder, "member"), "node", with_set.count()).select("doc_id", "text_key", "n_shingles", "component_id", "root")
     without = measured.where("node IS NULL").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))

@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.common import fresh
+
 #: Weight of each piece of the vocabulary beside the counts.
 SMOOTHING = 0.05
 #: Words of up to so many bytes are computed together and remembered, so many at most; longer ones are computed each time.
 LONGEST, REMEMBERED = 40, 200_000
 #: Characters of text whose words are held at once.
 CHUNK = 500_000
-#: Languages learned at most, the most frequent first; it bounds the model, which every executor holds.
-MAX_LANGUAGES = 256
 #: Labelled rows that the classifier is fitted on, in expectation: a sample by hash where there are more.
 TRAIN_ROWS = 40_000
 
@@ -76,8 +76,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(train: DataFrame, tokenizer_path: str) -> Model:
     """Learns from the rows of ``train`` with a non-null lang: the counts of the pieces that the tokenizer finds.
 
-    Rows are counted in their partitions; per language and piece, one sum reaches the driver: at most MAX_LANGUAGES
-    times the vocabulary's size.
+    Rows are counted in their partitions; per language and piece, one sum reaches the driver, which holds as many numbers
+    as there are labels times ids of the vocabulary. A table without rows or labels gives a model without languages.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,12 +107,12 @@ def fit(train: DataFrame, tokenizer_path: str) -> Model:
         yield pd.DataFrame(rows, columns=["lang", "piece", "n"])
 
     rows = train.where(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
-    top = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    languages, docs = [lang for lang, _ in top], np.array([n for _, n in top], float)
+    known = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())  # one row per label
+    languages, docs = [lang for lang, _ in known], np.array([n for _, n in known], float)
     size = vocabulary(tokenizer_path)[2]
     if not languages:
         return Model([], np.zeros(0), np.zeros((size + 1, 0)))
-    counted = rows.where(F.col("lang").isin(languages)).mapInPandas(count, "lang string, piece int, n long")
+    counted = rows.mapInPandas(count, "lang string, piece int, n long")
     column, table = {lang: k for k, lang in enumerate(languages)}, np.zeros((size, len(languages)))
     for lang, piece, n in counted.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         table[piece, column[lang]] = n
@@ -234,8 +234,9 @@ def identify(docs: DataFrame, tokenizer_path: str, out: str = "_language", train
     if (rows := train.count()) > train_rows:
         train = train.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < round((1 << 20) * train_rows / rows))
     model = fit(train.select("lang", "text"), tokenizer_path)
-    found = docs.withColumn("_predicted", predict(F.col("text").cast("string"), model, tokenizer_path))
-    return found.withColumn(out, F.struct("_predicted.*", held_out(F.col("doc_id")).alias("held_out"))).drop("_predicted")
+    name = fresh(docs, "predicted")
+    found = docs.withColumn(name, predict(F.col("text").cast("string"), model, tokenizer_path))
+    return found.withColumn(out, F.struct(f"{name}.*", held_out(F.col("doc_id")).alias("held_out"))).drop(name)
 
 
 def rejects(language: Column, least: float = 0.5) -> Column:

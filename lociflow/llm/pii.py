@@ -1,9 +1,9 @@
 """Surrogates for personal data.
 
-Patterns find e-mail and IP addresses, phone, identity and card numbers, bank accounts, keys in hexadecimal and names
+Patterns find e-mail and IP addresses (both versions), phone, identity and card numbers, bank accounts, keys in hexadecimal and names
 after a title. Every distinct entity gets a surrogate that a keyed hash draws for its canonical form: the same entity
 has the same surrogate in all documents and spellings. Surrogates keep type, format, letter case, script and, for names,
-the gender that the title tells. Draws that meet another surrogate or a real entity are drawn anew, until all differ.
+the gender that the title tells; valid check digits stay valid. Draws that meet another surrogate or a real entity are drawn anew, until all differ.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import shared_dir, stored
+from lociflow.llm.common import fresh, shared_dir, stored
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # Titles that tell a gender.
@@ -26,13 +26,15 @@ NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 #: A group of a phone number does not start an address.
 NO_IP = rf"(?!{IP})"
+HEX4 = "[0-9A-Fa-f]{1,4}"
 #: Kind -> pattern, in the order in which they are tried. Lookarounds keep matches whole and scans linear.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
     "ip": IP,
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]*+\d)(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}:){{1,6}}(?::{HEX4}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "phone": rf"(?<![\p{{L}}\d+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\)|[ .-]{NO_IP}\d(?=[ .-]\d))?[ .-]?{NO_IP}\d{{2,4}}(?:[ .-]?{NO_IP}\d{{2,4}}){{1,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])|(?<![\d.])\d{{3}}\.\d{{3}}\.\d{{4}}(?![\d.]*\d)|(?<!\d)(?<!\d[ -])\d{{3}} \d{{3}} \d{{4}}(?![ -]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "hex": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+\d)[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "hex": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+\d)[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{ANY_TITLE})\.? {NAME}(?: {NAME}){{0,2}}",
@@ -55,8 +57,8 @@ SYLLABLES = {
     "greek": ("βα", "γορ", "δη", "ζαν", "θε", "κορ", "λιν", "μαρ", "νικ", "παπ", "ροδ", "σολ", "τασ", "φιλ", "χρι", "ψαλ"),
 }
 ENDINGS = {("latin", "m"): "o", ("latin", "f"): "a", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("greek", "m"): "ος", ("greek", "f"): "η"}
-#: Draws after which an entity gets a plain placeholder with its hash instead.
-ROUNDS = 12
+#: Letters that stand for those of other scripts in mail addresses.
+LETTERS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
 def _case(value: Column, options: dict[str, Column]) -> Column:
@@ -93,7 +95,11 @@ def parts_of(entity: Column, kind: Column) -> Column:
     named = F.transform(
         words,
         lambda w, i: F.struct(
-            F.concat(F.when(i < F.size(words) - 1, F.lit("given-")).otherwise(F.lit("family-")), _script(w), F.lit("-"), gender).alias("kind"),
+            # Latin family names have no gender, so that those of a couple stay one name
+            F.when(i < F.size(words) - 1, F.concat(F.lit("given-"), _script(w), F.lit("-"), gender))
+            .when(_script(w) == "latin", F.lit("family-latin"))
+            .otherwise(F.concat(F.lit("family-"), _script(w), F.lit("-"), gender))
+            .alias("kind"),
             F.lower(w).alias("canon"),
         ),
     )
@@ -102,6 +108,7 @@ def parts_of(entity: Column, kind: Column) -> Column:
         {
             "email": F.lower(entity),
             "ip": entity,
+            "ipv6": F.lower(entity),
             "phone": F.concat(_country(entity), F.lit("|"), _digits(entity)),
             "ssn": _digits(entity),
             "hex": F.lower(entity),
@@ -132,11 +139,13 @@ def _like(text: Column, stream: Column, keep: Column, hexadecimal: bool = False)
     def draw(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
         if hexadecimal:
-            return _pick("0123456789abcdef", b)
+            return F.when(c == ":", c).otherwise(_pick("0123456789abcdef", b))
         return (
             F.when(i < keep, c)
             .when(c.rlike("[0-9]"), _pick("0123456789", b))
             .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b))
+            .when(c.rlike(r"\p{IsCyrillic}"), _pick(LETTERS["Cyrillic"], b))
+            .when(c.rlike(r"\p{IsGreek}"), _pick(LETTERS["Greek"], b))
             .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b))
             .otherwise(c)
         )
@@ -144,6 +153,32 @@ def _like(text: Column, stream: Column, keep: Column, hexadecimal: bool = False)
     return F.array_join(F.transform(F.split(text, ""), draw), "")
 
 
+def _luhn(body: Column) -> Column:
+    """The check digit that card numbers end with."""
+    doubled = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
+    return ((10 - F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10) % 10).cast("string")
+
+
+def _mod97(characters: Column) -> Column:
+    """The remainder of account numbers, letters counting from 10."""
+    number = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(characters, ""), F.lit(0), lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + number(c)) % 97)
+
+
+def _card(canon: Column, drawn: Column) -> Column:
+    """``drawn`` with a valid check digit if ``canon`` has one."""
+    body = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
+    return F.when(F.substring(canon, -1, 1) == _luhn(body(canon)), F.concat(body(drawn), _luhn(body(drawn)))).otherwise(drawn)
+
+
+def _iban(canon: Column, drawn: Column) -> Column:
+    """``drawn`` with valid check digits if ``canon`` has them."""
+    country, rest = F.substring(drawn, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn) - 4)
+    digits = F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon) - 4), F.substring(canon, 1, 4))) == 1
+    return F.when(valid, F.concat(country, digits, rest)).otherwise(drawn)
+
+
 def draw(key: str, kind: Column, canon: Column, turn: int) -> Column:
     """The surrogate of a canonical form in one round of draws."""
     seed = F.concat_ws("|", kind, canon, F.lit(str(turn)))
@@ -155,20 +190,22 @@ def draw(key: str, kind: Column, canon: Column, turn: int) -> Column:
     country, number = F.substring_index(canon, "|", 1), F.substring_index(canon, "|", -1)
     none = F.lit(0)
     options = {
-        "email": F.concat(_like(local, stream, none), F.lit("@"), _like(host, host_stream, none), F.lit(".example")),
+        # later draws add characters, so that short parts cannot run out
+        "email": F.concat(_like(local, stream, none), F.substring(F.sha2(F.concat_ws("|", F.lit(key), seed), 256), 1, max(0, turn - 3)), F.lit("@"), _like(host, host_stream, none), F.lit(".example")),
         "ip": F.concat_ws(".", *octets),
         "phone": _like(number, stream, F.length(country)),
         "ssn": _like(canon, stream, none),
         "hex": _like(canon, stream, none, hexadecimal=True),
-        "card": _like(canon, stream, none),
-        "iban": _like(canon, stream, F.lit(2)),
+        "card": _card(canon, _like(canon, stream, none)),
+        "iban": _iban(canon, _like(canon, stream, F.lit(2))),
+        "ipv6": _like(canon, stream, none, hexadecimal=True),
     }
     for script, syllables in SYLLABLES.items():
         for gender in "mf":
             said = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), _byte(stream, s) % len(syllables) + 1) for s in range(min(2 + turn, 12))])
             given = GIVEN[script, gender]
             options[f"given-{script}-{gender}"] = F.lower(F.element_at(F.array(*map(F.lit, given)), _byte(stream, 31) % len(given) + 1)) if not turn else F.concat(said, F.lit(ENDINGS[script, gender]))
-            options[f"family-{script}-{gender}"] = F.concat(said, F.lit(ENDINGS[script, gender] if script != "latin" else "er"))
+            options["family-latin" if script == "latin" else f"family-{script}-{gender}"] = F.concat(said, F.lit("er" if script == "latin" else ENDINGS[script, gender]))
     return _case(kind, options)
 
 
@@ -176,12 +213,12 @@ def assign(parts: DataFrame, key: str, folder: str) -> DataFrame:
     """kind, canon, core: one surrogate per distinct part, different from all other surrogates and all real forms of its kind.
 
     Each round draws for the parts that have none. Of parts that drew the same, the smallest canonical form keeps it;
-    draws that equal a real form or an earlier surrogate fall. Parts left after the last round get their hash.
+    draws that equal a real form or an earlier surrogate fall. Rounds go on until every part has its own.
     """
     pending = parts.select("kind", "canon").distinct()
     real = stored(pending.select("kind", F.when(F.col("kind") == "phone", F.substring_index("canon", "|", -1)).otherwise(F.col("canon")).alias("core")).distinct(), folder, "real")
-    taken = None
-    for turn in range(ROUNDS):
+    taken, turn = None, 0
+    while True:
         drawn = stored(pending.withColumn("core", draw(key, F.col("kind"), F.col("canon"), turn)), folder, f"drawn-{turn}")
         free = drawn.join(real, ["kind", "core"], "left_anti")
         if taken is not None:
@@ -191,7 +228,7 @@ def assign(parts: DataFrame, key: str, folder: str) -> DataFrame:
         pending = drawn.select("kind", "canon").join(won, ["kind", "canon"], "left_anti")
         if not pending.limit(1).count():
             return taken
-    return taken.unionByName(pending.select("kind", "canon", F.concat(F.lit("#"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256)).alias("core")))
+        turn += 1
 
 
 def _pour(entity: Column, core: Column) -> Column:
@@ -207,8 +244,8 @@ def render(entity: Column, kind: Column, cores: Column) -> Column:
     core, upper = cores[0], (F.upper(entity) == entity)
     title = F.regexp_extract(entity, rf"\A((?:{ANY_TITLE})\.? )", 1)
     words = F.array_join(F.zip_with(_name_words(entity), cores, lambda w, c: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(c)).otherwise(F.initcap(c))), " ")
-    formed = F.when(kind == "name", F.concat(title, words)).when(kind.isin("email", "hex"), F.when(upper, F.upper(core)).otherwise(core)).when(kind == "ip", core).otherwise(_pour(entity, core))
-    return F.when(F.exists(cores, lambda c: c.startswith("#")), F.concat(F.lit("["), kind, core, F.lit("]"))).otherwise(formed)
+    formed = F.when(kind == "name", F.concat(title, words)).when(kind.isin("email", "hex", "ipv6"), F.when(upper, F.upper(core)).otherwise(core)).when(kind == "ip", core).otherwise(_pour(entity, core))
+    return formed
 
 
 def surrogate(docs: DataFrame, key: str, counted: str | None = None, folder: str | None = None) -> DataFrame:
@@ -220,21 +257,21 @@ def surrogate(docs: DataFrame, key: str, counted: str | None = None, folder: str
     entities table are the only things gathered, and joins on them can be split where one text or entity is frequent.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    k, new_, hinted = fresh(docs, "text_md"), fresh(docs, "replacements"), F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     md5 = F.md5(F.col("text").cast("binary"))
-    searched = docs.where(hinted).select(md5.alias("_k"), F.posexplode_outer(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
-    mentions = stored(searched.where("entity IS NOT NULL").groupBy("_k", "pos").agg(F.first("entity").alias("entity")), folder, "mentions")
+    searched = docs.where(hinted).select(md5.alias("k"), F.posexplode_outer(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity"))
+    mentions = stored(searched.where("entity IS NOT NULL").groupBy("k", "pos").agg(F.first("entity").alias("entity")), folder, "mentions")
     entities = mentions.select("entity").distinct().withColumn("kind", classify(F.col("entity")))
     entities = stored(entities.withColumn("parts", parts_of(F.col("entity"), F.col("kind"))), folder, "entities")
     pieces = entities.select("entity", F.posexplode_outer("parts").alias("i", "part")).select("entity", "i", "part.kind", "part.canon")
     mapped = pieces.join(assign(pieces, key, folder), ["kind", "canon"]).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("i", "core"))).alias("cores"))
     new = entities.join(mapped, "entity").select("entity", render(F.col("entity"), F.col("kind"), F.transform("cores", lambda c: c["core"])).alias("new"))
-    replaced = mentions.join(stored(new, folder, "new"), "entity").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"))
+    replaced = mentions.join(stored(new, folder, "new"), "entity").groupBy(F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias(new_))
     gaps = F.split("text", ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.transform("_new", lambda n: n["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    with_hint = docs.where(hinted).withColumn("_k", md5).join(replaced, "_k", "left").drop("_k")
-    with_hint = with_hint.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(rebuilt))
-    with_hint = with_hint.withColumn(counted, F.coalesce(F.size("_new"), F.lit(0)).cast("long")) if counted else with_hint
+    rebuilt = F.array_join(F.zip_with(gaps, F.transform(new_, lambda n: n["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    with_hint = docs.where(hinted).withColumn(k, md5).join(replaced, k, "left").drop(k)
+    with_hint = with_hint.withColumn("text", F.when(F.col(new_).isNull(), F.col("text")).otherwise(rebuilt))
+    with_hint = with_hint.withColumn(counted, F.coalesce(F.size(new_), F.lit(0)).cast("long")) if counted else with_hint
     rest = docs.where(~hinted)
     rest = rest.withColumn(counted, F.lit(0).cast("long")) if counted else rest
     return with_hint.select(*rest.columns).unionByName(rest)

@@ -1,9 +1,10 @@
 """Shard placement by a hierarchical weighted hash tree.
 
-The tree has regions, racks and shards. A key descends it: at each level every child draws
-``-ln(u) / weight`` from a hash of its own path and the key, and the smallest draw wins, so that a child wins with
-probability in proportion to its weight. A weight change alters only the draws of the nodes on its path; keys move only
-into or out of the subtrees whose weights changed. A shard that opens a region of its own takes rows only into itself.
+The tree has regions, racks and shards. A key descends it: at each level the child of the smallest draw wins. A shard draws
+``-ln(u) / weight`` from a hash of its own path and the key; a rack's or region's draw is the smallest of its shards', which
+has the distribution of one draw by their summed weight. So a child wins with probability in proportion to its weight, a
+weight change alters only the draws on its path, and keys move only into or out of the subtrees whose weights changed: a
+new shard takes rows only into itself, wherever in the tree it is added.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
 
 def tree_of(shards: int, per_rack: int = 2, racks: int = 2) -> dict[str, dict[str, dict[int, float]]]:
-    """Shards 0 to ``shards - 1`` of weight 1, filling racks and regions in order: shard 16 opens region g4."""
+    """Shards 0 to ``shards - 1`` of weight 1, filling racks and regions in order."""
     tree: dict[str, dict[str, dict[int, float]]] = {}
     for s in range(shards):
         tree.setdefault(f"g{s // (per_rack * racks)}", {}).setdefault(f"k{s // per_rack % racks}", {})[s] = 1.0
@@ -29,16 +30,13 @@ def tree_of(shards: int, per_rack: int = 2, racks: int = 2) -> dict[str, dict[st
 
 
 def _draw(path: str, weight: float, key: Column) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{path}|"), key).cast("binary")), 1, 13), 16, 10).cast("long")
+    bits = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit(f"{path}|"), key)), 12)
     return -F.ln((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))
 
 
-def _winner(children: Mapping[str | int, float], path: str, key: Column) -> Column:
-    """The child of smallest draw; equal draws go to the smaller name."""
-    live = {c: w for c, w in children.items() if w > 0}
-    if len(live) == 1:
-        return F.lit(next(iter(live)))
-    return F.array_min(F.array(*[F.struct(_draw(f"{path}/{c}", w, key).alias("draw"), F.lit(c).alias("child")) for c, w in live.items()]))["child"]
+def _least(options: Mapping[str | int, Column]) -> Column:
+    """The name of the smallest draw; equal draws go to the smaller name."""
+    return F.array_min(F.array(*[F.struct(draw.alias("draw"), F.lit(name).alias("child")) for name, draw in options.items()]))["child"]
 
 
 def _weight(node: Mapping | float) -> float:
@@ -56,12 +54,18 @@ def place(df: DataFrame, key: Column, tree: Tree, out: str = "shard") -> DataFra
     if not alive:
         raise ValueError("the tree has no weight")
     k = F.coalesce(key.cast("string"), F.lit(""))
-    region, rack = f"_region_{out}", f"_rack_{out}"
-    df = df.withColumn(region, _winner({g: _weight(racks) for g, racks in alive.items()}, "", k))
-    df = df.withColumn(rack, _among(F.col(region), {g: _winner({r: _weight(s) for r, s in racks.items()}, f"/{g}", k) for g, racks in alive.items()}))
-    where = F.concat(F.col(region), F.lit("/"), F.col(rack))
-    df = df.withColumn(out, _among(where, {f"{g}/{r}": _winner(s, f"/{g}/{r}", k) for g, racks in alive.items() for r, s in racks.items()}).cast("int"))
-    return df.drop(region, rack)
+    # the draws of all shards, bound once; a subtree's is the least of its own
+    leaves = [(g, r, s) for g, racks in alive.items() for r, shards in racks.items() for s, w in shards.items() if w > 0]
+    at = {leaf: i for i, leaf in enumerate(leaves)}
+    draws = F.array(*[_draw(f"/{g}/{r}/{s}", alive[g][r][s], k) for g, r, s in leaves])
+
+    def descend(d: Column) -> Column:
+        of = lambda *path: F.least(*([d[at[leaf]] for leaf in leaves if leaf[: len(path)] == path] * 2))
+        in_rack = lambda g, r: _least({s: d[at[g, r, s]] for s, w in alive[g][r].items() if w > 0})
+        in_region = lambda g: _among(_least({r: of(g, r) for r in alive[g]}), {r: in_rack(g, r) for r in alive[g]})
+        return _among(_least({g: of(g) for g in alive}), {g: in_region(g) for g in alive})
+
+    return df.withColumn(out, F.transform(F.array(draws), descend)[0].cast("int"))
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, folder: str | None = None) -> DataFrame:

@@ -73,3 +73,38 @@ def test_adjacent_entities_and_short_phone_groups(spark):
     assert re.fullmatch(r"or \d{3}\.\d{3}\.\d{4}, \d{3} \d{3} \d{4} and \d{3} \d{3} \d{4}\.", out[2].text) and "4567" not in out[2].text
     assert "1.555.123.4567" in out[3].text
     assert out[5].text.split(" and ")[1] == a[2]
+
+
+def luhn(digits):
+    d = [int(c) for c in reversed(digits)]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def iban(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_check_digits_and_versions_of_addresses(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819 by 4539 1488 0343 6467, not 4539 1488 0343 6468", "at 2001:db8:85a3:0:0:8a2e:370:7334 and FE80::1 since 12:34:56, std::max"]
+    pay, at = (r.text for r in run(spark, texts))
+    a = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d) or (GB\d\d[A-Z]{4}\d{14}) by (\d{4} \d{4} \d{4} \d{4}), not (\d{4} \d{4} \d{4} \d{4})", pay)
+    assert a and iban(a[1].replace(" ", "")) and iban(a[2]) and luhn(a[3].replace(" ", "")) and not set(a.groups()) & set(re.findall(r"[A-Z0-9 ]{16,}", texts[0]))
+    b = re.fullmatch(r"at ([0-9a-f]+(?::[0-9a-f]+){7}) and ([0-9A-F]{4}::\d|[0-9A-F]{4}::[A-F]) since 12:34:56, std::max", at)
+    assert b and "8a2e" not in b[1] and [len(x) for x in b[1].split(":")] == [4, 3, 4, 1, 1, 4, 3, 4]
+
+
+def test_couples_share_and_others_do_not(spark):
+    """10,000 names of both genders: the family name of a couple stays one, no two people's full names meet."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Q{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 676]}k" for i in range(5000)]
+    text = "; ".join(f"Mr {n} and Mrs {n}" for n in names)
+    out = run(spark, [text])[0].text
+    pairs = [re.fullmatch(r"Mr (\w+) and Mrs (\w+)", x).groups() for x in out.split("; ")]
+    assert len(pairs) == 5000 and all(a == b for a, b in pairs)
+    assert len({a for a, _ in pairs}) == 5000 and not {a for a, _ in pairs} & set(names)
+
+
+def test_scripts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "пётр.и@mail.ru", 5)], "doc_id long, text string, text_md int").selectExpr("*", "1 AS replacements", "2 AS _new", "3 AS _k")
+    r = pii.surrogate(docs, "k").first()
+    assert r.asDict().keys() == dict.fromkeys(docs.columns).keys() and re.fullmatch(r"[а-яё]{4}\.[а-яё]@[a-z]{4}\.example", r.text) and r[2:] == (5, 1, 2, 3)

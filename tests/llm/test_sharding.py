@@ -1,26 +1,41 @@
-import hashlib
 import math
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lociflow.llm import sharding
 
 
-def draw(path, w, key):
-    return -math.log((int(hashlib.md5(f"{path}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+def leaf(path, w, key):
+    return -math.log(((xxhash.xxh64_intdigest(f"{path}|{key}".encode(), seed=42) >> 12) + 0.5) / 2**52) / w
+
+
+def least(node, path, key):
+    """The smallest draw below a node."""
+    return min((least(n, f"{path}/{c}", key) for c, n in node.items()), default=math.inf) if isinstance(node, dict) else leaf(path, node, key) if node > 0 else math.inf
 
 
 def place(tree, key):
     path, node = "", tree
     while isinstance(node, dict):
-        weight = lambda n: sum(map(weight, n.values())) if isinstance(n, dict) else n
-        live = {c: weight(n) for c, n in node.items() if weight(n) > 0}
-        best = min(live, key=lambda c: (draw(f"{path}/{c}", live[c], key), c))
+        best = min(node, key=lambda c: (least(node[c], f"{path}/{c}", key), c))
         path, node = f"{path}/{best}", node[best]
     return best
 
 
+def test_one_more_shard_takes_rows_only_into_itself():
+    keys = [str(i) for i in range(300)]
+    before, moved = [0] * len(keys), 0
+    for shards in range(2, 65):
+        tree = sharding.tree_of(shards)
+        now = [place(tree, k) for k in keys]
+        moved += sum(a != b for a, b in zip(before, now))
+        assert all(b in (a, shards - 1) for a, b in zip(before, now))
+        before = now
+    assert moved > 600
+
+
 def test_equals_descent_by_hand_and_moves_only_where_weights_change(spark):
     tree = sharding.tree_of(16)
     ids = spark.range(3000).withColumnRenamed("id", "doc_id")
@@ -28,11 +43,13 @@ def test_equals_descent_by_hand_and_moves_only_where_weights_change(spark):
     old = at(tree)
     assert old == {i: place(tree, str(i)) for i in old}
     assert len(set(old.values())) == 16 and max(list(old.values()).count(s) for s in range(16)) < 300
+    grown = at(sharding.tree_of(19))
+    assert grown == {i: place(sharding.tree_of(19), str(i)) for i in grown}
     new = at(sharding.tree_of(17))
     assert 100 < sum(new[i] != old[i] for i in old) < 260 and all(new[i] == 16 for i in old if new[i] != old[i])
     tree["g1"]["k0"][4] = 3.0
     heavy = at(tree)
-    assert all({old[i], heavy[i]} & set(range(4, 8)) for i in old if heavy[i] != old[i])  # region g1 has shards 4 to 7
+    assert all({old[i], heavy[i]} & {4} for i in old if heavy[i] != old[i])
     tree["g1"]["k0"][4] = 0.0
     assert 4 not in at(tree).values()
 
