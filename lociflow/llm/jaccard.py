@@ -318,18 +318,18 @@ def _side(sketches: DataFrame, side: str) -> DataFrame:
 
 
 def across(placed: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
-    """s, nid, root, n, sketch and stands, whether the node is the one of its component that stands for it in the segment, of
-    the segments with nodes of two components."""
-    stand = placed.groupBy("s", "root").agg(F.min("nid").alias("stand"))
+    """s, nid, root, n, sketch and whether the node is the first or the last of its component in the segment, of the segments
+    with nodes of two components."""
+    stand = placed.groupBy("s", "root").agg(F.min("nid").alias("first"), F.max("nid").alias("last"))
     open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
-    placed = placed.join(open_, "s", "left_semi").join(stand, ["s", "root"]).withColumn("stands", F.col("nid") == F.col("stand"))
-    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "sketch", "stands"), folder, "placed")
+    placed = placed.join(open_, "s", "left_semi").join(stand, ["s", "root"]).withColumn("first", F.col("nid") == F.col("first")).withColumn("last", F.col("nid") == F.col("last"))
+    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "sketch", "first", "last"), folder, "placed")
 
 
 def met_across(left: DataFrame, right: DataFrame, percent: int, order: str) -> DataFrame:
     """The pairs (a, b) of a segment's nodes in different components that may link."""
-    left = left.select("s", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("stands").alias("first_a"))
-    right = right.select(F.col("s").alias("s_b"), F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("stands").alias("first_b"))
+    left = left.select("s", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("first").alias("first_a"))
+    right = right.select(F.col("s").alias("s_b"), F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("first").alias("first_b"))
     may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
     met = left.join(right, (F.col("s") == F.col("s_b")) & (F.col("ra") != F.col("rb")) & F.expr(order) & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -363,10 +363,15 @@ def linked_roots(active: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: Dat
         if linked * WORTH <= first_links:  # all pairs that are left follow
             break
         pairs = nearest(near(meeting(placed_in(inner, roots), turn), sketches, percent))
-    # then all pairs: of one node for each component of a segment first, of the others if those have not joined them
+    # then all pairs: of the first nodes of the components in each segment, of the last ones, and of the others where these
+    # have not joined their components
     placed = across(placed_in(active, roots), sketches, folder)
-    firsts = placed.where("stands")
-    for name, of in (("firsts", lambda: met_across(firsts, firsts, percent, "ra < rb")), ("others", lambda: met_across(placed.where("NOT stands"), placed, percent, "first_b OR a < b"))):
+    steps = {
+        "firsts": lambda: met_across(placed.where("first"), placed.where("first"), percent, "ra < rb"),
+        "lasts": lambda: met_across(placed.where("last"), placed.where("last"), percent, "ra < rb"),
+        "others": lambda: met_across(placed.where("NOT first"), placed, percent, "first_b OR a < b"),
+    }
+    for name, of in steps.items():
         rest = stored(of(), folder, name)
         if not rest.limit(1).count():
             continue
