@@ -64,10 +64,13 @@ def l1(a: Column, b: Column) -> Column:
 
 def entropy(seq: Column, alphabet: str = "ACGU") -> Column:
     """Shannon entropy in bits of the base distribution."""
-    counts = [F.regexp_count(seq, F.lit(b)) for b in alphabet]
-    n = sum(counts[1:], counts[0])
-    terms = [F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(F.lit(0.0)) for c in counts]
-    return sum(terms[1:], terms[0])
+    letters = F.array(*map(F.lit, alphabet))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    share = lambda x, n: F.when(x > 0, x / n * F.log2(x / n)).otherwise(F.lit(0.0))
+    # each bound to a lambda, so that the string is made and its letters are counted once
+    counts = lambda s: F.transform(letters, lambda b: F.length(s) - F.length(F.replace(s, b, F.lit(""))))
+    terms = lambda c: F.transform(F.array(total(c)), lambda n: F.aggregate(c, F.lit(0.0), lambda s, x: s - share(x, n)))[0]
+    return F.transform(F.transform(F.array(seq), counts), terms)[0]
 
 
 def minimal_period(seq: Column) -> Column:

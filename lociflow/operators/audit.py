@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Distinct grams of a reference up to which every executor gets them all.
+BROADCAST_GRAMS = 500_000
+
 
 def containment(queries: DataFrame, reference: DataFrame, key: str, grams: str) -> DataFrame:
     """Share of each query's distinct grams that the reference has, 0 for a query without grams.
 
-    ``grams`` names an array column on both sides. The reference is reduced to distinct grams before the join.
+    ``grams`` names an array column on both sides. The reference is reduced to distinct grams before the join; while these
+    are few they are broadcast, so that the queries' grams are counted where they are made.
     """
     known = reference.select(F.explode(grams).alias("g")).distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
     own = queries.select(key, F.explode_outer(F.array_distinct(grams)).alias("g"))
     hit = own.join(known.withColumn("_hit", F.lit(1)), "g", "left")
     return hit.groupBy(key).agg((F.coalesce(F.sum("_hit"), F.lit(0)) / F.greatest(F.count("g"), F.lit(1))).alias("share"))

@@ -23,6 +23,29 @@ def placements(counts: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
     return at.select(*by, score, share("_ns").alias("_pos"), (1 - share("_ps")).alias("_neg"))
 
 
+def auroc_interval(df: DataFrame, score: str, label: str, by: Sequence[str] = (), z: float = 1.959963984540054) -> DataFrame:
+    """by..., n_pos, n_neg, auc, its standard error and the interval of ``z`` errors around it, within 0 and 1.
+
+    Rows are first counted per distinct score; the variances of the placements in each class have n - 1 and are weighted by
+    those counts. Null scores and labels are left out; a class of fewer than two rows gives no error.
+    """
+    by = list(by)
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_n"))
+    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    share = lambda c: (F.coalesce(F.sum(c).over(below), F.lit(0)) + F.col(c) / F.lit(2.0)) / F.nullif(F.sum(c).over(whole), F.lit(0))
+    placed = counts.select(*by, "_p", "_n", share("_n").alias("_pos"), (1 - share("_p")).alias("_neg"))
+    # shifted by a half, around which placements lie, before they are squared
+    at = {"_p": F.col("_pos") - 0.5, "_n": F.col("_neg") - 0.5}
+    sums = [s for w, v in at.items() for s in (F.sum(w).alias(f"n{w}"), F.sum(F.col(w) * v).alias(f"x{w}"), F.sum(F.col(w) * v * v).alias(f"xx{w}"))]
+    g = placed.groupBy(*by).agg(*sums)
+    variance = lambda w: (F.col(f"xx{w}") - F.col(f"x{w}") ** 2 / F.col(f"n{w}")) / F.nullif((F.col(f"n{w}") - 1) * F.col(f"n{w}"), F.lit(0))
+    g = g.withColumn("auc", F.col("x_p") / F.nullif(F.col("n_p"), F.lit(0)) + 0.5).withColumn("se", F.sqrt(F.greatest(variance("_p"), F.lit(0.0)) + F.greatest(variance("_n"), F.lit(0.0))))
+    g = g.withColumn("se", F.when((F.col("n_p") > 1) & (F.col("n_n") > 1), F.col("se")))
+    return g.select(*by, F.col("n_p").alias("n_pos"), F.col("n_n").alias("n_neg"), "auc", "se", F.when(F.col("se").isNotNull(), F.greatest(F.col("auc") - z * F.col("se"), F.lit(0.0))).alias("low"), F.when(F.col("se").isNotNull(), F.least(F.col("auc") + z * F.col("se"), F.lit(1.0))).alias("high"))
+
+
 def delong(df: DataFrame, one: str, two: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """AUROCs of two scores on the same rows, their difference, its standard error, z and two-sided p.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
@@ -21,15 +21,19 @@ _SEQ = "regexp_replace(translate(lower(text), 'aeiotnshrdlu', 'ACGUACGUACGU'), '
 def seq_scalars(spark: SparkSession, sf: str) -> DataFrame:
     df = _rna(spark, sf, "documents", "doc_id")
     strand = F.when(F.col("doc_id") % 2 == 0, F.lit("-")).otherwise(F.lit("+"))
-    dna = F.translate("seq", "U", "T")
-    return df.select(
-        "doc_id",
-        F.md5(S.reverse_complement(dna).cast("binary")).alias("revcomp_md5"),
-        F.md5(S.to_rna(dna, strand).cast("binary")).alias("rna_md5"),
-        F.round(S.gc_content(F.col("seq")), 9).alias("gc"),
-        F.round(S.entropy(F.col("seq")), 9).alias("entropy"),
-        F.length("seq").cast("long").alias("n"),
-    )
+
+    def scalars(seq: Column) -> Column:
+        dna = F.translate(seq, "U", "T")
+        return F.struct(
+            F.md5(S.reverse_complement(dna).cast("binary")).alias("revcomp_md5"),
+            F.md5(S.to_rna(dna, strand).cast("binary")).alias("rna_md5"),
+            F.round(S.gc_content(seq), 9).alias("gc"),
+            F.round(S.entropy(seq), 9).alias("entropy"),
+            F.length(seq).cast("long").alias("n"),
+        )
+
+    # bound to a lambda, so that the sequence is made once
+    return df.select("doc_id", F.transform(F.array("seq"), scalars)[0].alias("x")).select("doc_id", "x.*")
 
 
 def seq_runs(spark: SparkSession, sf: str) -> DataFrame:

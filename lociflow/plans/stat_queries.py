@@ -111,7 +111,13 @@ def decile_auroc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delong_test(spark: SparkSession, sf: str) -> DataFrame:
-    return _delong(table(spark, sf, "lineitem").where("l_linenumber = 1"))
+    return _delong(table(spark, sf, "lineitem"))
+
+
+def auroc_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """AUROC of the extended price for the line status, per return flag, with its 95% interval."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x"), (F.col("l_linestatus") == "F").cast("int").alias("y"))
+    return _round(stats.auroc_interval(df, "x", "y", ["l_returnflag"]), 7, "auc", "se", "low", "high")
 
 
 def delong_test_all_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +217,7 @@ def leakage(spark: SparkSession, sf: str) -> DataFrame:
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.array_remove(F.split(F.lower("text"), r"[^a-z]+"), "").alias("w"))
         spots = F.when(F.size("w") >= 6, F.sequence(F.lit(1), F.size("w") - 5)).otherwise(F.array().cast("array<int>"))
-        return words.withColumn("g", F.transform(spots, lambda i: F.array_join(F.slice("w", i, 6), " "))).select(key, "g")
+        return words.withColumn("g", F.transform(spots, lambda i: F.xxhash64(*[F.get("w", i + (o - 1)) for o in range(6)]))).select(key, "g")
 
     shares = audit.containment(grams(table(spark, sf, "documents"), "doc_id"), grams(table(spark, sf, "benchmark"), "item_id"), "doc_id", "g")
     return _round(audit.thresholds(shares, "share"), 9, "mean", "median", "p95", "above_0", "above_25", "above_50", "above_90")
@@ -277,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gini, category_shares, shares_pivot, mean_pivot, redundancy, effect_size, trimmed_mean, quantiles, group_spread, leave_one_out, largest_magnitude, mutual_information, top3_share,
-        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, delong_test_all_rows, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
+        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, delong_test_all_rows, auroc_interval, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
         hash_sample, stratified_pick, top_k, greedy_match, dinucleotide_shuffle, nearest_vectors, out_of_fold_auroc, fold_roles, fold_checks, pair_filter, leakage, duplicate_scan,
         column_profile, table_diff, content_digest, first_wins, carry_forward, integrity, key_overlap, gram_components,
     )
@@ -320,7 +326,7 @@ ORACLES = {
         e AS (SELECT list_distinct(quantile_cont(t, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM o),
         b AS (SELECT s, y, len(list_filter(e, lambda x: x < t))::BIGINT AS bucket FROM o, e), r AS (SELECT bucket, y, {_MID.format(by='bucket', x='s')} AS mid FROM b)
         SELECT bucket, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, round((sum(mid) FILTER (y = 1) - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0), 9) AS auroc FROM r GROUP BY 1""",
-    "delong_test": f"""WITH d AS (SELECT l_returnflag, l_quantity AS a, l_discount AS b, (l_linestatus = 'F')::INT AS y FROM lineitem WHERE l_linenumber = 1),
+    "delong_test": f"""WITH d AS (SELECT l_returnflag, l_quantity AS a, l_discount AS b, (l_linestatus = 'F')::INT AS y FROM lineitem),
         r AS (SELECT *, sum(y) OVER (PARTITION BY l_returnflag) AS np, count(*) OVER (PARTITION BY l_returnflag) AS n,
             {_MID.format(by='l_returnflag', x='a')} AS ra, {_MID.format(by='l_returnflag', x='b')} AS rb, {_MID.format(by='l_returnflag, y', x='a')} AS oa, {_MID.format(by='l_returnflag, y', x='b')} AS ob FROM d),
         v AS (SELECT l_returnflag, y, CASE WHEN y = 1 THEN (ra - oa) / (n - np) ELSE 1 - (ra - oa) / np END AS va, CASE WHEN y = 1 THEN (rb - ob) / (n - np) ELSE 1 - (rb - ob) / np END AS vb FROM r),
@@ -371,4 +377,10 @@ ORACLES = {
     "key_overlap": """WITH k AS (SELECT l_partkey, max((l_returnflag = 'R')::INT) AS r, max((l_returnflag = 'A')::INT) AS a FROM lineitem GROUP BY 1)
         SELECT sum(r * a)::BIGINT AS both, sum(greatest(r, a))::BIGINT AS either, sum(r * (1 - a))::BIGINT AS only_r, round(sum(r * a) / sum(greatest(r, a))::DOUBLE, 9) AS jaccard FROM k""",
 }
-ORACLES["delong_test_all_rows"] = ORACLES["delong_test"].replace(" WHERE l_linenumber = 1", "")
+ORACLES["delong_test_all_rows"] = ORACLES["delong_test"]
+ORACLES["auroc_interval"] = f"""WITH d AS (SELECT l_returnflag, l_extendedprice::DOUBLE AS a, (l_linestatus = 'F')::INT AS y FROM lineitem),
+    r AS (SELECT *, sum(y) OVER (PARTITION BY l_returnflag) AS np, count(*) OVER (PARTITION BY l_returnflag) AS n, {_MID.format(by='l_returnflag', x='a')} AS ra, {_MID.format(by='l_returnflag, y', x='a')} AS oa FROM d),
+    v AS (SELECT l_returnflag, y, CASE WHEN y = 1 THEN (ra - oa) / nullif(n - np, 0) ELSE 1 - (ra - oa) / nullif(np, 0) END AS va FROM r),
+    g AS (SELECT l_returnflag, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, avg(va) FILTER (y = 1) AS auc, sqrt(var_samp(va) FILTER (y = 1) / sum(y) + var_samp(va) FILTER (y = 0) / sum(1 - y)) AS se FROM v GROUP BY 1)
+    SELECT l_returnflag, n_pos, n_neg, round(auc, 7) AS auc, round(se, 7) AS se, CASE WHEN se IS NOT NULL THEN round(greatest(auc - 1.959963984540054 * se, 0), 7) END AS low,
+        CASE WHEN se IS NOT NULL THEN round(least(auc + 1.959963984540054 * se, 1), 7) END AS high FROM g"""
