@@ -14,7 +14,8 @@ def _score(beta: Sequence[float], features: Sequence[str]) -> Column:
 
 
 def _probability(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    # greatest and least pass over nulls, which would make a missing predictor a certain one
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
 
 
 def _by_fold(fold: str, betas: dict[int, np.ndarray], features: Sequence[str]) -> Column:
@@ -80,6 +81,6 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, fold: str, f
 
 
 def log_likelihood(df: DataFrame, z: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Bernoulli log likelihood of a linear predictor."""
+    """Bernoulli log likelihood of a linear predictor; null predictors count as rows but add nothing."""
     p = _probability(F.col(z))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("loglik"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +12,18 @@ from lociflow.functions import sequences as S
 from lociflow.sources.tables import table
 
 
-
-def _rna(spark: SparkSession, sf: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
+def _rna(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """item_id and seq of the benchmark items, or of all documents."""
     seq = F.regexp_replace(F.translate(F.lower("text"), "aeiotnshrdlu", "ACGUACGUACGU"), "[^ACGU]", "")
-    return table(spark, sf, name).select(key, seq.alias("seq"))
+    rows = table(spark, sf, "documents").withColumnRenamed("doc_id", "item_id") if whole else table(spark, sf, "benchmark")
+    return rows.select("item_id", seq.alias("seq"))
 
 
 _SEQ = "regexp_replace(translate(lower(text), 'aeiotnshrdlu', 'ACGUACGUACGU'), '[^ACGU]', '', 'g')"
 
 
 def seq_scalars(spark: SparkSession, sf: str) -> DataFrame:
-    df = _rna(spark, sf, "documents", "doc_id")
+    df = _rna(spark, sf, whole=True).withColumnRenamed("item_id", "doc_id")
     strand = F.when(F.col("doc_id") % 2 == 0, F.lit("-")).otherwise(F.lit("+"))
 
     def scalars(seq: Column) -> Column:
@@ -46,8 +50,8 @@ def seq_period(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("word", S.minimal_period(F.col("word")).cast("long").alias("period"), F.round(S.repeat_score(F.col("word")), 9).alias("repeat_score"))
 
 
-def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _rna(spark, sf).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def kmer_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _rna(spark, sf, whole).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dinucleotide_vector(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,9 +135,9 @@ def base_profile(spark: SparkSession, sf: str) -> DataFrame:
     return wide.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.round(F.sum(F.abs(F.coalesce("s0", F.lit(0.0)) - F.coalesce("s1", F.lit(0.0)))), 6).alias("signal"))
 
 
-def kmer_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+def kmer_enrichment(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """log2 ratio of pseudo-counted 2-mer frequencies, even against odd items, absent 2-mers included."""
-    rows = _rna(spark, sf).select((F.col("item_id") % 2).alias("label"), F.explode(S.kmers(F.col("seq"), 2)).alias("kmer"))
+    rows = _rna(spark, sf, whole).select((F.col("item_id") % 2).alias("label"), F.explode(S.kmers(F.col("seq"), 2)).alias("kmer"))
     counts = rows.groupBy("kmer").agg(F.sum((F.col("label") == 0).cast("long")).alias("a"), F.sum((F.col("label") == 1).cast("long")).alias("b"))
     letters = spark.createDataFrame([(b,) for b in "ACGU"], "x string")
     every = letters.crossJoin(letters.withColumnRenamed("x", "y")).select(F.concat("x", "y").alias("kmer"))  # the alphabet, 16 rows
@@ -147,6 +151,10 @@ QUERIES = {
     for f in (seq_scalars, seq_runs, seq_period, kmer_counts, dinucleotide_vector, pair_l1, motif_hits, composition_z, links_and_clips, d_prime, page_attributes, json_props, positional_profile, base_profile, kmer_enrichment)
 }
 
+#: The queries that are also registered over all documents.
+_WHOLE = (kmer_counts, kmer_enrichment)
+QUERIES |= {f"{f.__name__}_documents": partial(f, whole=True) for f in _WHOLE}
+
 _B = f"(SELECT item_id, {_SEQ} AS seq FROM benchmark)"
 _ENT = "(-CASE WHEN {c} > 0 THEN {c} / {n} * log2({c} / {n}) ELSE 0 END)"
 
@@ -214,3 +222,4 @@ ORACLES = {
         c AS (SELECT p.kmer, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM (SELECT unnest({_PAIRS}) AS kmer) p LEFT JOIN e USING (kmer) GROUP BY 1)
         SELECT kmer, a, b, round(log2(((a + 1) / sum(a + 1) OVER ()::DOUBLE) / ((b + 1) / sum(b + 1) OVER ()::DOUBLE)), 6) AS log2_ratio FROM c""",
 }
+ORACLES |= {f"{f.__name__}_documents": re.sub(r"FROM benchmark\b", "FROM (SELECT doc_id AS item_id, text FROM documents)", ORACLES[f.__name__]) for f in _WHOLE}
