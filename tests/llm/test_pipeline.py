@@ -42,7 +42,7 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_run_on_clashing_columns(spark, tmp_path):
-    docs = common.read(spark, SF, "documents").limit(20).selectExpr("*", "1 AS node", "'x' AS words", "2 AS _text_key2")
+    docs = common.read(spark, SF, "documents").limit(20).selectExpr("*", "1 AS node", "'x' AS words", "2 AS _text_key2", "3 AS _language")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.stored(stage(spark, docs, SF), common.shared_dir(spark), name)
-        assert docs.columns[-3:] == ["node", "words", "_text_key2"]
+        assert docs.columns[-4:] == ["node", "words", "_text_key2", "_language"]
