@@ -54,7 +54,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows``, ``total`` in number, joined with ``keyed``, one stored row for each key with its number ``m`` of rows.
 
     Keys of more than a thousandth of the rows, fewer than 1,000, are broadcast, so that none gathers in one task.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import brown, chat_collapse, decontam, jaccard, langid, packing, pii, quality, sharding, warc
+from lociflow.llm import brown, chat_collapse, decontam, divergence, jaccard, langid, packing, pii, quality, sharding, simhash, vector_codes, warc
 from lociflow.llm.common import read, shared_dir
 
 
@@ -55,7 +55,19 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards, op9_vertical_join, op10_brown_classes)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read(spark, sf_dir, "documents"), k=3, radius=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_snapshots, op2_warc_salvage, op3_language_id, op4_pii_surrogates, op5_spaced_seeds, op6_pow2_packing, op7_quality_rules, op8_hash_tree_shards, op9_vertical_join, op10_brown_classes, op11_source_divergence, op12_vector_codes, op13_simhash_balls)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -110,4 +122,34 @@ ORACLES: dict[str, str] = {
         best AS (SELECT *, list_max(list_transform(range(1, item_tokens - least(13, item_tokens) + 2), lambda s: list_sum(same[s:s + least(13, item_tokens) - 1]))) AS b FROM laid)
         SELECT doc_id, item_id, max(list_sum(same))::BIGINT AS matched, max(item_tokens)::BIGINT AS item_tokens
         FROM best WHERE b >= ceil(0.8 * least(13, item_tokens)) GROUP BY doc_id, item_id""",
+    "op11_source_divergence": """
+        WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM t),
+        k AS (SELECT lang, term, count(*) AS ln FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY 1),
+        g AS (SELECT lang, source, coalesce(v, 0) AS v, lt FROM (SELECT DISTINCT lang, source FROM t) LEFT JOIN v USING (lang)),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (ln + 5)) // (lt + 5 * v)::HUGEINT AS q
+            FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+        f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN x ON x.lang = a.lang AND x.source = a.source LEFT JOIN x y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 4
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM x WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_vector_codes": """
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, pos, v[pos * (len(v) // 16) + 1 : (pos + 1) * (len(v) // 16)] AS part FROM k, (SELECT unnest(range(16)) AS pos)),
+        d AS MATERIALIZED (SELECT pos, part, count(*) AS m FROM p GROUP BY 1, 2),
+        c0 AS MATERIALIZED (SELECT pos, r - 1 AS e, part AS c FROM p WHERE r <= 64),
+        a0 AS MATERIALIZED (SELECT d.pos, part, m, arg_min(e, list_sum(list_transform(list_zip(part, c), lambda z: (z[1] - z[2]) ** 2))::BIGINT * 64 + e) AS e FROM d JOIN c0 USING (pos) GROUP BY 1, 2, 3),
+        u0 AS (SELECT pos, e, j, floor(sum(x * m)::DECIMAL(38, 0) / sum(m))::BIGINT AS x FROM (SELECT pos, e, m, unnest(part) AS x, unnest(range(len(part))) AS j FROM a0) GROUP BY 1, 2, 3),
+        c1 AS MATERIALIZED (SELECT pos, e, coalesce(n, c) AS c FROM c0 LEFT JOIN (SELECT pos, e, list(x ORDER BY j) AS n FROM u0 GROUP BY 1, 2) USING (pos, e)),
+        a1 AS MATERIALIZED (SELECT d.pos, part, m, arg_min(e, list_sum(list_transform(list_zip(part, c), lambda z: (z[1] - z[2]) ** 2))::BIGINT * 64 + e) AS e FROM d JOIN c1 USING (pos) GROUP BY 1, 2, 3),
+        u1 AS (SELECT pos, e, j, floor(sum(x * m)::DECIMAL(38, 0) / sum(m))::BIGINT AS x FROM (SELECT pos, e, m, unnest(part) AS x, unnest(range(len(part))) AS j FROM a1) GROUP BY 1, 2, 3),
+        c2 AS MATERIALIZED (SELECT pos, e, coalesce(n, c) AS c FROM c1 LEFT JOIN (SELECT pos, e, list(x ORDER BY j) AS n FROM u1 GROUP BY 1, 2) USING (pos, e)),
+        a2 AS MATERIALIZED (SELECT d.pos, part, min(list_sum(list_transform(list_zip(part, c), lambda z: (z[1] - z[2]) ** 2))::BIGINT * 64 + e) AS x FROM d JOIN c2 USING (pos) GROUP BY 1, 2),
+        o AS (SELECT r, string_agg(format('{:02x}', x % 64), '' ORDER BY pos) AS code, sum(x // 64)::BIGINT AS error FROM p JOIN a2 USING (pos, part) GROUP BY 1)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) FROM c2) AS codebooks_sha256 FROM k JOIN o USING (r)""",
 }
