@@ -260,30 +260,34 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("nid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("nid"), F.col("v").alias("root")).distinct())
 
 
-def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, folder: str) -> DataFrame:
-    """s, c, nid: what stands in the place of the rows of frequent segments.
+def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """s, c, nid and cap: what stands in the place of the rows of frequent segments.
 
     Any set that links with a node shares ``common`` of its segments, so that a node with fewer frequent ones is found by the
     others. The rest share single shingles, ``least`` at any rate: they are sought by those that are not frequent, and by
-    their frequent segments only where ``least`` of their shingles are frequent, as in copies of one text.
+    their frequent segments only where frequent shingles alone can make a link, as in copies of one text. Sets of na and nb
+    shingles, ha and hb of them frequent, share min(ha, hb) of these at most, which must be percent / (100 + percent) of na + nb.
+    So a set's partner there has no more than ``cap`` shingles; a set whose segment has none so small leaves it. Null: no cap.
     """
     count = F.count(F.lit(1))
-    hard = often.groupBy("nid", "c").agg(count.alias("h")).join(cuts.select("nid", "c", "common", "least"), ["nid", "c"]).where("h >= common").select("nid", "c", "least")
+    hard = often.groupBy("nid", "c").agg(count.alias("h")).join(cuts.select("nid", "n", "c", "common", "least"), ["nid", "c"]).where("h >= common").select("nid", "n", "c", "least")
     hard = stored(hard, folder, "hard")
     sets = sets_of(hard, nodes, docs, k, folder, "hard").select("nid", F.explode("items").alias("item"))
-    single = stored(sets.join(hard, "nid").select(F.xxhash64("c", "item").alias("s"), "c", "nid", "least"), folder, "single")
+    single = stored(sets.join(hard, "nid").select(F.xxhash64("c", "item").alias("s"), "c", "nid", "n", "least"), folder, "single")
     known = single.groupBy("s").agg(count.alias("m"))
-    rare = single.join(known.where(f"m > 1 AND m < {FREQUENT}").select("s"), "s", "left_semi").select("s", "c", "nid")
-    held = single.join(small(known.where(f"m >= {FREQUENT}").select("s"), BROADCAST_ROWS), "s", "left_semi").groupBy("nid", "c", "least").agg(count.alias("h"))
-    alike = held.where("h >= least").select("nid", "c")
-    return rare.unionByName(often.select("s", "c", "nid").join(alike, ["nid", "c"], "left_semi"))
+    rare = single.join(known.where(f"m > 1 AND m < {FREQUENT}").select("s"), "s", "left_semi").select("s", "c", "nid", F.lit(None).cast("long").alias("cap"))
+    held = single.join(small(known.where(f"m >= {FREQUENT}").select("s"), BROADCAST_ROWS), "s", "left_semi").groupBy("nid", "n", "c", "least").agg(count.alias("h"))
+    alike = held.where("h >= least").select("nid", "n", "c", F.floor(F.col("h") * (100 + percent) / percent - F.col("n") + 1e-6).alias("cap"))
+    back = often.select("s", "c", "nid").join(alike, ["nid", "c"])
+    smallest = back.groupBy("s").agg(F.min("n").alias("smallest"))
+    return rare.unionByName(back.join(smallest, "s").where("cap >= smallest").select("s", "c", "nid", "cap"))
 
 
 def placed_in(active: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """s, c, nid and root, the component that the node belongs to so far."""
+    """s, c, nid, cap and root, the component that the node belongs to so far."""
     if roots is None:
-        return active.select("s", "c", "nid", F.col("nid").alias("root"))
-    return active.select("s", "c", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        return active.select("s", "c", "nid", "cap", F.col("nid").alias("root"))
+    return active.select("s", "c", "nid", "cap").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
 
 
 def meeting(placed: DataFrame, turn: int) -> DataFrame:
@@ -318,20 +322,20 @@ def _side(sketches: DataFrame, side: str) -> DataFrame:
 
 
 def across(placed: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
-    """s, nid, root, n, sketch and whether the node is the first or the last of its component in the segment, of the segments
+    """s, nid, root, n, cap, sketch and whether the node is the first or the last of its component in the segment, of the segments
     with nodes of two components."""
     stand = placed.groupBy("s", "root").agg(F.min("nid").alias("first"), F.max("nid").alias("last"))
     open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
     placed = placed.join(open_, "s", "left_semi").join(stand, ["s", "root"]).withColumn("first", F.col("nid") == F.col("first")).withColumn("last", F.col("nid") == F.col("last"))
-    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "sketch", "first", "last"), folder, "placed")
+    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "cap", "sketch", "first", "last"), folder, "placed")
 
 
 def met_across(left: DataFrame, right: DataFrame, percent: int, order: str) -> DataFrame:
     """The pairs (a, b) of a segment's nodes in different components that may link."""
-    left = left.select("s", F.col("nid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("first").alias("first_a"))
-    right = right.select(F.col("s").alias("s_b"), F.col("nid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("first").alias("first_b"))
+    side = lambda df, x: df.select(F.col("s").alias(f"s_{x}"), F.col("nid").alias(x), *[F.col(c).alias(f"{o}{x}") for c, o in (("root", "r"), ("n", "n"), ("sketch", "s"), ("cap", "cap_"), ("first", "first_"), ("last", "last_"))])
+    fits = (F.col("cap_a").isNull() | (F.col("nb") <= F.col("cap_a"))) & (F.col("cap_b").isNull() | (F.col("na") <= F.col("cap_b")))
     may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
-    met = left.join(right, (F.col("s") == F.col("s_b")) & (F.col("ra") != F.col("rb")) & F.expr(order) & may)
+    met = side(left, "a").join(side(right, "b"), (F.col("s_a") == F.col("s_b")) & (F.col("ra") != F.col("rb")) & F.expr(order) & fits & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -353,26 +357,30 @@ def linked_roots(active: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: Dat
     found = stored(near(meeting(active, 0), sketches, percent), folder, "near-0")
     involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
     parts = sets_of(involved, nodes, docs, k, folder, "involved")
-    pairs, roots, turn, first_links = nearest(found), None, 0, 0
+    pairs, roots, turn, first_links, done = nearest(found), None, 0, 0, None
     inner = stored(active.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
     while True:
-        links = verify(stored(pairs, folder, f"pairs-{turn}"), parts, percent, folder, f"round-{turn}")
+        pairs = stored(pairs, folder, f"pairs-{turn}")
+        done = pairs if done is None else done.unionByName(pairs)
+        links = verify(pairs, parts, percent, folder, f"round-{turn}")
         linked = links.count()
         roots = contracted(roots, links, folder, f"round-{turn}") if linked else roots
         first_links, turn = first_links or linked, turn + 1
         if linked * WORTH <= first_links:  # all pairs that are left follow
             break
-        pairs = nearest(near(meeting(placed_in(inner, roots), turn), sketches, percent))
+        met = near(meeting(placed_in(inner, roots), turn), sketches, percent).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+        pairs = nearest(met.join(done.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"))
     # then all pairs: of the first nodes of the components in each segment, of the last ones, and of the others where these
-    # have not joined their components
+    # have not joined their components; no pair is verified twice
     placed = across(placed_in(active, roots), sketches, folder)
     steps = {
         "firsts": lambda: met_across(placed.where("first"), placed.where("first"), percent, "ra < rb"),
-        "lasts": lambda: met_across(placed.where("last"), placed.where("last"), percent, "ra < rb"),
-        "others": lambda: met_across(placed.where("NOT first"), placed, percent, "first_b OR a < b"),
+        "lasts": lambda: met_across(placed.where("last"), placed.where("last"), percent, "ra < rb AND NOT (first_a AND first_b)"),
+        "others": lambda: met_across(placed.where("NOT first"), placed, percent, "(first_b OR a < b) AND NOT (last_a AND last_b)"),
     }
     for name, of in steps.items():
-        rest = stored(of(), folder, name)
+        rest = stored(of().join(done, ["a", "b"], "left_anti"), folder, name)
+        done = done.unionByName(rest)
         if not rest.limit(1).count():
             continue
         parts = sets_of(rest.select(F.explode(F.array("a", "b")).alias("nid")), nodes, docs, k, folder, name)
@@ -410,10 +418,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     two = shared.where("m = 2").select("s", "c", F.explode(F.array("first", "last")).alias("nid"))
     more = segments.select("s", "nid").join(small(shared.where("m > 2").select("s", "c", "m"), BROADCAST_ROWS), "s")
     more = stored(more, folder, "more")
-    active = two.unionByName(more.where(F.col("m") < FREQUENT).drop("m"))
+    active = two.unionByName(more.where(F.col("m") < FREQUENT).drop("m")).withColumn("cap", F.lit(None).cast("long"))
     often = more.where(F.col("m") >= FREQUENT)
     if often.limit(1).count():
-        active = active.unionByName(without_frequent(often, cuts, nodes, docs, k, folder))
+        active = active.unionByName(without_frequent(often, cuts, nodes, docs, k, percent, folder))
     active = stored(active, folder, "active")
     member = nodes.select("node", "nid", "first_id", "m")
     if active.limit(1).count() and (roots := linked_roots(active, cuts, nodes, docs, k, percent, folder)) is not None:

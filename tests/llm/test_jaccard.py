@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -120,3 +121,20 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key int").selectExpr("*", "1 AS text_key", "2 AS id", "3 AS key", "4 AS root")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_pages_of_one_template_that_do_not_link_make_few_pairs(spark):
+    """A passage and a little own text, just below the limit; no pair is counted twice."""
+    rng = random.Random(13)
+    passage, verified = [f"p{i}" for i in range(90)], {}
+    for n, own in ((300, [12]), (900, [12]), (500, range(0, 25))):
+        texts = [" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(rng.choice(own))]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        folder = common.shared_dir(spark)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, 5, 80, folder).collect())
+        assert got == brute(texts, 5, 80)
+        tables = [p.name for p in __import__("pathlib").Path(folder.removeprefix("file://")).iterdir() if p.name in ("firsts", "lasts", "others") or re.fullmatch(r"pairs-\d+", p.name)]
+        pairs = [tuple(r) for t in tables for r in spark.read.parquet(f"{folder}/{t}").collect()]
+        assert len(pairs) == len(set(pairs))
+        verified[n] = len(pairs)
+    assert max(verified.values()) < 4 * 900
