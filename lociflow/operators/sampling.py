@@ -42,34 +42,12 @@ def stratified_pick(pool: DataFrame, wanted: DataFrame, strata: Sequence[str], s
 
 
 def match_nearest(positives: DataFrame, pool: DataFrame, by: Sequence[str], value: str, key: str, tolerance: float) -> DataFrame:
-    """One unused pool row per positive of its bucket, nearest by ``value`` and at most ``tolerance`` away.
+    """One unused pool row per positive of its bucket, nearest by ``value`` and at most ``tolerance`` away, positives in hash
+    order: a match of vectors of one number."""
+    from lociflow.operators.matching import match_vectors
 
-    Positives choose in hash order, ties go to the smaller pool key; a choice takes the row away, so the rows of one
-    bucket are matched together by sorted search. Buckets must fit a task; name them by all that matched rows share.
-    """
-    a = positives.select(*by, F.lit(0).alias("side"), F.col(key).alias("k"), F.col(value).cast("double").alias("x"))
-    b = pool.select(*by, F.lit(1).alias("side"), F.col(key).alias("k"), F.col(value).cast("double").alias("x"))
-    rows = a.unionByName(b).withColumn("h", hash_order("match", "k"))
-
-    def match(frame):
-        import bisect
-
-        import pandas as pd
-
-        first = [frame[c].iloc[0] for c in by]
-        free = sorted((r.x, r.k) for r in frame[frame.side == 1].itertuples())
-        out = []
-        for r in frame[frame.side == 0].sort_values(["h", "k"]).itertuples():
-            at = bisect.bisect_left(free, (r.x, -(1 << 62)))
-            near = [(abs(free[i][0] - r.x), free[i][1], i) for i in (at - 1, at) if 0 <= i < len(free)]
-            if near and min(near)[0] <= tolerance:
-                gap, k, i = min(near)
-                free.pop(i)
-                out.append((*first, r.k, k, gap))
-        return pd.DataFrame(out, columns=[*by, "k", "match", "gap"])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*by).applyInPandas(match, ", ".join([f"{c} {kinds[c]}" for c in by] + [f"k {kinds['k']}", f"match {kinds['k']}", "gap double"]))
+    one = lambda df: df.select(*by, key, F.array(F.col(value).cast("double")).alias("_vector"))
+    return match_vectors(one(positives), one(pool), by, "_vector", key, tolerance)
 
 
 def bootstrap_means(df: DataFrame, value: str, cluster: str, draws: int, salt: str = "boot") -> DataFrame:
