@@ -182,23 +182,27 @@ def _iban(canon: Column, drawn: Column) -> Column:
 def draw(key: str, kind: Column, canon: Column, turn: int) -> Column:
     """The surrogate of a canonical form in one round of draws."""
     seed = F.concat_ws("|", kind, canon, F.lit(str(turn)))
-    stream = _stream(key, seed, F.length(canon) + 32)
+    stream = _stream(key, seed, F.length(canon) + 64)
+    more = max(0, turn - 3)  # from here on each round draws from a form that is longer by a character
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host = F.regexp_replace(domain, r"\.[^.]*\z", "")
     host_stream = _stream(key, F.concat(F.lit("host|"), host), F.length(host))
     octets = [(_byte(stream, 2 * o) * 256 + _byte(stream, 2 * o + 1)) % 254 + 1 for o in range(4)]
     country, number = F.substring_index(canon, "|", 1), F.substring_index(canon, "|", -1)
     none = F.lit(0)
+    longer = lambda x, letters="0123456789": F.concat(x, *[_pick(letters, _byte(stream, F.length(canon) + j)) for j in range(min(more, 24))])
+    groups = F.array_join(F.transform(F.split(canon, ":"), lambda g: F.when(g == "", g).otherwise(F.rpad(g, F.least(F.lit(4), F.length(g) + more), F.lit("0")))), ":")
+    groups = F.replace(groups, F.lit("::"), F.lit(":" + "0000:" * min(5, max(0, more - 3)) + ":"))
     options = {
         # later draws add characters, so that short parts cannot run out
         "email": F.concat(_like(local, stream, none), F.substring(F.sha2(F.concat_ws("|", F.lit(key), seed), 256), 1, max(0, turn - 3)), F.lit("@"), _like(host, host_stream, none), F.lit(".example")),
-        "ip": F.concat_ws(".", *octets),
-        "phone": _like(number, stream, F.length(country)),
-        "ssn": _like(canon, stream, none),
+        "ip": F.concat(F.concat_ws(".", *octets), longer(F.lit(":" if more else ""))),
+        "phone": longer(_like(number, stream, F.length(country))),
+        "ssn": longer(_like(canon, stream, none)),
         "hex": _like(canon, stream, none, hexadecimal=True),
-        "card": _card(canon, _like(canon, stream, none)),
-        "iban": _iban(canon, _like(canon, stream, F.lit(2))),
-        "ipv6": _like(canon, stream, none, hexadecimal=True),
+        "card": _card(canon, longer(_like(canon, stream, none))),
+        "iban": _iban(canon, longer(_like(canon, stream, F.lit(2)))),
+        "ipv6": _like(groups, stream, none, hexadecimal=True),
     }
     for script, syllables in SYLLABLES.items():
         for gender in "mf":
@@ -213,7 +217,10 @@ def assign(parts: DataFrame, key: str, folder: str) -> DataFrame:
     """kind, canon, core: one surrogate per distinct part, different from all other surrogates and all real forms of its kind.
 
     Each round draws for the parts that have none. Of parts that drew the same, the smallest canonical form keeps it;
-    draws that equal a real form or an earlier surrogate fall. Rounds go on until every part has its own.
+    draws that equal a real form or an earlier surrogate fall. Rounds go on until every part has its own. They end: from the
+    fourth on, each draws from a form longer by a character (digits of numbers, a port of an address, hexadecimal digits and groups,
+    syllables), so that soon less than half of the forms are real or taken, whatever the format; then each round serves more than
+    half of the rest on average. The widest forms are 10^24 times as many as the format's own, 16^20 addresses, 16^12 names.
     """
     pending = parts.select("kind", "canon").distinct()
     real = stored(pending.select("kind", F.when(F.col("kind") == "phone", F.substring_index("canon", "|", -1)).otherwise(F.col("canon")).alias("core")).distinct(), folder, "real")
@@ -236,7 +243,8 @@ def _pour(entity: Column, core: Column) -> Column:
     step = lambda a, c: F.when(
         c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(core, a["i"] + 1, F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))
     ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
-    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda a: a["out"])
+    # what a longer draw has more comes last
+    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda a: F.concat(a["out"], F.substring(core, a["i"] + 1, F.length(core))))
 
 
 def render(entity: Column, kind: Column, cores: Column) -> Column:

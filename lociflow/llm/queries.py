@@ -44,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.tree_of(17))
+    return sharding.assign(read(spark, sf_dir, "documents"), sharding.tree_of(16), sharding.grown(sharding.tree_of(16), 16))
 
 
 def op9_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
 import re
 
-from lociflow.llm import pii
+from pyspark.sql import functions as F
+
+from lociflow.llm import common, pii
 
 
 def run(spark, texts, key="k"):
@@ -108,3 +111,19 @@ def test_scripts_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "пётр.и@mail.ru", 5)], "doc_id long, text string, text_md int").selectExpr("*", "1 AS replacements", "2 AS _new", "3 AS _k")
     r = pii.surrogate(docs, "k").first()
     assert r.asDict().keys() == dict.fromkeys(docs.columns).keys() and re.fullmatch(r"[а-яё]{4}\.[а-яё]@[a-z]{4}\.example", r.text) and r[2:] == (5, 1, 2, 3)
+
+
+def test_draws_end_where_real_forms_leave_no_room(spark):
+    """Forms of which most or all are real: later rounds draw longer ones, all distinct and none of them real."""
+    rng = random.Random(5)
+    addresses = rng.sample([f"{a:x}::{b:x}" for a in range(16) for b in range(16) if not f"{a:x}{b:x}".isalpha()], 200)
+    numbers = rng.sample([f"+1 {a:02d} {b:02d}" for a in range(10, 100) for b in range(10, 100)], 6000)
+    docs = spark.createDataFrame([(1, " , ".join(addresses)), (2, " ; ".join(numbers)), (3, " , ".join(addresses[:5]))], "doc_id long, text string")
+    folder = common.shared_dir(spark)
+    out = {r.doc_id: r.text for r in pii.surrogate(docs, "k", folder=folder).collect()}
+    new, phones = out[1].split(" , "), out[2].split(" ; ")
+    assert len(set(new)) == len(addresses) and not set(new) & set(addresses) and out[3].split(" , ") == new[:5]
+    assert len(set(phones)) == len(numbers) and not set(phones) & set(numbers)
+    assert all(re.fullmatch(r"(?:[0-9a-f]{1,4}:)+(?::[0-9a-f]{1,4})+", x, re.I) for x in new)
+    kinds = spark.createDataFrame([(x,) for x in phones], "e string").select(pii.classify(F.col("e")).alias("kind")).distinct()
+    assert [r.kind for r in kinds.collect()] == ["phone"]
