@@ -523,8 +523,9 @@ def score(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
     Learns from the rows that are not held out and scores all. A null text is empty: its end alone is scored. ``score``
     is the base-10 logarithm of the whole text's probability under the class model: each class splits its mass between
     its training words, by count plus EMISSION, and one unknown word of weight EMISSION. ``base_score`` is that of the
-    unigram model over the same tokens. Repeated rows are scored alike; other columns are not read; an empty table gives
-    no row.
+    unigram model over the same tokens. Words of equal count are taken in the order of their bytes, and of classes that gain alike
+    the first. Texts are scored whole, however long; one text's tokens must fit in a task's memory. Repeated rows are scored
+    alike; other columns are not read; an empty table gives no row.
     """
     folder = folder or shared_dir(docs.sparkSession)
     vocabulary = learn(docs.where(~held_out(F.col("doc_id"))), folder, **options)

@@ -43,7 +43,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     Turns are ordered by (turn, role, text), nulls first; a turn number itself is no part of a prefix, nor are gaps
     between numbers. Rows that repeat all of (conv_id, turn, role, text) count once. Null role or text reads as empty;
     rows of null conv_id belong to no conversation and are left out. ``n_copies`` counts the conversations equal to the
-    kept one, itself included. Other columns are not read; an empty table gives no row.
+    kept one, itself included. Other columns are not read; an empty table gives no row. Texts are hashed and rendered whole,
+    however long; a conversation is one row, so that it must fit in a task's memory.
 
     Hashes, not turns, are shuffled for the collapse: equal conversations and equal prefixes combine before the
     shuffle, so that neither a common first turn nor a copied conversation gathers rows.

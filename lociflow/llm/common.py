@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,21 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def releasing(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``each`` for the batches of a task, after which freed memory goes back to the system: a Python worker stays for the next
+    steps, and what it holds is missing in the executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from each(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes an intermediate folder through the file system that holds it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

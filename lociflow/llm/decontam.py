@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import shared_dir, small, stored
+from lociflow.llm.common import fresh, shared_dir, small, stored
 
 #: Selected positions of two masks of which one fits between any two substitutions among thirteen tokens (a test enumerates them).
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 3, 8, 9, 10))
@@ -73,7 +73,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     shorter item) agree in at least ``share`` of their positions. ``matched`` is the largest number of agreeing tokens of
     the whole item on such an alignment. The masks find every alignment that this accepts. Items of equal tokens
     count as one and give their smallest item_id; items and texts without a token overlap nothing. Equal texts are
-    verified once. Empty tables give no row; other columns are not read.
+    verified once. Whole texts are searched, however long; a text's tokens must fit in a task's memory. Empty tables give no
+    row; other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
@@ -117,8 +118,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without an overlap, all columns as they were; a null text overlaps nothing."""
+    """The rows of ``docs`` without an overlap, all columns as they were, whatever their names; a null text overlaps nothing."""
+    name = fresh(docs, "bad_md5")
     options.setdefault("folder", shared_dir(docs.sparkSession))
-    bad = overlaps(docs, benchmark, **options).select(F.col("text_md5").alias("_bad_md5")).distinct()
+    bad = overlaps(docs, benchmark, **options).select(F.col("text_md5").alias(name)).distinct()
     bad = small(stored(bad, options["folder"], "bad"), BROADCAST_KEYS // 8)
-    return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad["_bad_md5"], "left_anti")
+    return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad[name], "left_anti")

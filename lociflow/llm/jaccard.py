@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fresh, join_keyed, shared_dir, small, stored
+from lociflow.llm.common import fresh, join_keyed, releasing, shared_dir, small, stored
 
 #: Orders tried for sets that leave too many fragments empty, before each shingle counts as a segment.
 ORDERS = 4
@@ -187,7 +187,7 @@ def measure(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield batch_of()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return whole.mapInArrow(rows, "rid long, doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,common:int,least:long,segments:array<long>,sketch:array<long>>>")
+    return whole.mapInArrow(releasing(rows), "rid long, doc_id long, text_key string, n long, node binary, cuts array<struct<c:int,common:int,least:long,segments:array<long>,sketch:array<long>>>")
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -226,7 +226,7 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, folder
     short = small(keys.select(F.xxhash64("text_key").alias("short")), BROADCAST_ROWS)
     texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).withColumn("short", F.xxhash64("text_key")).join(short, "short", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
-    parts = texts.mapInArrow(cut, "text_key string, part int, items array<long>").join(keys, "text_key").select("nid", "n", "part", "items")
+    parts = texts.mapInArrow(releasing(cut), "text_key string, part int, items array<long>").join(keys, "text_key").select("nid", "n", "part", "items")
     return stored(parts, folder, f"{name}-parts")
 
 
@@ -400,7 +400,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     Two documents link where 100 |intersection| >= ``percent`` |union| of their sets of k-word shingles, in ASCII lower
     case. Texts without words, null ones included, have no shingle and link with nothing; their component is their own
     doc_id. Null doc_ids take part, but name no component unless all its ids are null. Repeated rows are equal sets, so
-    linked. An empty table gives no row; other columns are not read.
+    linked. Sets are made of whole texts, however long; one text's set must fit in a task's memory. An empty table gives no row;
+    other columns are not read.
     """
     folder = folder or shared_dir(docs.sparkSession)
     measured = stored(measure(docs, k, percent), folder, "measured")
@@ -441,7 +442,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one: that of smallest doc_id, then of smallest text key.
 
-    Rows that repeat both doc_id and text count once. Rows whose text has no words, null ones too, stay all. An empty table
+    Rows that repeat both doc_id and text count once: any of them stays, whatever it has in further columns. Rows whose text has no words, null ones too, stay all. An empty table
     stays empty. Columns stay as they were, whatever their names.
     """
     folder = options.setdefault("folder", shared_dir(docs.sparkSession))

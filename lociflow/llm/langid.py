@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fresh
+from lociflow.llm.common import fresh, releasing
 
 #: Weight of each piece of the vocabulary beside the counts.
 SMOOTHING = 0.05
@@ -112,7 +112,7 @@ def fit(train: DataFrame, tokenizer_path: str) -> Model:
     size = vocabulary(tokenizer_path)[2]
     if not languages:
         return Model([], np.zeros(0), np.zeros((size + 1, 0)))
-    counted = rows.mapInPandas(count, "lang string, piece int, n long")
+    counted = rows.mapInPandas(releasing(count), "lang string, piece int, n long")
     column, table = {lang: k for k, lang in enumerate(languages)}, np.zeros((size, len(languages)))
     for lang, piece, n in counted.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         table[piece, column[lang]] = n
@@ -192,8 +192,7 @@ def predict(text: Column, model: Model, tokenizer_path: str) -> Column:
     and any text where nothing was learned, gives ``und`` and 0. Equal posteriors go to the first language by name.
     """
 
-    @F.pandas_udf("lang_pred string, score double, n_words long")
-    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scores = WordScores(model, tokenizer_path)
         for series in texts:
             out: list[tuple[str, float, int]] = []
@@ -220,6 +219,10 @@ def predict(text: Column, model: Model, tokenizer_path: str) -> Column:
             flush()
             yield pd.DataFrame(out, columns=["lang_pred", "score", "n_words"])
 
+    @F.pandas_udf("lang_pred string, score double, n_words long")
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from releasing(judge)(texts)
+
     return predicted(text)
 
 

@@ -261,7 +261,7 @@ def surrogate(docs: DataFrame, key: str, counted: str | None = None, folder: str
 
     Null and empty texts, and texts without an entity, stay as they are (0 entities). Equal texts are searched once and
     come out equal. ``key`` is the secret: the same key gives the same surrogates in a later run, as far as no collision
-    differs. An empty table stays empty. Entities are combined before each shuffle; the mentions of a text and the
+    differs. Whole texts are searched, however long. An empty table stays empty. Entities are combined before each shuffle; the mentions of a text and the
     entities table are the only things gathered, and joins on them can be split where one text or entity is frequent.
     """
     folder = folder or shared_dir(docs.sparkSession)

@@ -143,7 +143,9 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, lea
     """Writes one record per row into gzip archives below ``folder``, a shared URI, one gzip member per record.
 
     Each task writes whole archives under their final names only once they are complete, so that a task run again
-    replaces its own archives with equal ones.
+    replaces its own archives with equal ones. Payloads are written whole, however long; null html is an empty payload, a null
+    page_id has a record of its own. Of repeated rows the largest page_id is the response, of equal ones the first. An empty table
+    writes no record. Other columns than page_id, url and html are not read.
     """
 
     def archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +191,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of kind ``record`` and ``gap`` of all archives below ``folder``, compressed or not.
 
     Archive, offset and length say where; a gap has the reason of its first failed check. A revisit has no payload.
-    Archives are read by Spark, so from any store that it reads; one archive must fit in memory and below 2 GB.
+    Archives are read by Spark, so from any store that it reads; one archive must fit in memory and below 2 GB. An archive without
+    records, or a folder of empty ones, gives no row.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +220,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolve(records: DataFrame, folder: str) -> DataFrame:
-    """Stores what is needed of the records below ``folder``, without payloads, so that archives are parsed once. Gives page_id, payload_bytes, payload_digest, record_type, refers_to per record; a revisit's payload is that of the
-    response it refers to, or unknown (null) where that response was lost."""
+    """One row per response and revisit: page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's payload is that
+    of the response it refers to, or unknown (null) where that response was lost.
+
+    What is needed of the records is stored below ``folder``, without payloads, so that archives are parsed once. Records without
+    a page_id keep a null one. No records give no row.
+    """
     wanted = records.where("kind = 'record' AND warc_type IN ('response', 'revisit')")
     records = stored(wanted.select("page_id", "warc_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), folder, "records")
     responses = records.where("warc_type = 'response'").select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
