@@ -45,12 +45,8 @@ def occurrences(seq: Column, motif: Column | str) -> Column:
 
 def dinucleotide_counts(seq: Column, alphabet: str = "ACGU") -> Column:
     """Counts of the 16 overlapping pairs in alphabetical order; pairs with other letters are skipped."""
-    pairs = kmers(seq, 2)
-
-    def count(pair: str) -> Column:
-        return F.size(F.filter(pairs, lambda p: p == pair))
-
-    return F.array(*[count(a + b) for a in alphabet for b in alphabet])
+    # one pass for each pair; the second letter is looked at without being taken, so that overlaps count
+    return F.array(*[F.regexp_count(seq, F.lit(f"{a}(?={b})")) for a in alphabet for b in alphabet])
 
 
 def frequencies(counts: Column) -> Column:

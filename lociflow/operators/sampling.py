@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators import ordinals
+from lociflow.sources.scratch import Scratch, join_same
+
 
 def hash_order(salt: str, *key: str) -> Column:
     """SHA-256 of the salted key: an order that rows keep in whatever table they are."""
@@ -21,24 +24,43 @@ def hash_sample(df: DataFrame, salt: str, key: Sequence[str], by: Sequence[str],
 
 def every_nth(df: DataFrame, order: Sequence[str], by: Sequence[str], n: int) -> DataFrame:
     """Every n-th row of each group under a total order, the first included."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("_r") - 1) % n == 0).drop("_r")
+    return ordinals.numbered(df, by, order, "_at").where(F.col("_at") % n == 0).drop("_at")
 
 
 def stratified_pick(pool: DataFrame, wanted: DataFrame, strata: Sequence[str], salt: str, key: str) -> DataFrame:
     """As many rows of each stratum as ``wanted`` says in its column ``n``, in hash order.
 
-    What a stratum lacks is made up from the rest of the pool, in hash order over all strata. The rest is ranked in a
-    window per stratum; only the deficit's head of each stratum enters the common order.
+    What a stratum lacks is made up from the rest of the pool, in hash order over all strata. Positions come from range
+    partitions of the hash, so that neither a stratum nor the rest gathers in one task. Nulls in the strata are a stratum.
+    """
+    scratch = Scratch(pool.sparkSession)
+    ranked = ordinals.numbered(pool.withColumn("_h", hash_order(salt, key)), strata, ["_h", key], "_r", scratch)
+    ranked = scratch.keep(join_same(ranked, wanted.withColumnRenamed("n", "_n"), strata, "left").fillna({"_n": 0}), "ranked")
+    lack = wanted.agg(F.sum("n")).first()[0] or 0
+    lack -= ranked.where(F.col("_r") < F.col("_n")).count()
+    chosen, rest = ranked.where(F.col("_r") < F.col("_n")), ranked.where(F.col("_r") >= F.col("_n"))
+    filled = ordinals.numbered(rest, [], ["_h", key], "_order", scratch).where(F.col("_order") < int(lack))
+    return chosen.select(*pool.columns).unionByName(filled.select(*pool.columns))
+
+
+def share_matched(df: DataFrame, fold: str, region: str, label: str, key: str, salt: str) -> DataFrame:
+    """All positives and, per fold, the most negatives that repeat the positives' shares of regions, in hash order of the key.
+
+    The number that every region can give its share of is the smallest of what it has over its share; a region gives its share of
+    that, rounded half to even. Folds without positives or without negatives fall away; rows with a null label do too.
     """
-    ranked = pool.withColumn("_h", hash_order(salt, key)).withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key)))
-    ranked = ranked.join(wanted.withColumnRenamed("n", "_n"), list(strata), "left").fillna({"_n": 0})
-    chosen = ranked.where(F.col("_r") <= F.col("_n"))
-    have = chosen.groupBy(*strata).agg(F.count(F.lit(1)).alias("_have"))
-    lack = wanted.join(have, list(strata), "left").agg(F.coalesce(F.sum(F.col("n") - F.coalesce("_have", F.lit(0))), F.lit(0)).alias("_lack"))
-    rest = ranked.where(F.col("_r") > F.col("_n")).crossJoin(F.broadcast(lack)).where(F.col("_r") - F.col("_n") <= F.col("_lack"))  # one row
-    filled = rest.withColumn("_order", F.row_number().over(Window.orderBy("_h", key))).where(F.col("_order") <= F.col("_lack"))
-    keep = pool.columns
-    return chosen.select(*keep).unionByName(filled.select(*keep))
+    scratch = Scratch(df.sparkSession)
+    rows = df.where(F.col(label).isNotNull())
+    counts = rows.groupBy(fold, region).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_free"))
+    both = Window.partitionBy(fold)
+    counts = counts.withColumns({"_total": F.sum("_p").over(both), "_all_free": F.sum("_free").over(both)}).where("_total > 0 AND _all_free > 0")
+    most = F.min(F.when(F.col("_p") > 0, F.floor(F.col("_free") * F.col("_total") / F.col("_p") + 1e-9))).over(both)
+    quota = F.least(F.col("_free"), F.bround(F.col("_take") * F.col("_p") / F.col("_total"), 0).cast("long"))
+    quotas = scratch.keep(counts.withColumn("_take", most).select(fold, region, quota.alias("_quota")), "quotas")
+    positives = join_same(rows.where(F.col(label) == 1), quotas.select(fold).distinct(), [fold])
+    negatives = ordinals.numbered(rows.where(F.col(label) != 1).withColumn("_h", hash_order(salt, key)), [fold, region], ["_h", key], "_at", scratch)
+    taken = join_same(negatives, quotas, [fold, region]).where(F.col("_at") < F.col("_quota"))
+    return positives.select(*df.columns).unionByName(taken.select(*df.columns))
 
 
 def match_nearest(positives: DataFrame, pool: DataFrame, by: Sequence[str], value: str, key: str, tolerance: float) -> DataFrame:
@@ -50,16 +72,12 @@ def match_nearest(positives: DataFrame, pool: DataFrame, by: Sequence[str], valu
     return match_vectors(one(positives), one(pool), by, "_vector", key, tolerance)
 
 
-def bootstrap_means(df: DataFrame, value: str, cluster: str, draws: int, salt: str = "boot") -> DataFrame:
-    """Means of ``draws`` Poisson bootstraps over clusters: a hash of draw and cluster gives each cluster's weight, so
-    that resampling needs neither a shuffle of rows nor a generator's state."""
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    spread = sums.select("_s", "_n", cluster, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "draw", cluster).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    # inverse of the Poisson(1) distribution function at its first steps; larger counts have probability below 1e-6
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    return spread.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("mean"))
+def bootstrap_means(df: DataFrame, value: str, cluster: str, draws: int) -> DataFrame:
+    """draw and mean of ``draws`` Poisson bootstraps over clusters: hashes of draw and cluster give the weights, so that no row
+    is repeated."""
+    from lociflow.operators.resampling import weighted_means
+
+    return weighted_means(df, value, [cluster], draws).where("draw > 0")
 
 
 def shuffle_dinucleotides(df: DataFrame, seq: str, seed: int, out: str = "shuffled") -> DataFrame:

@@ -23,8 +23,9 @@ def placements(counts: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
     return at.select(*by, score, share("_ns").alias("_pos"), (1 - share("_ps")).alias("_neg"))
 
 
-def auroc_interval(df: DataFrame, score: str, label: str, by: Sequence[str] = (), z: float = 1.959963984540054) -> DataFrame:
-    """by..., n_pos, n_neg, auc, its standard error and the interval of ``z`` errors around it, within 0 and 1.
+def auroc_interval(df: DataFrame, score: str, label: str, by: Sequence[str] = (), z: float = 1.959963984540054, scale: str = "linear") -> DataFrame:
+    """by..., n_pos, n_neg, auc, its standard error and the interval of ``z`` errors around it, within 0 and 1; on the ``logit``
+    scale it lies within these by itself, unless the error is 0 or the AUROC 0 or 1.
 
     Rows are first counted per distinct score; the variances of the placements in each class have n - 1 and are weighted by
     those counts. Null scores and labels are left out; a class of fewer than two rows gives no error.
@@ -43,6 +44,11 @@ def auroc_interval(df: DataFrame, score: str, label: str, by: Sequence[str] = ()
     variance = lambda w: (F.col(f"xx{w}") - F.col(f"x{w}") ** 2 / F.col(f"n{w}")) / F.nullif((F.col(f"n{w}") - 1) * F.col(f"n{w}"), F.lit(0))
     g = g.withColumn("auc", F.col("x_p") / F.nullif(F.col("n_p"), F.lit(0)) + 0.5).withColumn("se", F.sqrt(F.greatest(variance("_p"), F.lit(0.0)) + F.greatest(variance("_n"), F.lit(0.0))))
     g = g.withColumn("se", F.when((F.col("n_p") > 1) & (F.col("n_n") > 1), F.col("se")))
+    if scale == "logit":
+        inner = (F.col("se") > 0) & (F.col("auc") > 0) & (F.col("auc") < 1)
+        eta, wide = F.ln(F.col("auc") / (1 - F.col("auc"))), z * F.col("se") / (F.col("auc") * (1 - F.col("auc")))
+        ends = [F.when(inner, 1 / (1 + F.exp(-(eta + s * wide)))).when(F.col("se").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("auc") + s * z * F.col("se")))) for s in (-1, 1)]
+        return g.select(*by, F.col("n_p").alias("n_pos"), F.col("n_n").alias("n_neg"), "auc", "se", ends[0].alias("low"), ends[1].alias("high"))
     return g.select(*by, F.col("n_p").alias("n_pos"), F.col("n_n").alias("n_neg"), "auc", "se", F.when(F.col("se").isNotNull(), F.greatest(F.col("auc") - z * F.col("se"), F.lit(0.0))).alias("low"), F.when(F.col("se").isNotNull(), F.least(F.col("auc") + z * F.col("se"), F.lit(1.0))).alias("high"))
 
 

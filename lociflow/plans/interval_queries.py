@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,31 +49,31 @@ def _shipments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("region"), "l_orderkey", "l_linenumber", _day("l_shipdate").alias("start2"), (_day("l_shipdate") + 7).alias("end2"))
 
 
-def _order_days(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    """The day of each order, dealt over the first ten suppliers or over every one."""
+def _order_days(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
+    """The day of each order, dealt over every supplier or over the first ten."""
     suppliers = F.col("o_custkey") % (table(spark, sf, "supplier").count() if every else 10) + 1
     return table(spark, sf, "orders").select("o_orderkey", suppliers.alias("k"), _day("o_orderdate").alias("pos"))
 
 
-def point_in_interval(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def point_in_interval(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     """Shipping weeks of a supplier that hold an order's day: their number and earliest start per order."""
     found = I.point_in_interval(_order_days(spark, sf, every), _shipments(spark, sf), ["k"], 14)
     return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("start2").alias("first_start"))
 
 
-def interval_overlap(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def interval_overlap(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     left = _order_days(spark, sf, every).withColumnRenamed("pos", "start").withColumn("end", F.col("start") + 3)
     found = I.overlap_join(left, _shipments(spark, sf), ["k"], 14)
     return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "end2") - F.greatest("start", "start2")).alias("days"))
 
 
-def covered_semi(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def covered_semi(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     """Closed on the right: a shipment that starts on the day when the order's interval ends also covers it."""
     left = _order_days(spark, sf, every).select("o_orderkey", "k", F.col("pos").alias("start"), (F.col("pos") + 2).alias("end"), F.col("o_orderkey").alias("_left"))
     return I.overlap_join(left, _shipments(spark, sf).where("region = 'R'"), ["k"], 14, closed=True, how="left_semi").select("o_orderkey")
 
 
-def proximity_anti(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def proximity_anti(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     """Orders without a returned shipment within two days."""
     left = _order_days(spark, sf, every).select("o_orderkey", "k", F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("o_orderkey").alias("_left"))
     targets = _shipments(spark, sf).where("region = 'R'").select("k", "start2", F.col("start2").alias("end2"))
@@ -83,12 +81,12 @@ def proximity_anti(spark: SparkSession, sf: str, every: bool = False) -> DataFra
     return left.join(near.select("_left"), "_left", "left_anti").select("o_orderkey")
 
 
-def classify_priority(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def classify_priority(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     found = I.classify(_order_days(spark, sf, every), _shipments(spark, sf).drop("l_orderkey", "l_linenumber"), ["k"], 14, ["o_orderkey"], ["R", "A", "N"])
     return found.select("o_orderkey", "region")
 
 
-def region_bases(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def region_bases(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     left = _order_days(spark, sf, every).withColumnRenamed("pos", "start").withColumn("end", F.col("start") + 5)
     regions = I.merge(_shipments(spark, sf).select("k", "region", F.col("start2").alias("start"), F.col("end2").alias("end")), ["k", "region"])
     return I.overlap_bases(left, regions.withColumnsRenamed({"start": "start2", "end": "end2"}), ["k"], 64, ["o_orderkey"])
@@ -108,7 +106,7 @@ def as_of_join(spark: SparkSession, sf: str) -> DataFrame:
     return I.as_of(e.where("event_type = 'view'").select("event_id", "user_id", "pos"), right, ["user_id"], "pos", ["purchase"]).select("event_id", "purchase")
 
 
-def nearest_interval(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def nearest_interval(spark: SparkSession, sf: str, every: bool = True) -> DataFrame:
     targets = _shipments(spark, sf).select("k", "start2", "end2", F.col("region").alias("strand2"))
     return I.nearest(_order_days(spark, sf, every), targets, ["k"]).select("o_orderkey", "distance", "strand")
 
@@ -142,10 +140,6 @@ QUERIES = {
         classify_priority, region_bases, smallest_interval, as_of_join, nearest_interval, cross_fold_neighbours, overlap_matrix, tumbling_blocks,
     )
 }
-#: Those that are also registered with orders of every supplier, so that every shipment can be met.
-_EVERY = (point_in_interval, interval_overlap, covered_semi, proximity_anti, classify_priority, region_bases, nearest_interval)
-QUERIES |= {f"{f.__name__}_all_suppliers": partial(f, every=True) for f in _EVERY}
-
 _V = """v AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + 3600 * (1 + event_id % 7) AS e FROM events)"""
 
 
@@ -156,7 +150,7 @@ def _merged(name: str, source: str, by: str) -> str:
 
 
 _SHIP = "sh AS (SELECT l_suppkey AS k, l_returnflag AS region, epoch_us(l_shipdate) // 86400000000 AS s2, epoch_us(l_shipdate) // 86400000000 + 7 AS e2 FROM lineitem)"
-_ORD = "od AS (SELECT o_orderkey, o_custkey % 10 + 1 AS k, epoch_us(o_orderdate) // 86400000000 AS pos FROM orders)"
+_ORD = "od AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) + 1 AS k, epoch_us(o_orderdate) // 86400000000 AS pos FROM orders)"
 
 
 def _difference(left: str, right: str) -> str:
@@ -211,4 +205,3 @@ ORACLES = {
         SELECT a, b, hits, round(hits / n::DOUBLE, 9) AS share FROM h JOIN (SELECT event_type AS a, count(*) AS n FROM events GROUP BY 1) USING (a)""",
     "tumbling_blocks": "SELECT epoch_us(ts) // 21600000000 AS block, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
-ORACLES |= {f"{f.__name__}_all_suppliers": ORACLES[f.__name__].replace("o_custkey % 10 + 1", "o_custkey % (SELECT count(*) FROM supplier) + 1") for f in _EVERY}

@@ -51,7 +51,7 @@ def draw_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 def fold_leakage(spark: SparkSession, sf: str) -> DataFrame:
     """Shared five-word grams of all folds at once, and what cutting at 0 and a half would remove, pairs included."""
-    words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\pL\pN]+"), lambda x: x != "")
     docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 5).alias("fold"), words.alias("w"))
     spots = F.when(F.size("w") >= 5, F.sequence(F.lit(1), F.size("w") - 4))
     docs = docs.select("doc_id", "fold", F.transform(spots, lambda i: F.array_join(F.slice("w", i, 5), " ")).alias("grams"))
@@ -136,7 +136,7 @@ QUERIES = {
 _PANEL = """(SELECT l_returnflag AS dataset, l_orderkey AS pair, l_linenumber % 2 AS label, CASE l_orderkey % 5 WHEN 4 THEN 'test' WHEN 0 THEN 'val' ELSE 'train' END AS role,
     l_discount AS gc, 'r' || l_suppkey % 4 AS region, l_quantity, l_extendedprice, l_linestatus FROM lineitem)"""
 _HASH = "('0x' || substr(md5({x}), 1, 12))::BIGINT"
-_FIVE = "SELECT doc_id, doc_id % 5 AS fold, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents"
+_FIVE = "SELECT doc_id, doc_id % 5 AS fold, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM documents"
 _MOTIFS = "(VALUES " + ", ".join(f"('{m}')" for m in MOTIFS) + ") AS m(motif)"
 
 ORACLES = {

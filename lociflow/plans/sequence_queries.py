@@ -54,14 +54,14 @@ def kmer_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     return _rna(spark, sf, whole).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dinucleotide_vector(spark: SparkSession, sf: str) -> DataFrame:
-    df = _rna(spark, sf).withColumn("c", S.dinucleotide_counts(F.col("seq")))
+def dinucleotide_vector(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    df = _rna(spark, sf, whole).withColumn("c", S.dinucleotide_counts(F.col("seq")))
     return df.select("item_id", F.posexplode("c").alias("pos", "n")).select("item_id", F.col("pos").cast("long").alias("pair_no"), F.col("n").cast("long").alias("n"))
 
 
-def pair_l1(spark: SparkSession, sf: str) -> DataFrame:
+def pair_l1(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """L1 distance of dinucleotide frequencies between each item and the next by id."""
-    df = _rna(spark, sf).withColumn("f", S.frequencies(S.dinucleotide_counts(F.col("seq"))))
+    df = _rna(spark, sf, whole).withColumn("f", S.frequencies(S.dinucleotide_counts(F.col("seq"))))
     other = df.select((F.col("item_id") - 1).alias("item_id"), F.col("f").alias("g"))
     return df.join(other, "item_id").select("item_id", F.round(S.l1(F.col("f"), F.col("g")), 9).alias("l1"))
 
@@ -152,7 +152,7 @@ QUERIES = {
 }
 
 #: The queries that are also registered over all documents.
-_WHOLE = (kmer_counts, kmer_enrichment)
+_WHOLE = (kmer_counts, kmer_enrichment, dinucleotide_vector, pair_l1)
 QUERIES |= {f"{f.__name__}_documents": partial(f, whole=True) for f in _WHOLE}
 
 _B = f"(SELECT item_id, {_SEQ} AS seq FROM benchmark)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.operators import aggregates as A
-from lociflow.operators import audit, folds, graphs, models, rankstats, sampling, stats
+from lociflow.operators import audit, folds, graphs, models, ordinals, rankstats, sampling, stats
 from lociflow.sources.tables import table
 
 
@@ -86,7 +86,7 @@ def mass_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def midrank(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", rankstats.midrank(F.col("p_size"), ["p_brand"]).alias("rank"))
+    return ordinals.midranks(table(spark, sf, "part"), "p_size", ["p_brand"]).select("p_partkey", "rank")
 
 
 def rank_within(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ def rank_within(spark: SparkSession, sf: str) -> DataFrame:
 
 def fdr(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_id") % 11 != 0, (F.col("event_id") * 7919 % 1000 + 1) / 1001).alias("p"))
-    return _round(rankstats.benjamini_hochberg(df, "p", ["event_type"]).select("event_id", "q"), 9, "q")
+    return _round(ordinals.benjamini_hochberg(df, "p", ["event_type"]).select("event_id", "q"), 9, "q")
 
 
 def decile_auroc(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,10 +120,6 @@ def auroc_interval(spark: SparkSession, sf: str) -> DataFrame:
     return _round(stats.auroc_interval(df, "x", "y", ["l_returnflag"]), 7, "auc", "se", "low", "high")
 
 
-def delong_test_all_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _delong(table(spark, sf, "lineitem"))
-
-
 def _delong(lines: DataFrame) -> DataFrame:
     df = lines.select("l_returnflag", "l_quantity", "l_discount", (F.col("l_linestatus") == "F").cast("int").alias("y"))
     found = stats.delong(df, "l_quantity", "l_discount", "y", ["l_returnflag"]).drop("p")
@@ -140,7 +136,7 @@ def partial_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ols(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(stats.ols(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 3, "slope", "intercept", "rss").select("l_returnflag", "slope")
+    return _round(stats.ols(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 3, "slope", "intercept").select("l_returnflag", "slope", "intercept")
 
 
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,7 +211,7 @@ def pair_filter(spark: SparkSession, sf: str) -> DataFrame:
 def leakage(spark: SparkSession, sf: str) -> DataFrame:
     """Containment of each document's distinct word 6-grams in the benchmark, by threshold."""
     def grams(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, F.array_remove(F.split(F.lower("text"), r"[^a-z]+"), "").alias("w"))
+        words = df.select(key, F.array_remove(F.split(F.lower("text"), r"[^\pL\pN]+"), "").alias("w"))
         spots = F.when(F.size("w") >= 6, F.sequence(F.lit(1), F.size("w") - 5)).otherwise(F.array().cast("array<int>"))
         return words.withColumn("g", F.transform(spots, lambda i: F.xxhash64(*[F.get("w", i + (o - 1)) for o in range(6)]))).select(key, "g")
 
@@ -229,7 +225,7 @@ def duplicate_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.profile(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")).drop("type")
+    return audit.profile(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")).drop("type")
 
 
 def table_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,7 +268,7 @@ def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def gram_components(spark: SparkSession, sf: str) -> DataFrame:
     """Documents connected by a shared word 12-gram."""
-    words = F.array_remove(F.split(F.lower("text"), r"[^a-z]+"), "")
+    words = F.array_remove(F.split(F.lower("text"), r"[^\pL\pN]+"), "")
     docs = table(spark, sf, "documents").select("doc_id", words.alias("w"))
     spots = F.when(F.size("w") >= 12, F.sequence(F.lit(1), F.size("w") - 11)).otherwise(F.array().cast("array<int>"))
     grams = docs.select("doc_id", F.transform(spots, lambda i: F.array_join(F.slice("w", i, 12), " ")).alias("g"))
@@ -283,13 +279,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         gini, category_shares, shares_pivot, mean_pivot, redundancy, effect_size, trimmed_mean, quantiles, group_spread, leave_one_out, largest_magnitude, mutual_information, top3_share,
-        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, delong_test_all_rows, auroc_interval, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
+        with_all, mass_matrix, midrank, rank_within, fdr, decile_auroc, delong_test, auroc_interval, spearman, partial_correlation, ols, average_precision, bootstrap_interval, systematic_sample,
         hash_sample, stratified_pick, top_k, greedy_match, dinucleotide_shuffle, nearest_vectors, out_of_fold_auroc, fold_roles, fold_checks, pair_filter, leakage, duplicate_scan,
         column_profile, table_diff, content_digest, first_wins, carry_forward, integrity, key_overlap, gram_components,
     )
 }
 
-_GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM {t})"
+_GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM {t})"
 _MID = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 
 ORACLES = {
@@ -336,7 +332,7 @@ ORACLES = {
     "spearman": f"SELECT p_brand, count(*) AS n, round(corr(a, b), 8) AS rho FROM (SELECT p_brand, {_MID.format(by='p_brand', x='p_size')} AS a, {_MID.format(by='p_brand', x='p_retailprice')} AS b FROM part) GROUP BY 1",
     "partial_correlation": """WITH c AS (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem GROUP BY 1)
         SELECT l_returnflag, n, round(CASE WHEN n >= 10 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END, 7) AS partial FROM c""",
-    "ols": "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem GROUP BY 1",
+    "ols": "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem GROUP BY 1",
     "average_precision": """WITH s AS (SELECT lang, n_chars, sum((quality = 1)::INT) AS p, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2),
         c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS a FROM s WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING))
         SELECT lang, round(sum(p * tp / a::DOUBLE) / nullif(sum(p), 0), 8) AS average_precision FROM c GROUP BY 1""",
@@ -361,7 +357,7 @@ ORACLES = {
             round(avg((share > 0.25)::INT), 9) AS above_25, round(avg((share > 0.5)::INT), 9) AS above_50, round(avg((share > 0.9)::INT), 9) AS above_90 FROM s""",
     "duplicate_scan": """WITH f AS (SELECT l_partkey, l_suppkey, count(*) AS n, count(DISTINCT l_orderkey % 5) AS f, count(DISTINCT l_returnflag) AS l FROM lineitem GROUP BY 1, 2)
         SELECT (SELECT count(*) - count(DISTINCT l_partkey) FROM lineitem) AS coarse_surplus, sum(n - 1)::BIGINT AS full_surplus, sum((f > 1)::INT)::BIGINT AS cross_fold, sum((l > 1)::INT)::BIGINT AS mixed_label FROM f""",
-    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\", min({c})::VARCHAR AS smallest, max({c})::VARCHAR AS largest FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
+    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\", min({c})::VARCHAR AS smallest, max({c})::VARCHAR AS largest FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")),
     "table_diff": """SELECT c_custkey, CASE WHEN c_custkey % 10 = 4 THEN 'added' WHEN c_custkey % 10 = 3 THEN 'dropped' ELSE 'changed' END AS status FROM customer
         WHERE c_custkey % 10 IN (3, 4) OR c_custkey % 7 = 0""",
     "content_digest": "SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)), 1, 12))::HUGEINT)::VARCHAR AS digest FROM orders",
@@ -369,7 +365,7 @@ ORACLES = {
     "carry_forward": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "integrity": """SELECT count(*) AS n, count(*) FILTER (NOT l_quantity BETWEEN 1 AND 50) AS bad_quantity, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS bad_flag, count(*) FILTER (NOT l_discount < 0.1) AS bad_discount FROM lineitem""",
     "gram_components": """
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM documents),
         g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w),
         f AS (SELECT g, min(doc_id) AS a FROM g GROUP BY 1 HAVING count(*) > 1), l AS (SELECT DISTINCT a, doc_id AS b FROM g JOIN f USING (g) WHERE doc_id <> a),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
@@ -377,7 +373,6 @@ ORACLES = {
     "key_overlap": """WITH k AS (SELECT l_partkey, max((l_returnflag = 'R')::INT) AS r, max((l_returnflag = 'A')::INT) AS a FROM lineitem GROUP BY 1)
         SELECT sum(r * a)::BIGINT AS both, sum(greatest(r, a))::BIGINT AS either, sum(r * (1 - a))::BIGINT AS only_r, round(sum(r * a) / sum(greatest(r, a))::DOUBLE, 9) AS jaccard FROM k""",
 }
-ORACLES["delong_test_all_rows"] = ORACLES["delong_test"]
 ORACLES["auroc_interval"] = f"""WITH d AS (SELECT l_returnflag, l_extendedprice::DOUBLE AS a, (l_linestatus = 'F')::INT AS y FROM lineitem),
     r AS (SELECT *, sum(y) OVER (PARTITION BY l_returnflag) AS np, count(*) OVER (PARTITION BY l_returnflag) AS n, {_MID.format(by='l_returnflag', x='a')} AS ra, {_MID.format(by='l_returnflag, y', x='a')} AS oa FROM d),
     v AS (SELECT l_returnflag, y, CASE WHEN y = 1 THEN (ra - oa) / nullif(n - np, 0) ELSE 1 - (ra - oa) / nullif(np, 0) END AS va FROM r),
