@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
-from lociflow.operators import coverage, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
+from lociflow.operators import coverage, crossfit, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
 from lociflow.sources.tables import table
 
 
@@ -27,11 +27,14 @@ def kmer_oof_auroc(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found.withColumnRenamed("group", "k"), 3, "auc", "se", "low", "high")
 
 
-def cross_fitted_auroc(spark: SparkSession, sf: str) -> DataFrame:
-    """Per outer fold, the AUROC over the other folds of the scores that saw neither the row's fold nor the outer one."""
-    _, margins = sparse_models.kmer_models(_labelled(spark, sf), "doc_id", "text", "quality", "fold", 5, [2], together=2, per=101.0, tolerance=1e-3)
-    crossed = sparse_models.cross_fitted(margins, 5).where("fold <> outer")
-    return _rounded(stats.auroc_interval(crossed, "score", "label", ["outer"], scale="logit"), 2, "auc", "se", "low", "high")
+def cross_fitted_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """What 2-mer models add to the letters' composition, with scores that saw the outer fold and with cross-fitted ones."""
+    docs = _labelled(spark, sf)
+    _, margins = sparse_models.kmer_models(docs, "doc_id", "text", "quality", "fold", 5, [2], together=2, per=101.0, tolerance=1e-3)
+    letters = F.translate(F.lower(F.coalesce("text", F.lit(""))), "aeiotnshrdlu", "ACGUACGUACGU")
+    base = docs.select(F.col("doc_id").alias("row"), *[(F.regexp_count(letters, F.lit(b)) / (F.length(letters) + 1)).alias(b) for b in "ACG"])
+    found = crossfit.contributions(margins, base, list("ACG"), 5).withColumnRenamed("group", "k")
+    return _rounded(found, 2, "auroc_base", "gain_published", "gain_crossfit")
 
 
 def dinucleotide_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +112,7 @@ def auroc_logit(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.auroc_interval(df, "price", "y", ["l_returnflag"], scale="logit"), 7, "auc", "se", "low", "high")
 
 
-QUERIES = {f.__name__: f for f in (kmer_oof_auroc, cross_fitted_auroc, dinucleotide_match, effect_tests, penalised_ratio, paired_bootstrap, window_tops, paired_positions, score_coverage, region_matched, auroc_logit)}
+QUERIES = {f.__name__: f for f in (kmer_oof_auroc, cross_fitted_gain, dinucleotide_match, effect_tests, penalised_ratio, paired_bootstrap, window_tops, paired_positions, score_coverage, region_matched, auroc_logit)}
 
 _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 ORACLES = {
