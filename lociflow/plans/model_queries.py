@@ -22,7 +22,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 def kmer_oof_auroc(spark: SparkSession, sf: str) -> DataFrame:
     """AUROC for the quality label of k-mer models with k of 3 to 5, each document scored by the model that did not see its fold;
     k-mers count as in a window of 101 letters. With the 95% interval on the logit scale."""
-    _, margins = sparse_models.kmer_models(_labelled(spark, sf), "doc_id", "text", "quality", "fold", 5, [3, 4, 5], per=101.0, tolerance=1e-4)
+    _, margins = sparse_models.kmer_models(_labelled(spark, sf), "doc_id", "text", "quality", "fold", 5, [3, 4, 5], per=101.0, tolerance=1e-3)
     found = stats.auroc_interval(sparse_models.out_of_fold(margins), "score", "label", ["group"], scale="logit")
     return _rounded(found.withColumnRenamed("group", "k"), 3, "auc", "se", "low", "high")
 

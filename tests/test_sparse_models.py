@@ -72,14 +72,14 @@ def test_folds_without_two_classes_and_no_rows(spark):
 def test_cross_fitted_scores_saw_neither_fold(spark):
     texts, y, folds = data(random.Random(2), 60)
     df = spark.createDataFrame(list(zip(range(60), texts, y, folds)), "id long, seq string, y int, f int")
-    _, margins = sparse_models.kmer_models(df, "id", "seq", "y", "f", 4, [2], together=2, tolerance=1e-8)
+    _, margins = sparse_models.kmer_models(df, "id", "seq", "y", "f", 4, [2], together=2, l2=4.0, tolerance=1e-8)
     got = {(r.outer, r.row): r.score for r in sparse_models.cross_fitted(margins, 4).collect()}
     assert len(got) == 4 * 60
-    published = dense(texts, y, folds, 2, 4)[1]
+    published = dense(texts, y, folds, 2, 4, 4.0)[1]
     for i in range(4):
         for j in range(4):
             # the rows of both folds are one fold, which is left out
-            want = dense(texts, y, [9 if f in (i, j) else f for f in folds], 2, 10)[1] if i != j else published
+            want = dense(texts, y, [9 if f in (i, j) else f for f in folds], 2, 10, 4.0)[1] if i != j else published
             assert all(abs(got[i, r] - want[r]) < 1e-6 for r in range(60) if folds[r] == j)
 
 
