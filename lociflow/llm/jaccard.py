@@ -41,7 +41,7 @@ COUNTED = 8
 #: Nodes from which a segment or shingle is frequent: sets that must share others too are not sought by it.
 FREQUENT = 100
 #: A round that links no more than one part in so many of the first's is the last, before all pairs left are counted.
-WORTH = 20
+WORTH = 2
 #: Rows of one or three numbers up to which a key table is sent to every executor; beyond it the join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for tables with text keys, of about 60 bytes a row.
@@ -272,8 +272,9 @@ def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs:
     count = F.count(F.lit(1))
     hard = often.groupBy("nid", "c").agg(count.alias("h")).join(cuts.select("nid", "n", "c", "common", "least"), ["nid", "c"]).where("h >= common").select("nid", "n", "c", "least")
     hard = stored(hard, folder, "hard")
-    sets = sets_of(hard, nodes, docs, k, folder, "hard").select("nid", F.explode("items").alias("item"))
-    single = stored(sets.join(hard, "nid").select(F.xxhash64("c", "item").alias("s"), "c", "nid", "n", "least"), folder, "single")
+    sets = sets_of(hard, nodes, docs, k, folder, "hard").select("nid", "items").join(hard, "nid")
+    single = sets.select("c", "nid", "n", "least", F.explode("items").alias("item")).select(F.xxhash64("c", "item").alias("s"), "c", "nid", "n", "least")
+    single = stored(single, folder, "single")
     known = single.groupBy("s").agg(count.alias("m"))
     rare = single.join(known.where(f"m > 1 AND m < {FREQUENT}").select("s"), "s", "left_semi").select("s", "c", "nid", F.lit(None).cast("long").alias("cap"))
     held = single.join(small(known.where(f"m >= {FREQUENT}").select("s"), BROADCAST_ROWS), "s", "left_semi").groupBy("nid", "n", "c", "least").agg(count.alias("h"))
@@ -351,14 +352,16 @@ def contracted(roots: DataFrame | None, links: DataFrame, folder: str, name: str
     return stored(old.unionByName(single), folder, f"{name}-roots")
 
 
-def linked_roots(active: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame | None:
-    """nid and root, a number of its component, of every node that links with another; None if none does."""
-    sketches = stored(cuts.join(small(active.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
-    found = stored(near(meeting(active, 0), sketches, percent), folder, "near-0")
+def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame | None:
+    """nid and root, a number of its component, of every node that links with another; None if none does. ``often`` has the rows of
+    frequent segments: they take part in the rounds, and afterwards only where their nodes are still in different components."""
+    every = active if often is None else stored(active.unionByName(often), folder, "every")
+    sketches = stored(cuts.join(small(every.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
+    found = stored(near(meeting(every, 0), sketches, percent), folder, "near-0")
     involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
     parts = sets_of(involved, nodes, docs, k, folder, "involved")
     pairs, roots, turn, first_links, done = nearest(found), None, 0, 0, None
-    inner = stored(active.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
+    inner = stored(every.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
     while True:
         pairs = stored(pairs, folder, f"pairs-{turn}")
         done = pairs if done is None else done.unionByName(pairs)
@@ -370,20 +373,29 @@ def linked_roots(active: DataFrame, cuts: DataFrame, nodes: DataFrame, docs: Dat
             break
         met = near(meeting(placed_in(inner, roots), turn), sketches, percent).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
         pairs = nearest(met.join(done.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"))
-    # then all pairs: of the first nodes of the components in each segment, of the last ones, and of the others where these
+    if often is not None:
+        # a frequent segment whose nodes have become one component asks for nothing more
+        placed = placed_in(often, roots)
+        open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+        left = stored(often.join(open_, "s", "left_semi"), folder, "often")
+        if left.limit(1).count():
+            active = stored(active.unionByName(without_frequent(left, cuts, nodes, docs, k, percent, folder)), folder, "open")
+    # then all pairs: of the first and of the last nodes of the components in each segment, and of the others where these
     # have not joined their components; no pair is verified twice
     placed = across(placed_in(active, roots), sketches, folder)
+    ends = lambda x: met_across(placed.where(x), placed.where(x), percent, "ra < rb")
     steps = {
-        "firsts": lambda: met_across(placed.where("first"), placed.where("first"), percent, "ra < rb"),
-        "lasts": lambda: met_across(placed.where("last"), placed.where("last"), percent, "ra < rb AND NOT (first_a AND first_b)"),
+        "ends": lambda: ends("first").unionByName(ends("last")).distinct(),
         "others": lambda: met_across(placed.where("NOT first"), placed, percent, "(first_b OR a < b) AND NOT (last_a AND last_b)"),
     }
     for name, of in steps.items():
         rest = stored(of().join(done, ["a", "b"], "left_anti"), folder, name)
-        done = done.unionByName(rest)
         if not rest.limit(1).count():
             continue
-        parts = sets_of(rest.select(F.explode(F.array("a", "b")).alias("nid")), nodes, docs, k, folder, name)
+        done = done.unionByName(rest)
+        wanted = stored(rest.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(parts.select("nid").distinct(), "nid", "left_anti"), folder, f"{name}-wanted")
+        if wanted.limit(1).count():  # the sets that were not made yet
+            parts = parts.unionByName(sets_of(wanted, nodes, docs, k, folder, name))
         links = verify(rest, parts, percent, folder, name)
         if not links.limit(1).count():
             continue
@@ -420,12 +432,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     more = segments.select("s", "nid").join(small(shared.where("m > 2").select("s", "c", "m"), BROADCAST_ROWS), "s")
     more = stored(more, folder, "more")
     active = two.unionByName(more.where(F.col("m") < FREQUENT).drop("m")).withColumn("cap", F.lit(None).cast("long"))
-    often = more.where(F.col("m") >= FREQUENT)
-    if often.limit(1).count():
-        active = active.unionByName(without_frequent(often, cuts, nodes, docs, k, percent, folder))
     active = stored(active, folder, "active")
+    often = more.where(F.col("m") >= FREQUENT).drop("m").withColumn("cap", F.lit(None).cast("long"))
+    often = often if often.limit(1).count() else None
     member = nodes.select("node", "nid", "first_id", "m")
-    if active.limit(1).count() and (roots := linked_roots(active, cuts, nodes, docs, k, percent, folder)) is not None:
+    any_ = often is not None or active.limit(1).count()
+    if any_ and (roots := linked_roots(active, often, cuts, nodes, docs, k, percent, folder)) is not None:
         linked = stored(roots.join(nodes.select("nid", "first_id"), "nid"), folder, "linked")
         named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
         named = join_keyed(linked.select("nid", "root"), stored(named, folder, "named"), "root", linked.count())
