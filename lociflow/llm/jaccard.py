@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fresh, join_keyed, releasing, shared_dir, small, stored
+from lociflow.llm.common import fresh, join_keyed, releasing, remove, shared_dir, small, stored
 
 #: Orders tried for sets that leave too many fragments empty, before each shingle counts as a segment.
 ORDERS = 4
@@ -253,6 +253,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         turn += 1
         edges = stored(small.where("u <> v").distinct(), folder, f"{name}-edges-{turn}")
+        remove(edges.sparkSession, f"{folder}/{name}-edges-{turn - 1}")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
@@ -362,6 +363,7 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
     parts = sets_of(involved, nodes, docs, k, folder, "involved")
     pairs, roots, turn, first_links, done = nearest(found), None, 0, 0, None
     inner = stored(every.join(small(involved, BROADCAST_ROWS), "nid", "left_semi"), folder, "inner")
+    remove(docs.sparkSession, f"{folder}/every")
     while True:
         pairs = stored(pairs, folder, f"pairs-{turn}")
         done = pairs if done is None else done.unionByName(pairs)
@@ -380,9 +382,13 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
         left = stored(often.join(open_, "s", "left_semi"), folder, "often")
         if left.limit(1).count():
             active = stored(active.unionByName(without_frequent(left, cuts, nodes, docs, k, percent, folder)), folder, "open")
+            for name in ("single", "hard-parts", "active"):
+                remove(docs.sparkSession, f"{folder}/{name}")
     # then all pairs: of the first and of the last nodes of the components in each segment, and of the others where these
     # have not joined their components; no pair is verified twice
     placed = across(placed_in(active, roots), sketches, folder)
+    for name in ("inner", "near-0", "sketches"):
+        remove(docs.sparkSession, f"{folder}/{name}")
     ends = lambda x: met_across(placed.where(x), placed.where(x), percent, "ra < rb")
     steps = {
         "ends": lambda: ends("first").unionByName(ends("last")).distinct(),
