@@ -98,6 +98,12 @@ def releasing(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
     return run
 
 
+def make(spark: SparkSession, folder: str) -> None:
+    """Creates a folder, if it is not there, through the file system that is to hold it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes an intermediate folder through the file system that holds it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

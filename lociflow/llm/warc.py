@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import stored
+from lociflow.llm.common import make, stored
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -144,8 +144,8 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, lea
 
     Each task writes whole archives under their final names only once they are complete, so that a task run again
     replaces its own archives with equal ones. Payloads are written whole, however long; null html is an empty payload, a null
-    page_id has a record of its own. Of repeated rows the largest page_id is the response, of equal ones the first. An empty table
-    writes no record. Other columns than page_id, url and html are not read.
+    page_id has a record of its own, a response. Rows that repeat the page_id and payload of a response are responses too. An empty
+    table writes no record. Other columns than page_id, url and html are not read.
     """
 
     def archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,6 +181,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, lea
             done.append(close())
         yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
+    make(pages.sparkSession, folder)  # an empty table has no task that would
     planned = plan_revisits(pages, least_bytes).sortWithinPartitions("page_id", "sha1", "url")
     # strings keep nulls beside longs that pandas would turn into floats
     planned = planned.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})

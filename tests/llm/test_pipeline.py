@@ -46,3 +46,17 @@ def test_run_on_clashing_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.stored(stage(spark, docs, SF), common.shared_dir(spark), name)
         assert docs.columns[-4:] == ["node", "words", "_text_key2", "_language"]
+
+
+def test_run_on_empty_documents_and_on_a_very_long_text(spark, tmp_path):
+    docs, benchmark = (common.read(spark, SF, n) for n in ("documents", "benchmark"))
+    benchmark.write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    long = " ".join(f"{w} number {i}" for i, w in enumerate(["the house and the river are far from the old town"] * 20_000))
+    benchmark.write.parquet(str(tmp_path / "long/benchmark.parquet"))
+    rows = spark.createDataFrame([(10**7, long, "en", "s", len(long)), (10**7 + 1, long + " end", "en", "s", len(long) + 4)], docs.schema)
+    docs.unionByName(rows).write.parquet(str(tmp_path / "long/documents.parquet"))
+    out = {r.doc_id: r.n for r in corpus_pipeline.run(spark, str(tmp_path / "long")).where(f"doc_id >= {10**7}").groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    tokens = len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids) + 1
+    assert out == {10**7: tokens}  # the copy goes, and the rest is whole

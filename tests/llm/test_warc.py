@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import zlib
 
 from lociflow.llm import common, warc
@@ -54,3 +55,24 @@ def test_least_bytes_and_empty_table(spark):
     assert {r.page_id: r.refers_to for r in warc.plan_revisits(pages, 3).collect()} == {1: None, 2: None, 3: 4, 4: None}
     folder = common.shared_dir(spark)
     warc.write(pages.limit(0), f"{folder}/warc")
+    assert warc.read(spark, f"{folder}/warc").collect() == [] and warc.resolve(warc.read(spark, f"{folder}/warc"), folder).collect() == []
+
+
+def test_random_pages_equal_a_plan_by_hand(spark):
+    """Equal payloads in groups of any size, a payload of many kilobytes, nulls: every row of the contract."""
+    rng = random.Random(6)
+    payloads = [None, "", "a", "é" * 50, "<p>x</p>" * 4000, *[f"page {i}" for i in range(30)]]
+    rows = [(i, f"http://x/{i}", rng.choice(payloads)) for i in rng.sample(range(10_000), 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    folder = common.shared_dir(spark)
+    warc.write(pages, f"{folder}/warc", archive_bytes=20_000)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(warc.read(spark, f"{folder}/warc"), folder).collect()}
+    last = {}
+    for i, _, t in rows:
+        last[t or ""] = max(i, last.get(t or "", -1))
+    want = {}
+    for i, _, t in rows:
+        body = (t or "").encode()
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        want[i] = (len(body), digest, "response", None) if last[t or ""] == i else (len(body), digest, "revisit", last[t or ""])
+    assert got == want
