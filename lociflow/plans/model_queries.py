@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
-from lociflow.operators import coverage, crossfit, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
+from lociflow.operators import anova, coverage, crossfit, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
 from lociflow.sources.tables import table
 
 
@@ -112,7 +112,13 @@ def auroc_logit(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.auroc_interval(df, "price", "y", ["l_returnflag"], scale="logit"), 7, "auc", "se", "low", "high")
 
 
-QUERIES = {f.__name__: f for f in (kmer_oof_auroc, cross_fitted_gain, dinucleotide_match, effect_tests, penalised_ratio, paired_bootstrap, window_tops, paired_positions, score_coverage, region_matched, auroc_logit)}
+def variance_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """What suppliers, flags and line numbers explain of the lines' prices beside one another."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    return _rounded(anova.variance_shares(lines, "price", ["l_suppkey", "l_returnflag", "l_linenumber"]), 6, "share")
+
+
+QUERIES = {f.__name__: f for f in (variance_shares, kmer_oof_auroc, cross_fitted_gain, dinucleotide_match, effect_tests, penalised_ratio, paired_bootstrap, window_tops, paired_positions, score_coverage, region_matched, auroc_logit)}
 
 _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 ORACLES = {
