@@ -42,6 +42,8 @@ COUNTED = 8
 FREQUENT = 100
 #: A round that links no more than one part in so many of the first's is the last, before all pairs left are counted.
 WORTH = 2
+#: One frequent segment of so many takes part in the rounds: sets that link share most of theirs.
+ROUNDS_TAKE = 4
 #: Rows of one or three numbers up to which a key table is sent to every executor; beyond it the join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for tables with text keys, of about 60 bytes a row.
@@ -274,6 +276,7 @@ def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs:
     hard = often.groupBy("nid", "c").agg(count.alias("h")).join(cuts.select("nid", "n", "c", "common", "least"), ["nid", "c"]).where("h >= common").select("nid", "n", "c", "least")
     hard = stored(hard, folder, "hard")
     sets = sets_of(hard, nodes, docs, k, folder, "hard").select("nid", "items").join(hard, "nid")
+    sets = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few sets may be of one group, in few tasks
     single = sets.select("c", "nid", "n", "least", F.explode("items").alias("item")).select(F.xxhash64("c", "item").alias("s"), "c", "nid", "n", "least")
     single = stored(single, folder, "single")
     known = single.groupBy("s").agg(count.alias("m"))
@@ -355,9 +358,11 @@ def contracted(roots: DataFrame | None, links: DataFrame, folder: str, name: str
 
 def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame | None:
     """nid and root, a number of its component, of every node that links with another; None if none does. ``often`` has the rows of
-    frequent segments: they take part in the rounds, and afterwards only where their nodes are still in different components."""
-    every = active if often is None else stored(active.unionByName(often), folder, "every")
-    sketches = stored(cuts.join(small(every.select("nid").distinct(), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
+    frequent segments: some take part in the rounds, which are there to save work, and all of them afterwards where their nodes are
+    still in different components."""
+    every = active if often is None else stored(active.unionByName(often.where(F.pmod("s", F.lit(ROUNDS_TAKE)) == 0)), folder, "every")
+    whose = active if often is None else active.select("nid").unionByName(often.select("nid"))
+    sketches = stored(cuts.join(small(stored(whose.select("nid").distinct(), folder, "whose"), BROADCAST_ROWS), "nid", "left_semi").select("nid", "n", "c", "sketch"), folder, "sketches")
     found = stored(near(meeting(every, 0), sketches, percent), folder, "near-0")
     involved = stored(found.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, "involved")
     parts = sets_of(involved, nodes, docs, k, folder, "involved")
