@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,18 @@ def releasing(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
     return run
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, tasks exchange so many rows at a time with Python: texts are long, and both sides hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def make(spark: SparkSession, folder: str) -> None:
     """Creates a folder, if it is not there, through the file system that is to hold it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

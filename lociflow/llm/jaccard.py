@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fresh, join_keyed, releasing, remove, shared_dir, small, stored
+from lociflow.llm.common import batches_of, fresh, join_keyed, releasing, remove, shared_dir, small, stored
 
 #: Orders tried for sets that leave too many fragments empty, before each shingle counts as a segment.
 ORDERS = 4
@@ -48,8 +48,10 @@ ROUNDS_TAKE = 4
 BROADCAST_ROWS = 500_000
 #: The same for tables with text keys, of about 60 bytes a row.
 BROADCAST_KEYS = 200_000
+#: Texts that a task exchanges with Python at a time.
+TEXTS = 1_000
 #: Words whose hashes a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 words_of_bytes = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -229,7 +231,8 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, folder
     texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).withColumn("short", F.xxhash64("text_key")).join(short, "short", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     parts = texts.mapInArrow(releasing(cut), "text_key string, part int, items array<long>").join(keys, "text_key").select("nid", "n", "part", "items")
-    return stored(parts, folder, f"{name}-parts")
+    with batches_of(docs.sparkSession, TEXTS):
+        return stored(parts, folder, f"{name}-parts")
 
 
 def verify(pairs: DataFrame, parts: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
@@ -427,7 +430,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None =
     other columns are not read.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    measured = stored(measure(docs, k, percent), folder, "measured")
+    with batches_of(docs.sparkSession, TEXTS):
+        measured = stored(measure(docs, k, percent), folder, "measured")
     nodes = measured.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("nid"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("m"))
     nodes = stored(nodes, folder, "nodes")
     # the cuts of one row of each node: read beside the measures while the numbers of those rows can be broadcast
