@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Complements of the bases; N stays N.
 BASES, COMPLEMENTS = "ACGTNacgtn", "TGCANtgcan"
 
+#: Letters that are counted at a time.
+BLOCK = 1 << 18
+
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, BASES, COMPLEMENTS))
@@ -32,8 +37,10 @@ def window_bounds(start: Column, end: Column, size: int) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All overlapping k-mers in order; none where the string is shorter."""
-    spots = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.substring(seq, i, F.lit(k)))
+    spots = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k)).otherwise(F.array().cast("array<int>"))
+    # the letters are bound to a lambda: a substring would be sought from the string's start for each k-mer
+    joined = lambda cs: F.transform(spots, lambda i: F.concat(*[F.get(cs, i + j) for j in range(k)]))
+    return F.transform(F.array(F.split(seq, "")), joined)[0]
 
 
 def occurrences(seq: Column, motif: Column | str) -> Column:
@@ -43,6 +50,30 @@ def occurrences(seq: Column, motif: Column | str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(seq, i + 1, F.length(motif)) == motif)).otherwise(F.array().cast("array<int>"))
 
 
+def kmer_counts(seq: Column, k: int, alphabet: str = "ACGU") -> Column:
+    """Counts of all overlapping k-mers over ASCII letters, in the order of ``alphabet``; k-mers with other letters are skipped.
+    Zeros for null."""
+    size = len(alphabet)
+    code = np.full(256, size, np.uint8)  # further letters and the bytes of wider ones
+    code[np.frombuffer(alphabet.encode("ascii"), np.uint8)] = np.arange(size)
+    kept = (slice(size),) * k
+
+    def count(texts: pa.Array) -> pa.Array:
+        raw = texts.fill_null("").cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        found = np.zeros((len(raw), size**k), np.int32)
+        for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            for at in range(a, b - k + 1, BLOCK):
+                letters = code[data[at : min(b, at + BLOCK + k - 1)]].astype(np.int64)
+                n = len(letters) - k + 1
+                number = sum(letters[j : j + n] * (size + 1) ** (k - 1 - j) for j in range(k))
+                found[row] += np.bincount(number, minlength=(size + 1) ** k).reshape((size + 1,) * k)[kept].ravel().astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * size**k, pa.int32()), pa.array(found.ravel()))
+
+    return F.arrow_udf(count, "array<int>")(seq)
+
+
 def dinucleotide_counts(seq: Column, alphabet: str = "ACGU") -> Column:
     """Counts of the 16 overlapping pairs in alphabetical order; pairs with other letters are skipped."""
     # one pass for each pair; the second letter is looked at without being taken, so that overlaps count

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lociflow.sources.tables import table
 
 def _rna(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """item_id and seq of the benchmark items, or of all documents."""
-    seq = F.regexp_replace(F.translate(F.lower("text"), "aeiotnshrdlu", "ACGUACGUACGU"), "[^ACGU]", "")
+    seq = F.regexp_replace(F.translate(F.lower("text"), "aeiotnshrdlu", "ACGUACGUACGU"), "[^ACGU]+", "")
     rows = table(spark, sf, "documents").withColumnRenamed("doc_id", "item_id") if whole else table(spark, sf, "benchmark")
     return rows.select("item_id", seq.alias("seq"))
 
@@ -50,8 +51,16 @@ def seq_period(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("word", S.minimal_period(F.col("word")).cast("long").alias("period"), F.round(S.repeat_score(F.col("word")), 9).alias("repeat_score"))
 
 
+def _kmer_sums(df: DataFrame, k: int, **sums: Column) -> DataFrame:
+    """kmer and sums over all rows of what each has of it (``n``): a row's k-mers are counted before they are laid out."""
+    names = F.array(*[F.lit("".join(p)) for p in product("ACGU", repeat=k)])
+    rows = df.select("*", F.posexplode(S.kmer_counts(F.col("seq"), k)).alias("_at", "n")).where("n > 0")
+    return rows.groupBy("_at").agg(*[F.sum(v).cast("long").alias(c) for c, v in sums.items()]).select(F.get(names, F.col("_at")).alias("kmer"), *sums)
+
+
 def kmer_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _rna(spark, sf, whole).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    found = _kmer_sums(_rna(spark, sf, whole), 3, n=F.col("n"))
+    return found.where("n > 0")
 
 
 def dinucleotide_vector(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:

@@ -193,3 +193,21 @@ def test_delong_ranks_distinct_scores_not_rows(spark):
     counts = rows.selectExpr("g", "a", "cast(y AS long) AS _p", "cast(1 - y AS long) AS _n")
     assert stats.placements(counts, "a", ["g"]).count() == 21
     assert stats.delong(rows, "a", "b", "y", ["g"]).count() == 3
+
+
+def test_kmers_of_long_and_missing_texts(spark):
+    """Time in proportion to the length: 400,000 letters took minutes when each k-mer was sought from the start."""
+    import random
+    import time
+    from collections import Counter
+
+    letters = "".join(random.Random(5).choices("ACGUxé", k=400_000))
+    df = spark.createDataFrame([(1, letters), (2, None), (3, ""), (4, "AA"), (5, "AAAA")], "k int, s string").repartition(2)
+    began = time.perf_counter()
+    got = {r.k: r for r in df.select("k", S.kmer_counts(F.col("s"), 3).alias("n"), F.size(S.kmers(F.col("s"), 3)).alias("m")).collect()}
+    assert time.perf_counter() - began < 30
+    names = [a + b + c for a in "ACGU" for b in "ACGU" for c in "ACGU"]
+    want = Counter(letters[i : i + 3] for i in range(len(letters) - 2))
+    assert got[1].n == [want[x] for x in names] and got[1].m == len(letters) - 2
+    assert [sum(got[i].n) for i in (2, 3, 4, 5)] == [0, 0, 0, 2] and [got[i].m for i in (2, 3, 4, 5)] == [0, 0, 0, 2] and got[5].n[0] == 2
+    assert spark.range(1).select(S.kmers(F.lit("aé😀b"), 2).alias("x")).first().x == ["aé", "é😀", "😀b"]
