@@ -146,13 +146,14 @@ def base_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def kmer_enrichment(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """log2 ratio of pseudo-counted 2-mer frequencies, even against odd items, absent 2-mers included."""
-    rows = _rna(spark, sf, whole).select((F.col("item_id") % 2).alias("label"), F.explode(S.kmers(F.col("seq"), 2)).alias("kmer"))
-    counts = rows.groupBy("kmer").agg(F.sum((F.col("label") == 0).cast("long")).alias("a"), F.sum((F.col("label") == 1).cast("long")).alias("b"))
+    side = lambda label: F.when(F.col("item_id") % 2 == label, F.col("n")).otherwise(0)
+    counts = _kmer_sums(_rna(spark, sf, whole), 2, a=side(0), b=side(1))
     letters = spark.createDataFrame([(b,) for b in "ACGU"], "x string")
     every = letters.crossJoin(letters.withColumnRenamed("x", "y")).select(F.concat("x", "y").alias("kmer"))  # the alphabet, 16 rows
     full = every.join(counts, "kmer", "left").fillna(0)
-    total = full.agg(F.sum(F.col("a") + 1).alias("ta"), F.sum(F.col("b") + 1).alias("tb"))
-    return full.crossJoin(F.broadcast(total)).select("kmer", "a", "b", F.round(F.log2(((F.col("a") + 1) / F.col("ta")) / ((F.col("b") + 1) / F.col("tb"))), 6).alias("log2_ratio"))
+    total = lambda c: F.sum(F.col(c) + 1).over(Window.partitionBy())  # noqa: E731  16 rows
+    full = full.withColumns({"ta": total("a"), "tb": total("b")})
+    return full.select("kmer", "a", "b", F.round(F.log2(((F.col("a") + 1) / F.col("ta")) / ((F.col("b") + 1) / F.col("tb"))), 6).alias("log2_ratio"))
 
 
 QUERIES = {
