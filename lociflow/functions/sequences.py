@@ -76,8 +76,7 @@ def kmer_counts(seq: Column, k: int, alphabet: str = "ACGU") -> Column:
 
 def dinucleotide_counts(seq: Column, alphabet: str = "ACGU") -> Column:
     """Counts of the 16 overlapping pairs in alphabetical order; pairs with other letters are skipped."""
-    # one pass for each pair; the second letter is looked at without being taken, so that overlaps count
-    return F.array(*[F.regexp_count(seq, F.lit(f"{a}(?={b})")) for a in alphabet for b in alphabet])
+    return kmer_counts(seq, 2, alphabet)
 
 
 def frequencies(counts: Column) -> Column:

@@ -211,3 +211,9 @@ def test_kmers_of_long_and_missing_texts(spark):
     assert got[1].n == [want[x] for x in names] and got[1].m == len(letters) - 2
     assert [sum(got[i].n) for i in (2, 3, 4, 5)] == [0, 0, 0, 2] and [got[i].m for i in (2, 3, 4, 5)] == [0, 0, 0, 2] and got[5].n[0] == 2
     assert spark.range(1).select(S.kmers(F.lit("aé😀b"), 2).alias("x")).first().x == ["aé", "é😀", "😀b"]
+
+
+def test_missing_texts_have_no_pairs(spark):
+    df = spark.createDataFrame([(1, None), (2, "ACACA")], "k int, s string")
+    got = {r.k: r.c for r in df.select("k", S.dinucleotide_counts(F.col("s")).alias("c")).collect()}
+    assert got[1] == [0] * 16 and got[2] == [0, 2, 0, 0, 2] + [0] * 11
