@@ -80,8 +80,10 @@ def dinucleotide_counts(seq: Column, alphabet: str = "ACGU") -> Column:
 
 
 def frequencies(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total == 0, F.lit(0.0)).otherwise(x / total))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    # each bound to a lambda, so that the counts are made and summed once
+    shares = lambda c: F.transform(F.array(total(c)), lambda n: F.transform(c, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)))[0]
+    return F.transform(F.array(counts), shares)[0]
 
 
 def l1(a: Column, b: Column) -> Column:

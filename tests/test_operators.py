@@ -217,3 +217,11 @@ def test_missing_texts_have_no_pairs(spark):
     df = spark.createDataFrame([(1, None), (2, "ACACA")], "k int, s string")
     got = {r.k: r.c for r in df.select("k", S.dinucleotide_counts(F.col("s")).alias("c")).collect()}
     assert got[1] == [0] * 16 and got[2] == [0, 2, 0, 0, 2] + [0] * 11
+
+
+def test_frequencies_make_their_counts_once(spark):
+    df = spark.createDataFrame([("ACAC",), ("A",)], "s string")
+    got = df.select(S.frequencies(F.array(*[F.regexp_count("s", F.lit(b)) for b in "ACG"])).alias("f"))
+    assert [r.f for r in got.collect()] == [[0.5, 0.5, 0], [1, 0, 0]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") <= 3
