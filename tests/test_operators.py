@@ -225,3 +225,10 @@ def test_frequencies_make_their_counts_once(spark):
     assert [r.f for r in got.collect()] == [[0.5, 0.5, 0], [1, 0, 0]]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_count") <= 3
+
+
+def test_sharing_shuffles_hashes_once(spark):
+    df = spark.createDataFrame([(1, ["a b", "c"]), (2, ["a b"]), (3, ["c", None]), (4, [None, "d"]), (5, None)], "k int, g array<string>")
+    found = graphs.sharing(df, "k", "g")
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
