@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +61,24 @@ def accepted(tries: DataFrame, key: str, attempt: str, gap: str, tolerance: floa
 
 def letters_shuffled(seq: Column, key: Column, salt: str) -> Column:
     """The letters of a sequence in the order of their places' hashes: a permutation that keeps the composition."""
-    drawn = F.transform(F.split(seq, ""), lambda c, i: F.struct(F.md5(F.concat_ws("|", F.lit(salt), key, i).cast("binary")).alias("h"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(drawn), lambda x: x["c"]), "")
+
+    def shuffled(texts: pa.Array, names: pa.Array) -> pa.Array:
+        found, numbers = [], []
+        for text, name in zip(texts, names):
+            letters, start = text.as_py(), f"{name.as_py()}|".encode()
+            if letters:
+                codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+                while len(numbers) < len(codes):
+                    numbers.append(b"%d" % len(numbers))
+                drawn = np.frombuffer(b"".join([md5(start + i).digest() for i in numbers[: len(codes)]]), ">u8").astype(np.uint64)
+                order = np.argsort(drawn[::2])
+                if (np.diff(drawn[::2][order]) == 0).any():  # the second half of the hash decides
+                    order = np.lexsort((drawn[1::2], drawn[::2]))
+                letters = codes[order].tobytes().decode("utf-32-le")
+            found.append(letters)
+        return pa.array(found, pa.string())
+
+    return F.arrow_udf(shuffled, "string")(seq, F.concat_ws("|", F.lit(salt), key))
 
 
 def overlapping(windows: DataFrame, features: DataFrame, by: Sequence[str], width: int, key: Sequence[str], name: str) -> DataFrame:

@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lociflow.operators import contribution, panels, windows
 
 
@@ -86,3 +88,21 @@ def test_shuffle_keeps_letters_and_empty_tables(spark):
     assert sorted(got[1]) == sorted("ACGUACGGU") and got[1] != "ACGUACGGU" and got[2] == ""
     empty = spark.createDataFrame([], "k int, fold int, g array<string>")
     assert panels.shared_across_folds(empty, "k", "fold", "g").count() == 0
+
+
+def test_shuffle_sorts_places_by_their_hash_in_batches(spark):
+    from hashlib import md5
+
+    text = "AC😀é" * 500
+    df = spark.createDataFrame([(7, text)], "k int, s string").select(windows.letters_shuffled(F.col("s"), F.col("k"), "x").alias("x"))
+    want = "".join(text[i] for i in sorted(range(len(text)), key=lambda i: md5(f"x|7|{i}".encode()).hexdigest()))
+    assert df.first().x == want
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()  # an interpreted comparison of structs took most of the time
+
+
+def test_grams_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 0, ["a", "b", None]), (2, 1, ["b", "b", "c"]), (3, 1, ["c", None]), (4, 0, None)], "k int, fold int, g array<string>")
+    found = panels.shared_across_folds(df, "k", "fold", "g")
+    assert {r.k: r.share for r in found.collect()} == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # rows of grams were made for a count and again for a join
