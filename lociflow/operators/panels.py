@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.operators.audit import BROADCAST_GRAMS
+from lociflow.operators.graphs import gram_hashes
+from lociflow.sources.scratch import join_same
 
 
 def _mean(total: str, n: str) -> Column:
@@ -85,12 +86,18 @@ def draw_variance(df: DataFrame, by: str, key: str, value: str, draws: int, one_
 
 
 def shared_across_folds(df: DataFrame, key: str, fold: str, grams: str) -> DataFrame:
-    """key, fold and the share of the row's distinct grams that another fold has too, for all folds in one aggregate: a gram
-    counts if its smallest and its largest fold differ. 0 for rows without grams."""
-    own = df.select(key, fold, F.explode_outer(F.array_distinct(grams)).alias("g"))
-    crossing = own.where("g IS NOT NULL").groupBy("g").agg(F.min(fold).alias("_lo"), F.max(fold).alias("_hi")).where("_lo <> _hi").select("g", F.lit(1).alias("_hit"))
-    crossing = F.broadcast(crossing) if crossing.count() <= BROADCAST_GRAMS else crossing
-    return own.join(crossing, "g", "left").groupBy(key, fold).agg((F.coalesce(F.sum("_hit"), F.lit(0)) / F.greatest(F.count("g"), F.lit(1))).alias("share"))
+    """key, fold and the share of the row's distinct grams that another fold has too, for all folds at once: a gram counts if its
+    smallest and its largest fold differ. 0 for rows without grams.
+
+    The grams are shuffled once, as hashes; only those that count go back to their rows.
+    """
+    own = df.select(key, fold, F.array_distinct(F.filter(grams, lambda g: g.isNotNull())).alias("_g"))
+    sizes = own.groupBy(key, fold).agg(F.sum(F.greatest(F.lit(0), F.size("_g"))).alias("_n"))
+    rows = own.select(key, fold, F.explode(F.transform("_g", gram_hashes)).alias("_g")).select(key, fold, "_g.*")
+    same = Window.partitionBy("g", "g2")
+    crossing = rows.select(key, fold, F.min(fold).over(same).alias("_lo"), F.max(fold).over(same).alias("_hi")).where("_lo <> _hi")
+    hits = crossing.groupBy(key, fold).agg(F.count(F.lit(1)).alias("_hits"))
+    return join_same(sizes, hits, [key, fold], "left").select(key, fold, (F.coalesce("_hits", F.lit(0)) / F.greatest("_n", F.lit(1))).alias("share"))
 
 
 def filter_effect(profile: DataFrame, fold: str, pair: str, cuts: Sequence[float]) -> DataFrame:
