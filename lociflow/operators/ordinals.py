@@ -66,6 +66,20 @@ def midranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank
     return join_same(df, ranks, [*by, value])
 
 
+def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Mapping[str, float], scratch: Scratch | None = None) -> DataFrame:
+    """by... and for each output name the exact interpolated percentile of ``value`` in the group: distinct values are counted and
+    their counts summed in order, and only those that a share falls on reach the group's own row. Nulls are left out."""
+    by, scratch = list(by), scratch or Scratch(df.sparkSession)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = scratch.keep(cumulated(counts, by, ["_v"], {"_upto": "_n"}, scratch=scratch), "placed")
+    placed = join_same(placed, placed.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
+    at = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    held = lambda place: F.max(F.when((place >= F.col("_upto") - F.col("_n")) & (place < F.col("_upto")), F.col("_v")))
+    ends = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *[held(f(at(q))).alias(f"_{side}_{o}") for o, q in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda o, q: F.when(F.col(f"_lo_{o}") == F.col(f"_hi_{o}"), F.col(f"_lo_{o}")).otherwise((F.ceil(at(q)) - at(q)) * F.col(f"_lo_{o}") + (at(q) - F.floor(at(q))) * F.col(f"_hi_{o}"))
+    return ends.select(*by, *[between(o, q).alias(o) for o, q in shares.items()])
+
+
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """``df`` with ``q``, step-up adjusted p-values in each group: equal p-values have one, so that distinct ones are counted,
     summed upwards and their smallest ratio carried downwards. NULL stays NULL and is no test."""

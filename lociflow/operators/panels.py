@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.operators.graphs import gram_hashes
-from lociflow.sources.scratch import join_same
+from lociflow.operators.ordinals import percentiles
+from lociflow.sources.scratch import Scratch, join_same
 
 
 def _mean(total: str, n: str) -> Column:
@@ -60,17 +61,20 @@ def split_shift(df: DataFrame, by: str, role: str, value: str, region: str) -> D
 
 
 def peak_stats(df: DataFrame, by: str, width: Column, window: int, signal: str, plus: Column) -> DataFrame:
-    """Per group: n, whole percentiles and maximum of the widths, share above ``window``, signal percentiles, plus share."""
-    at = lambda c, q: F.percentile(c, F.lit(q))
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[at(width, q).cast("long").alias(name) for q, name in ((0.5, "width_median"), (0.1, "width_p10"), (0.9, "width_p90"))],
-        F.max(width).cast("long").alias("width_max"),
-        F.avg((width > window).cast("double")).alias("above"),
-        at(F.col(signal), 0.5).alias("signal_median"),
-        at(F.col(signal), 0.9).alias("signal_p90"),
-        F.avg(plus.cast("double")).alias("plus_share"),
+    """Per group: n, whole percentiles and maximum of the widths, share above ``window``, signal percentiles, plus share.
+
+    The percentiles come from counts of distinct values in order, so that no task has all values of a group.
+    """
+    scratch = Scratch(df.sparkSession)
+    df = df.select(by, width.alias("_width"), F.col(signal).alias("_signal"), plus.alias("_plus"))
+    plain = df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_width").cast("long").alias("width_max"), F.avg((F.col("_width") > window).cast("double")).alias("above"), F.avg(F.col("_plus").cast("double")).alias("plus_share")
     )
+    widths = percentiles(df, "_width", [by], {"width_median": 0.5, "width_p10": 0.1, "width_p90": 0.9}, scratch)
+    signals = percentiles(df, "_signal", [by], {"signal_median": 0.5, "signal_p90": 0.9}, scratch)
+    wide = join_same(join_same(plain, widths, [by], "left"), signals, [by], "left")
+    whole = [F.col(c).cast("long").alias(c) for c in ("width_median", "width_p10", "width_p90")]
+    return wide.select(by, "n", *whole, "width_max", "above", "signal_median", "signal_p90", "plus_share")
 
 
 def draw_variance(df: DataFrame, by: str, key: str, value: str, draws: int, one_in: int, salt: str) -> DataFrame:

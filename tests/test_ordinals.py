@@ -48,3 +48,25 @@ def test_midranks_and_corrected_p_values_equal_windows(spark):
     got = {r.i: r.q for r in ordinals.benjamini_hochberg(df, "p", ["g"]).collect()}
     want = {r.i: r.q for r in rankstats.benjamini_hochberg(df, "p", ["g"]).collect()}
     assert got.keys() == want.keys() and all(a == b or abs(a - b) < 1e-12 for a, b in ((got[i], want[i]) for i in got))
+
+
+def test_percentiles_are_those_of_the_whole_group(spark):
+    rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0), ("b", None), (None, 2.0), (None, 3.5), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p, r.q, r.r) for r in ordinals.percentiles(df, "v", ["g"], {"p": 0.1, "q": 0.5, "r": 0.9}).collect()}
+    want = {r.g: (r.p, r.q, r.r) for r in df.where("v IS NOT NULL").groupBy("g").agg(*[F.percentile("v", F.lit(s)).alias(n) for n, s in (("p", 0.1), ("q", 0.5), ("r", 0.9))]).collect()}
+    assert got == want
+
+
+def test_group_statistics_without_a_task_per_group(spark):
+    """No aggregate that gathers all values of a group or of a column in one state."""
+    from lociflow.operators import audit, panels
+
+    df = spark.createDataFrame([("a", 1.0, 2.0, True), ("a", 4.0, None, False), (None, 3.0, 5.0, None)], "g string, w double, s double, p boolean")
+    found = panels.peak_stats(df, "g", F.col("w"), 2, "s", F.col("p"))
+    assert {r.g: tuple(r)[1:] for r in found.collect()} == {"a": (2, 2, 1, 3, 4, 0.5, 2.0, 2.0, 0.5), None: (1, 3, 3, 3, 3, 1.0, 5.0, 5.0, None)}
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    table = audit.profile(df)
+    assert {r.column: tuple(r)[2:] for r in table.collect()} == {"g": (1, 1, "a", "a"), "w": (0, 3, "1.0", "4.0"), "s": (1, 2, "2.0", "5.0"), "p": (1, 2, "false", "true")}
+    assert "Expand" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[2:] for r in audit.profile(df.where("false")).collect()] == [(0, 0, None, None)] * 4
