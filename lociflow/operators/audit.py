@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +40,17 @@ def duplicates(df: DataFrame, coarse: Sequence[str], full: Sequence[str], fold:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Per column its type, missing, distinct, smallest and largest values as text; one pass over the table."""
-    wide = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[a for c in df.columns for a in (F.count(c).alias(f"{c}|n"), F.count_distinct(c).alias(f"{c}|d"), F.min(c).cast("string").alias(f"{c}|lo"), F.max(c).cast("string").alias(f"{c}|hi"))],
-    )
-    q = lambda name: F.col(f"`{name}`")
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), (F.col("_n") - q(f"{c}|n")).alias("missing"), q(f"{c}|d").alias("distinct"), q(f"{c}|lo").alias("smallest"), q(f"{c}|hi").alias("largest")) for c, t in df.dtypes]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Per column its type, missing, distinct, smallest and largest values as text.
+
+    Each column is reduced to its distinct values and their counts, so that no task sees the whole of one; what remains of these
+    is a row for each task before the final one.
+    """
+    found = []
+    for at, (c, t) in enumerate(df.dtypes):
+        values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        one = values.agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("distinct"), F.min("v").cast("string").alias("smallest"), F.max("v").cast("string").alias("largest"))
+        found.append(one.select(F.lit(c).alias("column"), F.lit(t).alias("type"), F.coalesce("missing", F.lit(0)).alias("missing"), "distinct", "smallest", "largest"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def compare(old: DataFrame, new: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
