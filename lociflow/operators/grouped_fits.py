@@ -1,6 +1,7 @@
 """Logistic fits of thousands of groups at once: penalised, with coefficients held at zero, with bootstrap draws.
 
-The state of all fits is a table with a row for each group, design and draw. A Newton step deals the rows of the groups that are
+Groups of one slice are fitted where their rows are, many together, so that these are shuffled once. For larger ones the state of all
+fits is a table with a row for each group, design and draw. A Newton step deals the rows of the groups that are
 still open to slices, where a fit's sums are matrix products, adds these per fit, and solves each fit's small system in the task
 that has its row: no loop over groups, nothing of a group's size in one task, nothing but counts on the driver.
 
@@ -11,7 +12,7 @@ information; as the leverage is a quadratic form in the row, sums of three-fold
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
@@ -73,6 +74,94 @@ def unpacked(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return sums[:, 3 : 3 + d], info, cube
 
 
+def newton(sums: np.ndarray, beta: np.ndarray, design: np.ndarray, designs: list[tuple[list[int], list[int]]], d: int, firth: bool, l2: float, tolerance: float, last: bool) -> tuple[np.ndarray, ...]:
+    """Coefficients after a step from these sums, which fits are done, errors, penalised likelihoods, and which fits have both
+    classes. ``last``: no step, but errors and likelihoods; fits of one class, which have none, get NaN."""
+    gradient, info, cube = unpacked(sums, d)
+    mixed = (sums[:, 1] > 0) & (sums[:, 1] < sums[:, 0])
+    done, se, penalised = ~mixed, np.full((len(sums), d), np.nan), np.full(len(sums), np.nan)
+    for i, (used, free) in enumerate(designs):
+        at = np.flatnonzero((design == i) & mixed)
+        ridge = l2 * np.diag([float(c > 0) for c in range(d)])
+        own = (info + ridge)[np.ix_(at, used, used)]
+        inverse = np.linalg.pinv(own, hermitian=True)
+        if last:
+            se[np.ix_(at, used)] = np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2), 0))
+            sign, size = np.linalg.slogdet(own)
+            penalised[at] = sums[at, 2] + 0.5 * np.where(sign > 0, size, -np.inf)
+            continue
+        score = gradient[np.ix_(at, free)] - l2 * beta[np.ix_(at, free)] * (np.array(free) > 0)
+        if firth:
+            score = score + np.einsum("njab,nab->nj", cube[np.ix_(at, free, used, used)], inverse)
+        step = np.einsum("nij,nj->ni", np.linalg.pinv((info + ridge)[np.ix_(at, free, free)], hermitian=True), score)
+        size = np.abs(step).max(axis=1, initial=0.0)
+        beta[np.ix_(at, free)] += step * np.minimum(1, 5 / np.maximum(size, 1e-12))[:, None]
+        done[at] = size < tolerance
+    if last:
+        beta[~mixed] = np.nan
+    return beta, done, se, penalised, mixed
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+
+def group_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As ``fit_sums``, but of one fit for each of the groups that the rows lie in one after another."""
+    pairs, triples = products(x.shape[1])
+    z = np.clip((x * np.repeat(beta, sizes, axis=0)).sum(axis=1), -CLIP, CLIP)
+    p = 1 / (1 + np.exp(-z))
+    v, wrong = w * p * (1 - p), w * (y - p)
+    third = v * (0.5 - p)
+    columns = [w, w * y, w * (y * z - np.logaddexp(0, z)), *(c * wrong for c in x.T), *(x[:, a] * x[:, b] * v for a, b in pairs), *(x[:, a] * x[:, b] * x[:, c] * third for a, b, c in triples)]
+    starts = np.cumsum(sizes) - sizes
+    return np.stack([np.add.reduceat(c, starts) for c in columns], axis=1)
+
+
+def _whole(rows: DataFrame, designs: list[tuple[list[int], list[int]]], draws: int, d: int, firth: bool, l2: float, steps: int, tolerance: float) -> DataFrame:
+    """The final state of all fits of groups of one slice each: ``rows`` are shuffled once, and the steps of many groups are taken
+    together where these are."""
+
+    def fitted(gid: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, sizes = np.unique(gid, return_counts=True)
+        for draw in range(draws + 1):
+            w = draw_weights(block, np.array([draw]))[:, 0]
+            for i in range(len(designs)):
+                design, beta, taken = np.full(len(names), i), np.zeros((len(names), d)), np.zeros(len(names), np.int32)
+                open_ = np.ones(len(names), bool)
+                for _ in range(steps):
+                    if not open_.any():
+                        break
+                    at = np.repeat(open_, sizes)
+                    sums = group_sums(x[at], y[at], w[at], beta[open_], sizes[open_])
+                    taken[open_] += 1
+                    beta[open_], done, *_rest = newton(sums, beta[open_], design[open_], designs, d, firth, l2, tolerance, False)
+                    open_[np.flatnonzero(open_)[done]] = False
+                sums = group_sums(x, y, w, beta, sizes)
+                beta, _, se, penalised, mixed = newton(sums, beta, design, designs, d, firth, l2, tolerance, True)
+                same = lambda v, kind: pa.array(np.full(len(names), v), kind)
+                out = {"gid": pa.array(names), "fit": same(i * (draws + 1) + draw, pa.int32()), "draw": same(draw, pa.int32()), "design": same(i, pa.int32()), "slices": same(1, pa.int64()), "beta": _lists(beta), "done": pa.array(~open_)}
+                out |= {"steps": pa.array(taken), "se": _lists(se), "loglik": pa.array(np.where(mixed, sums[:, 2], np.nan)), "penalised": pa.array(penalised), "n": pa.array(sums[:, 0].copy()), "n_pos": pa.array(sums[:, 1].copy())}
+                yield pa.RecordBatch.from_pydict(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = (batch.column("gid").to_numpy(), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("y").to_numpy(), batch.column("block").to_numpy())
+            held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+            ends = np.searchsorted(held[0], held[0][-1])  # the last group may go on in the next batch
+            if ends >= 2 * SLICE:
+                yield from fitted(*(c[:ends] for c in held))
+                held = tuple(c[ends:] for c in held)
+        if held is not None:
+            yield from fitted(*held)
+
+    sorted_ = rows.select("gid", "x", "y", "block").repartition("gid").sortWithinPartitions("gid")
+    return sorted_.mapInArrow(run, "gid long, fit int, draw int, design int, slices long, beta array<double>, done boolean, steps int, se array<double>, loglik double, penalised double, n double, n_pos double")
+
+
 def _totals(rows: DataFrame, state: DataFrame, d: int, scratch: Scratch) -> DataFrame:
     """gid, fit and s0, s1, ...: the sums of the state's fits over the rows of their groups."""
     pairs, triples = products(d)
@@ -112,34 +201,12 @@ def _solved(state: DataFrame, totals: DataFrame, designs: list[tuple[list[int],
             sums = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
             beta = batch.column("beta").flatten().to_numpy().reshape(-1, d).copy()
             design, steps, done = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("design", "steps", "done"))
-            gradient, info, cube = unpacked(sums, d)
-            mixed = (sums[:, 1] > 0) & (sums[:, 1] < sums[:, 0])  # one class alone has no fit
-            se, penalised = np.full((len(sums), d), np.nan), np.full(len(sums), np.nan)
-            for i, (used, free) in enumerate(designs):
-                at = np.flatnonzero((design == i) & mixed)
-                ridge = l2 * np.diag([float(c > 0) for c in range(d)])
-                own = (info + ridge)[np.ix_(at, used, used)]
-                inverse = np.linalg.pinv(own, hermitian=True)
-                if last:
-                    se[np.ix_(at, used)] = np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2), 0))
-                    sign, size = np.linalg.slogdet(own)
-                    penalised[at] = sums[at, 2] + 0.5 * np.where(sign > 0, size, -np.inf)
-                    continue
-                score = gradient[np.ix_(at, free)] - l2 * beta[np.ix_(at, free)] * (np.array(free) > 0)
-                if firth:
-                    score = score + np.einsum("njab,nab->nj", cube[np.ix_(at, free, used, used)], inverse)
-                step = np.einsum("nij,nj->ni", np.linalg.pinv((info + ridge)[np.ix_(at, free, free)], hermitian=True), score)
-                size = np.abs(step).max(axis=1, initial=0.0)
-                beta[np.ix_(at, free)] += step * np.minimum(1, 5 / np.maximum(size, 1e-12))[:, None]
-                done[at] = size < tolerance
-            if last:
-                beta[~mixed] = np.nan
-            else:
-                done, steps = done | ~mixed, steps + 1
-            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(m) + 1) * d, d), pa.int32()), pa.array(m.ravel()))
-            out = {c: batch.column(c) for c in ("gid", "fit", "draw", "design", "slices")} | {"beta": lists(beta), "done": pa.array(done), "steps": pa.array(steps, pa.int32())}
+            beta, fresh, se, penalised, mixed = newton(sums, beta, design, designs, d, firth, l2, tolerance, last)
+            if not last:
+                done, steps = fresh, steps + 1
+            out = {c: batch.column(c) for c in ("gid", "fit", "draw", "design", "slices")} | {"beta": _lists(beta), "done": pa.array(done), "steps": pa.array(steps, pa.int32())}
             if last:
-                out |= {"se": lists(se), "loglik": pa.array(np.where(mixed, sums[:, 2], np.nan)), "penalised": pa.array(penalised), "n": pa.array(sums[:, 0].copy()), "n_pos": pa.array(sums[:, 1].copy())}
+                out |= {"se": _lists(se), "loglik": pa.array(np.where(mixed, sums[:, 2], np.nan)), "penalised": pa.array(penalised), "n": pa.array(sums[:, 0].copy()), "n_pos": pa.array(sums[:, 1].copy())}
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
     return state.join(totals, ["gid", "fit"]).mapInArrow(solve, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns))
@@ -163,12 +230,14 @@ def fit_groups(df: DataFrame, by: Sequence[str], features: Sequence[str], label:
     rows = scratch.keep(df.where(clean).select(*by, x.alias("x"), F.col(label).cast("double").alias("y"), own.alias("block")).withColumn("_row", F.monotonically_increasing_id()), "rows")
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("gid", F.monotonically_increasing_id()).withColumn("slices", F.ceil(F.col("_n") / SLICE))
     groups = scratch.keep(groups, "groups")
-    sliced = join_same(rows, bounded(groups, 64), by).select("gid", F.pmod(F.xxhash64("_row"), F.col("slices")).alias("slice"), "x", "y", "block")
-    sliced = scratch.keep(sliced, "sliced")
+    sliced = join_same(rows, bounded(groups, 64), by).select("gid", "slices", F.pmod(F.xxhash64("_row"), F.col("slices")).alias("slice"), "x", "y", "block")
+    sliced, small = scratch.keep(sliced, "sliced"), F.col("slices") == 1
     place = {c: i + 1 for i, c in enumerate(features)}
     indexed = [(sorted([0, *(place[c] for c in used)]), sorted([0, *(place[c] for c in used if c not in set(held))])) for used, held in designs.values()]
     fits = F.explode(F.array(*[F.struct(F.lit(i * (draws + 1) + j).alias("fit"), F.lit(j).alias("draw"), F.lit(i).alias("design")) for i in range(len(designs)) for j in range(draws + 1)]))
-    state = groups.select("gid", "slices", fits.alias("f")).select("gid", "f.fit", "f.draw", "f.design", "slices", F.array_repeat(F.lit(0.0), d).alias("beta"), F.lit(False).alias("done"), F.lit(0).alias("steps"))
+    whole = _whole(sliced.where(small), indexed, draws, d, firth, l2, steps, tolerance)
+    sliced = sliced.where(~small).drop("slices")
+    state = groups.where(~small).select("gid", "slices", fits.alias("f")).select("gid", "f.fit", "f.draw", "f.design", "slices", F.array_repeat(F.lit(0.0), d).alias("beta"), F.lit(False).alias("done"), F.lit(0).alias("steps"))
     state = scratch.keep(state, "state")
     for _ in range(steps):
         active = state.where("NOT done")
@@ -176,7 +245,7 @@ def fit_groups(df: DataFrame, by: Sequence[str], features: Sequence[str], label:
             break
         moved = _solved(active, _totals(sliced, active, d, scratch), indexed, d, firth, l2, tolerance, last=False)
         state = scratch.keep(moved.unionByName(state.where("done")), "state")
-    final = _solved(state, _totals(sliced, state, d, scratch), indexed, d, firth, l2, tolerance, last=True)
+    final = scratch.keep(_solved(state, _totals(sliced, state, d, scratch), indexed, d, firth, l2, tolerance, last=True).unionByName(whole), "final")
     name = F.element_at(F.array(*map(F.lit, designs)), F.col("design") + 1)
     nan = lambda c: F.when(~F.isnan(c), F.col(c))
     none = lambda c: F.transform(c, lambda v: F.when(~F.isnan(v), v))
