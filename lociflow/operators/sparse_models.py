@@ -3,8 +3,10 @@
 A row's features are cells (row, feature, count); the weights are a table with a row for each feature, which has one weight for
 each held-out fold. A step joins the search direction with the cells and sums it per row, and joins the residuals with the
 cells and sums the gradient per feature. Steps are those of L-BFGS: the history of points and gradients stays in the features'
-table, and the driver sees the dot products of its columns alone, from which the two-loop recursion gives the coefficients of
-the direction. The vocabulary may have any size; a side of a join is broadcast only where its stored rows were counted.
+table, and the driver sees the dot products of its columns, from which the two-loop recursion gives the coefficients of
+the direction. While the weights of all models fit into a broadcast, each row holds its cells as arrays, and the weights and the
+direction are sent to the rows: predictors, losses and gradients are made where the rows are, and nothing of the rows' number is sent
+or shuffled. A larger vocabulary, of any size, is joined; a side of a join is broadcast only where its stored rows were counted.
 """
 
 from __future__ import annotations
@@ -18,26 +20,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.sources.scratch import BROADCAST_BYTES, Scratch, bounded
+from lociflow.operators.ordinals import numbered
+from lociflow.sources.scratch import BROADCAST_BYTES, Scratch, batches_of, bounded
 
 #: Step lengths that are tried along a direction.
 STEPS = tuple(2.0**i for i in range(3, -21, -1))
+#: Letters whose k-mers, and cells whose products, a task holds at a time.
+LETTERS, CELLS = 500_000, 1_000_000
+#: Rows with their cells that a task exchanges with Python at a time.
+ROWS = 500
 
 
-def kmer_cells(df: DataFrame, row: str, seq: str, sizes: Sequence[int]) -> DataFrame:
+def kmer_cells(df: DataFrame, row: str, seq: str, sizes: Sequence[int], per: float | None = None) -> DataFrame:
     """row, k, kmer and n: how often each string of k letters occurs in a sequence, overlaps included. Null sequences and those
-    shorter than k have none; letters keep their case."""
+    shorter than k have none; letters keep their case. With ``per`` n is the share of the sequence's k-mers, times ``per``."""
     kind = dict(df.dtypes)[row]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):  # so many texts as have LETTERS together, one at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, side="right")))
                 for k in sizes:
-                    if found := Counter(text[i : i + k] for i in range(len(text) - k + 1)):
-                        yield pa.RecordBatch.from_arrays([pa.array([row_] * len(found), batch.schema.field(0).type), pa.array([k] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["row", "k", "kmer", "n"])
-
-    return df.select(F.col(row), F.col(seq).cast("string")).mapInArrow(_gathered(count), f"row {kind}, k int, kmer string, n long")
+                    which, names, n = count_kmers(texts[at:to], k)
+                    if len(n):
+                        if per is not None:
+                            n = n * float(per) / (np.array([len(t) for t in texts[at:to]])[which] + 1 - k)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which + at)), pa.array(np.full(len(n), k, np.int32)), names, pa.array(n)], names=["row", "k", "kmer", "n"])
+                at = to
+
+    return df.select(F.col(row), F.col(seq).cast("string")).mapInArrow(count, f"row {kind}, k int, kmer string, n {'long' if per is None else 'double'}")
+
+
+def count_kmers(texts: Sequence[str], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The place of a text, a k-mer and how often it occurs there, for all that do."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    alphabet, letter = np.unique(letters, return_inverse=True)
+    base = max(1, len(alphabet)) ** k
+    if base * max(1, len(texts)) >= 1 << 62:  # too many letters for one number
+        found = [(i, m, n) for i, t in enumerate(texts) for m, n in Counter(t[j : j + k] for j in range(len(t) - k + 1)).items()]
+        return np.array([f[0] for f in found], np.int64), pa.array([f[1] for f in found], pa.string()), np.array([f[2] for f in found], np.int64)
+    windows = max(0, len(letters) - k + 1)
+    key = np.zeros(windows, np.int64)
+    for j in range(k):
+        key = key * len(alphabet) + letter[j : j + windows]
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    inside = owner[:windows] == owner[k - 1 : k - 1 + windows]
+    key, n = np.unique(owner[:windows][inside] * base + key[inside], return_counts=True)
+    codes, where = np.unique(key % base, return_inverse=True)
+    spelt = np.stack([alphabet[codes // len(alphabet) ** (k - 1 - j) % len(alphabet)] for j in range(k)], axis=1) if len(codes) else np.zeros((0, k), np.uint32)
+    names = spelt.astype("<u4").tobytes().decode("utf-32-le")
+    return key // base, pa.array([names[i : i + k] for i in range(0, len(names), k)], pa.string()).take(pa.array(where)), n
 
 
 def _gathered(each):
@@ -124,6 +160,9 @@ def fit_folds(rows: DataFrame, cells: DataFrame, held: Sequence[Sequence[int]],
     free = F.col("feature") < 0
     features = cells.select("group", "feature").distinct().withColumns({"penalty": F.when(free, 0.0).otherwise(float(l2)), "state": F.array_repeat(F.lit(0.0), blocks * folds)})
     features = scratch.keep(features, "features")
+    if features.count() * 8 * folds <= BROADCAST_BYTES:
+        with batches_of(rows.sparkSession, ROWS):
+            return _fit_gathered(rows, cells, features, held, live, groups, memory, steps, tolerance, scratch)
     # neither side's number of rows changes from step to step
     send = {n: F.broadcast if size * (8 * folds + 64) <= BROADCAST_BYTES else (lambda df: df) for n, size in (("features", features.count()), ("rows", rows.count()))}
     zeros = F.array_repeat(F.lit(0.0), folds)
@@ -135,29 +174,59 @@ def fit_folds(rows: DataFrame, cells: DataFrame, held: Sequence[Sequence[int]],
         residual = margins.select("row", wrong.alias("r"))
         return cells.join(send["rows"](residual), "row").groupBy("feature").agg(F.array(*[F.sum(F.col("n") * F.col("r")[f]) for f in range(folds)]).alias("sums"))
 
-    def updated(features: DataFrame, sums: DataFrame, along: dict[int, np.ndarray]) -> DataFrame:
-        """The features' state at a new point: ``along`` has, per group, each fold's coefficients of the step taken in the old basis."""
-        schema = pa.schema([("group", pa.int32()), ("feature", pa.int64()), ("penalty", pa.float64()), ("state", pa.list_(pa.float64()))])
+    def losses(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
+        return _losses(_rows_of(batch, "z"), _rows_of(batch, "dz"), batch.column("group").to_numpy(), y, _own(fold, held))
+
+    features = _updated(features, gradient(margins), {g: np.zeros((folds, blocks - 1)) for g in groups}, folds, memory, scratch)
+    first, done, valid = {}, {g: ~live[g] for g in groups}, 0
+    for _ in range(steps):
+        dots, along = _directions(features, groups, folds, memory, first, done, valid, tolerance)
+        if all(d.all() for d in done.values()):
+            break
+        moved = features.select("feature", _combined(along, blocks, folds).alias("d"))
+        dz = cells.join(send["features"](moved), "feature").groupBy("row").agg(F.array(*[F.sum(F.col("n") * F.col("d")[f]) for f in range(folds)]).alias("dz"))
+        margins = scratch.keep(margins.join(dz, "row"), "margins")
+        loss = {g: v.reshape(folds, -1) for g, v in _summed(margins, losses, groups, folds * (len(STEPS) + 1)).items()}
+        length = _lengths(loss, dots, along, groups, folds, memory, done)
+        margins = margins.select("row", "group", "fold", "label", F.zip_with("z", F.zip_with("dz", _per_group(length), lambda d, t: d * t), lambda z, d: z + d).alias("z"))
+        features = _updated(features, gradient(margins), {g: along[g] * length[g][:, None] for g in groups}, folds, memory, scratch)
+        valid += 1
+    known = {g: np.where(live[g], 0.0, np.nan) for g in groups}
+    keep = lambda c: F.zip_with(c, _per_group(known), lambda x, ok: F.when(~F.isnan(ok), x))
+    weights = F.slice("state", (blocks - 1) * folds + 1, folds)
+    return features.select("group", "feature", keep(weights).alias("w")), margins.select("row", "group", "fold", "label", keep(F.col("z")).alias("z"))
 
-        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                state = _rows_of(batch, "state").reshape(-1, blocks, folds)
-                group = batch.column("group").to_numpy()
-                step = np.zeros((len(state), folds))
-                for g in np.unique(group).tolist():
-                    step[group == g] = np.einsum("nbf,fb->nf", state[group == g][:, : blocks - 1], along[g])
-                new = np.empty_like(state)
-                new[:, blocks - 1] = state[:, blocks - 1] + step
-                new[:, 2 * memory] = _rows_of(batch, "sums") + batch.column("penalty").to_numpy()[:, None] * new[:, blocks - 1]
-                new[:, 1:memory], new[:, memory + 1 : 2 * memory] = state[:, : memory - 1], state[:, memory : 2 * memory - 1]
-                new[:, 0], new[:, memory] = step, new[:, 2 * memory] - state[:, 2 * memory]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(new) + 1) * blocks * folds, blocks * folds), pa.int32()), pa.array(new.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("group", "feature", "penalty")], flat], schema=schema)
-
-        joined = features.join(sums, "feature", "left").withColumn("sums", F.coalesce("sums", zeros))
-        return scratch.keep(joined.mapInArrow(move, "group int, feature long, penalty double, state array<double>"), "features")
+
+def _updated(features: DataFrame, sums: DataFrame, along: dict[int, np.ndarray], folds: int, memory: int, scratch: Scratch) -> DataFrame:
+    """The features' state at a new point: ``along`` has, per group, each fold's coefficients of the step taken in the old basis."""
+    blocks = 2 * memory + 2  # gradient, weights, steps and changes
+    schema = pa.schema([("group", pa.int32()), ("feature", pa.int64()), ("penalty", pa.float64()), ("state", pa.list_(pa.float64()))])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            state = _rows_of(batch, "state").reshape(-1, blocks, folds)
+            group = batch.column("group").to_numpy()
+            step = np.zeros((len(state), folds))
+            for g in np.unique(group).tolist():
+                step[group == g] = np.einsum("nbf,fb->nf", state[group == g][:, : blocks - 1], along[g])
+            new = np.empty_like(state)
+            new[:, blocks - 1] = state[:, blocks - 1] + step
+            new[:, 2 * memory] = _rows_of(batch, "sums") + batch.column("penalty").to_numpy()[:, None] * new[:, blocks - 1]
+            new[:, 1:memory], new[:, memory + 1 : 2 * memory] = state[:, : memory - 1], state[:, memory : 2 * memory - 1]
+            new[:, 0], new[:, memory] = step, new[:, 2 * memory] - state[:, 2 * memory]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(new) + 1) * blocks * folds, blocks * folds), pa.int32()), pa.array(new.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("group", "feature", "penalty")], flat], schema=schema)
+
+    joined = features.join(sums, "feature", "left").withColumn("sums", F.coalesce("sums", F.array_repeat(F.lit(0.0), folds)))
+    return scratch.keep(joined.mapInArrow(move, "group int, feature long, penalty double, state array<double>"), "features")
+
+
+def _directions(features: DataFrame, groups: Sequence[int], folds: int, memory: int, first: dict, done: dict, valid: int, tolerance: float) -> tuple[dict, dict]:
+    """Per group the dot products of its state and each open model's coefficients of the direction; ``first`` and ``done`` are kept up."""
+    blocks, width = 2 * memory + 2, 2 * memory + 2  # gradient, weights, steps and changes; basis and weights
 
     def grams(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         state, group, penalty = _rows_of(batch, "state").reshape(-1, blocks, folds), batch.column("group").to_numpy(), batch.column("penalty").to_numpy()
@@ -167,55 +236,168 @@ def fit_folds(rows: DataFrame, cells: DataFrame, held: Sequence[Sequence[int]],
             found[g] = np.stack([x @ x.transpose(0, 2, 1), (x * penalty[group == g]) @ x.transpose(0, 2, 1)]).ravel()
         return found
 
-    def losses(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
-        """Per model and step length the negative log likelihood of its rows."""
-        z, dz, group = _rows_of(batch, "z"), _rows_of(batch, "dz"), batch.column("group").to_numpy()
-        y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
-        own = np.stack([~np.isin(fold, list(h)) for h in held], axis=1)
-        found = {g: np.zeros((folds, len(STEPS) + 1)) for g in np.unique(group).tolist()}
-        for i, t in enumerate((0.0, *STEPS)):
-            at = z + t * dz
-            loss = (np.logaddexp(0, at) - y[:, None] * at) * own
-            for g, v in found.items():
-                v[:, i] += loss[group == g].sum(axis=0)
-        return {g: v.ravel() for g, v in found.items()}
-
-    features = updated(features, gradient(margins), {g: np.zeros((folds, blocks - 1)) for g in groups})
+    dots = {g: v.reshape(2, folds, width, width) for g, v in _summed(features, grams, groups, 2 * folds * width * width).items()}
+    along = {g: np.zeros((folds, blocks - 1)) for g in groups}
+    for g in groups:
+        size = np.sqrt(np.maximum(0, dots[g][0, :, 2 * memory, 2 * memory]))
+        first.setdefault(g, np.maximum(1.0, size))
+        done[g] = done[g] | (size <= tolerance * first[g])
+        for f in np.flatnonzero(~done[g]):
+            gram = dots[g][0, f, : blocks - 1, : blocks - 1]
+            along[g][f] = direction(gram, memory, min(valid, memory))
+            if gram[2 * memory] @ along[g][f] >= 0:
+                along[g][f] = -np.eye(blocks - 1)[2 * memory]
+    return dots, along
+
+
+def _lengths(loss: dict, dots: dict, along: dict, groups: Sequence[int], folds: int, memory: int, done: dict) -> dict[int, np.ndarray]:
+    """The step length of least loss of each open model; one that can't fall further is done."""
+    blocks = 2 * memory + 2
+    length = {g: np.zeros(folds) for g in groups}
+    for g in groups:
+        for f in np.flatnonzero(~done[g]):
+            c, weights = along[g][f], dots[g][1, f]
+            uu, up, pp = weights[-1, -1], weights[-1, : blocks - 1] @ c, c @ weights[: blocks - 1, : blocks - 1] @ c
+            total = [v + (uu + 2 * t * up + t * t * pp) / 2 for t, v in zip((0.0, *STEPS), loss[g][f])]
+            best = int(np.argmin(total))
+            length[g][f] = (0.0, *STEPS)[best]
+            done[g][f] |= best == 0  # rounding alone is left
+    return length
+
+
+def _own(fold: np.ndarray, held: Sequence[Sequence[int]]) -> np.ndarray:
+    """Which models learn from the rows of these folds."""
+    return np.stack([~np.isin(fold, list(h)) for h in held], axis=1)
+
+
+def _losses(z: np.ndarray, dz: np.ndarray, group: np.ndarray, y: np.ndarray, own: np.ndarray) -> dict[int, np.ndarray]:
+    """Per group, model and step length the negative log likelihood of the rows."""
+    found = {g: np.zeros((z.shape[1], len(STEPS) + 1)) for g in np.unique(group).tolist()}
+    for i, t in enumerate((0.0, *STEPS)):
+        at = z + t * dz
+        loss = (np.logaddexp(0, at) - y[:, None] * at) * own
+        for g, v in found.items():
+            v[:, i] += loss[group == g].sum(axis=0)
+    return {g: v.ravel() for g, v in found.items()}
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """The batch's rows in parts of about CELLS cells: their slice, and their cells' features, numbers and each row's first cell; no
+    row is without a cell."""
+    ats, ns = batch.column("at").to_pylist(), batch.column("n").to_pylist()
+    sizes = np.array([len(x) // 4 for x in ats])
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        begun = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begun + CELLS, side="right")))
+        yield slice(a, b), np.frombuffer(b"".join(ats[a:b]), np.int32), np.frombuffer(b"".join(ns[a:b])), np.concatenate([[0], ends[a : b - 1] - begun])
+        a = b
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their cells' features and numbers in bytes, which are read many times."""
+    for batch in batches:
+        lists = batch.column("x")
+        ends, flat = np.cumsum(lists.value_lengths().to_numpy()).tolist(), lists.flatten()
+        at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
+        cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "group", "fold", "label")], cut(at), cut(n)], names=["row", "group", "fold", "label", "at", "n"])
+
+
+def _fit_gathered(rows: DataFrame, cells: DataFrame, features: DataFrame, held: Sequence[Sequence[int]], live: dict, groups: Sequence[int], memory: int, steps: int, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``fit_folds`` where weights of all features fit into a broadcast: with the same steps, each row holding its cells."""
+    folds, blocks = len(held), 2 * memory + 2
+    spark, size = rows.sparkSession, features.count()
+    numbers = scratch.keep(numbered(features.select("feature"), [], ["feature"], "at", scratch).select("feature", F.col("at").cast("int")), "numbers")
+    state = scratch.keep(features.join(F.broadcast(numbers), "feature").select("group", F.col("at").cast("long").alias("feature"), "penalty", "state"), "features")
+    lists = cells.join(F.broadcast(numbers), "feature").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("x"))  # a row's own cells
+    kind = rows.schema["row"].dataType.simpleString()
+    whole = scratch.keep(lists.join(rows, "row").select("row", "group", "fold", "label", "x").mapInArrow(_packed, f"row {kind}, group int, fold int, label double, at binary, n binary"), "whole")
+    # a task's sums have every feature, so that there are not more tasks than keep the cores busy
+    passed = whole.select("group", "fold", "label", "at", "n").coalesce(2 * spark.sparkContext.defaultParallelism)
+    owner = state.select("feature", "group").toArrow()  # no more than a broadcast holds
+    group_of = np.zeros(size, np.int64)
+    group_of[owner.column("feature").to_numpy()] = owner.column("group").to_numpy()
+    weights = np.zeros((folds, size))
+    place = np.searchsorted(groups, group_of).astype(np.int32)
+    along_of = lambda length: np.stack([length[g] for g in groups], axis=1)[:, place]  # noqa: E731  each feature's step lengths
+
+    def predictors(part: tuple, w: np.ndarray) -> np.ndarray:
+        _, at, n, starts = part
+        return np.stack([np.add.reduceat(own[at] * n, starts) for own in w], axis=1)
+
+    def gradient(sent, length: dict[int, np.ndarray]) -> DataFrame:
+        """feature and sums, at the weights sent and so far along the direction sent."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, d = sent.value
+            if d is not None:
+                w = w + d * along_of(length)
+            sums = np.zeros((folds, size))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                label, own = batch.column("label").to_numpy(), _own(batch.column("fold").to_numpy(), held)
+                for part in _parts(batch):
+                    rows_, at, n, starts = part
+                    wrong = np.where(own[rows_], 1 / (1 + np.exp(-predictors(part, w))) - label[rows_, None], 0.0)
+                    sizes = np.diff(np.append(starts, len(at)))
+                    for f in range(folds):
+                        sums[f] += np.bincount(at, np.repeat(wrong[:, f], sizes) * n, size)
+            used = np.flatnonzero(sums.any(axis=0))
+            for i in range(0, len(used), 50_000):
+                own = used[i : i + 50_000]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * folds, folds), pa.int32()), pa.array(sums[:, own].T.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), flat], names=["feature", "sums"])
+
+        return passed.mapInArrow(add, "feature long, sums array<double>").groupBy("feature").agg(F.array(*[F.sum(F.col("sums")[f]) for f in range(folds)]).alias("sums"))
+
+    def collected(along: dict[int, np.ndarray]) -> np.ndarray:
+        found = np.zeros((folds, size))
+        got = state.select("feature", _combined(along, blocks, folds).alias("d")).toArrow()
+        found[:, got.column("feature").to_numpy()] = got.column("d").combine_chunks().flatten().to_numpy().reshape(-1, folds).T
+        return found
+
+    sent = spark.sparkContext.broadcast((weights, None))
+    state = _updated(state, gradient(sent, {}), {g: np.zeros((folds, blocks - 1)) for g in groups}, folds, memory, scratch)
     first, done, valid = {}, {g: ~live[g] for g in groups}, 0
     for _ in range(steps):
-        dots = {g: v.reshape(2, folds, width, width) for g, v in _summed(features, grams, groups, 2 * folds * width * width).items()}
-        along = {g: np.zeros((folds, blocks - 1)) for g in groups}
-        for g in groups:
-            size = np.sqrt(np.maximum(0, dots[g][0, :, 2 * memory, 2 * memory]))
-            first.setdefault(g, np.maximum(1.0, size))
-            done[g] = done[g] | (size <= tolerance * first[g])
-            for f in np.flatnonzero(~done[g]):
-                gram = dots[g][0, f, : blocks - 1, : blocks - 1]
-                along[g][f] = direction(gram, memory, min(valid, memory))
-                if gram[2 * memory] @ along[g][f] >= 0:
-                    along[g][f] = -np.eye(blocks - 1)[2 * memory]
+        dots, along = _directions(state, groups, folds, memory, first, done, valid, tolerance)
         if all(d.all() for d in done.values()):
             break
-        moved = features.select("feature", _combined(along, blocks, folds).alias("d"))
-        dz = cells.join(send["features"](moved), "feature").groupBy("row").agg(F.array(*[F.sum(F.col("n") * F.col("d")[f]) for f in range(folds)]).alias("dz"))
-        margins = scratch.keep(margins.join(dz, "row"), "margins")
-        loss = {g: v.reshape(folds, -1) for g, v in _summed(margins, losses, groups, folds * (len(STEPS) + 1)).items()}
-        length = {g: np.zeros(folds) for g in groups}
-        for g in groups:
-            for f in np.flatnonzero(~done[g]):
-                c, weights = along[g][f], dots[g][1, f]
-                uu, up, pp = weights[-1, -1], weights[-1, : blocks - 1] @ c, c @ weights[: blocks - 1, : blocks - 1] @ c
-                total = [v + (uu + 2 * t * up + t * t * pp) / 2 for t, v in zip((0.0, *STEPS), loss[g][f])]
-                best = int(np.argmin(total))
-                length[g][f] = (0.0, *STEPS)[best]
-                done[g][f] |= best == 0  # rounding alone is left
-        margins = margins.select("row", "group", "fold", "label", F.zip_with("z", F.zip_with("dz", _per_group(length), lambda d, t: d * t), lambda z, d: z + d).alias("z"))
-        features = updated(features, gradient(margins), {g: along[g] * length[g][:, None] for g in groups})
+        d = collected(along)
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast((weights, d))
+
+        def losses(batch: pa.RecordBatch, sent=sent) -> dict[int, np.ndarray]:
+            group, label, own = batch.column("group").to_numpy(), batch.column("label").to_numpy(), _own(batch.column("fold").to_numpy(), held)
+            total: dict[int, np.ndarray] = {}
+            for part in _parts(batch):
+                for g, v in _losses(*(predictors(part, x) for x in sent.value), group[part[0]], label[part[0]], own[part[0]]).items():
+                    total[g] = total.get(g, 0) + v
+            return total
+
+        loss = {g: v.reshape(folds, -1) for g, v in _summed(passed, losses, groups, folds * (len(STEPS) + 1)).items()}
+        length = _lengths(loss, dots, along, groups, folds, memory, done)
+        state = _updated(state, gradient(sent, length), {g: along[g] * length[g][:, None] for g in groups}, folds, memory, scratch)
+        weights = weights + d * along_of(length)
         valid += 1
     known = {g: np.where(live[g], 0.0, np.nan) for g in groups}
+    sent.unpersist()
+    sent = spark.sparkContext.broadcast(weights)
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = np.concatenate([predictors(part, sent.value) for part in _parts(batch)])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(z) + 1) * folds, folds), pa.int32()), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "group", "fold", "label")], flat], names=["row", "group", "fold", "label", "z"])
+
+    margins = scratch.keep(whole.mapInArrow(final, f"row {kind}, group int, fold int, label double, z array<double>"), "margins")
+    sent.unpersist()
     keep = lambda c: F.zip_with(c, _per_group(known), lambda x, ok: F.when(~F.isnan(ok), x))
-    weights = F.slice("state", (blocks - 1) * folds + 1, folds)
-    return features.select("group", "feature", keep(weights).alias("w")), margins.select("row", "group", "fold", "label", keep(F.col("z")).alias("z"))
+    found = state.select("group", F.col("feature").cast("int").alias("at"), keep(F.slice("state", (blocks - 1) * folds + 1, folds)).alias("w")).join(F.broadcast(numbers), "at")
+    return found.select("group", "feature", "w"), margins.select("row", "group", "fold", "label", keep(F.col("z")).alias("z"))
 
 
 def _per_group(values: dict[int, np.ndarray]) -> Column:
@@ -272,11 +454,7 @@ def kmer_models(df: DataFrame, row: str, seq: str, label: str, fold: str, folds:
     """
     scratch = scratch or Scratch(df.sparkSession)
     used = df.where(F.col(row).isNotNull() & F.col(label).isNotNull() & F.col(fold).isNotNull())
-    cells = kmer_cells(used, row, seq, sizes)
-    if per is not None:
-        k_mers = F.greatest(F.lit(1), F.length(F.col(seq).cast("string")) + 1)
-        lengths = used.select(F.col(row).alias("row"), k_mers.alias("_length"))
-        cells = cells.join(lengths, "row").select("row", "k", "kmer", (F.col("n") * float(per) / (F.col("_length") - F.col("k"))).alias("n"))
+    cells = kmer_cells(used, row, seq, sizes, per)
     cells, vocabulary = encoded(scratch.keep(cells, "kmers"), scratch)
     named = lambda r, k: F.struct(F.col(r).alias("row"), F.col(k).cast("int").alias("k"))
     rows = used.select(F.col(row), F.col(fold).alias("fold"), F.col(label).alias("label"), F.explode(F.array(*map(F.lit, sizes))).alias("group")).withColumn("row", named(row, "group"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,15 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     for c, r in names.items():
         on = on & left[c].eqNullSafe(right[r])
     return left.join(right, on, how).drop(*names.values()) if keys else left.crossJoin(F.broadcast(right))  # one row without keys
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, tasks exchange so many rows at a time with Python: for rows that are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +111,29 @@ def test_deltas_equal_full_scoring(spark):
             else:
                 assert abs(got[vid, k] - (full["ref_seq", vid, k] - full["alt_seq", vid, k])) < 1e-9
     assert sparse_models.changed("AAAA", "AAA", 2) == ((2, 4), (2, 3))
+
+
+def test_kmers_of_many_texts_equal_those_of_each():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = ["".join(rng.choices("abä\x00z𝄞 ", k=rng.choice([0, 1, 2, 5, 40]))) for _ in range(rng.randint(0, 6))]
+        for k in (1, 2, 5):
+            which, names, n = sparse_models.count_kmers(texts, k)
+            want = Counter((i, t[j : j + k]) for i, t in enumerate(texts) for j in range(len(t) - k + 1))
+            assert Counter({(i, m): c for i, m, c in zip(which.tolist(), names.to_pylist(), n.tolist())}) == want and len(n) == len(want)
+    assert len(sparse_models.count_kmers(["".join(map(chr, range(0x4E00, 0x9000)))] * 3, 5)[2]) == 3 * (0x9000 - 0x4E00 - 4)
+
+
+def test_rows_that_hold_their_cells_fit_as_joined_ones_and_are_not_broadcast(spark, monkeypatch):
+    texts, y, folds = data(random.Random(6), 60)
+    df = spark.createDataFrame([(i, t, a, f) for i, (t, a, f) in enumerate(zip(texts, y, folds))], "id long, seq string, y int, f int")
+    fit = lambda: {(r.group, r.row): r.z for r in sparse_models.kmer_models(df, "id", "seq", "y", "f", 4, [1, 2], per=101.0, tolerance=0.05)[1].collect()}
+    gathered = sparse_models._fit_gathered
+    used = []
+    monkeypatch.setattr(sparse_models, "_fit_gathered", lambda *a: used.append(1) or gathered(*a))
+    own = fit()
+    assert used == [1]
+    monkeypatch.setattr(sparse_models, "BROADCAST_BYTES", 0)
+    joined = fit()
+    assert used == [1] and len(own) == 120 and own.keys() == joined.keys()
+    assert max(abs(a - b) for x in own for a, b in zip(own[x], joined[x])) < 1e-6
