@@ -10,7 +10,6 @@ and classes of all words are a table, which the tokens of words that are not lis
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,15 +28,14 @@ END = b""
 EMISSION, BASE, TRANSITION = 0.1, 0.1, 5.0
 #: Bytes of an ending, and distinct words a task counts before it hands its counts on.
 ENDING, HELD = 3, 200_000
+#: Pairs of units up to which a task counts all of them in one array.
+DENSE = 1 << 23
 #: Share of the units that may move in a round.
 MOVING = 0.3
 
-split = re.compile(rb"[^\x20\x09-\x0D]+").findall
-
-
 def tokens(text: str | None) -> list[bytes]:
     """The words, A-Z in lower case, and the end."""
-    return [*split((text or "").encode().lower()), END]
+    return [*(text or "").encode().lower().split(), END]  # bytes are split at blanks and the bytes 9 to 13, as the word rule is
 
 
 def held_out(doc_id: Column, folds: int = 10) -> Column:
@@ -109,11 +107,17 @@ def count_pairs(train: DataFrame, units: Units) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(units)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        every = np.zeros(size * size, np.int64) if size * size <= DENSE else None
         held: list[np.ndarray] = []
         waiting = 0
 
         def merge() -> None:
             nonlocal keys, counts, waiting
+            if every is not None:
+                np.add.at(every, np.concatenate([keys, *held]), 1)
+                held.clear()
+                waiting = 0
+                return
             new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
             held.clear()
             waiting = 0
@@ -129,6 +133,9 @@ def count_pairs(train: DataFrame, units: Units) -> DataFrame:
                 if waiting > 2_000_000:
                     merge()
         merge()
+        if every is not None:
+            keys = np.flatnonzero(every)
+            counts = every[keys]
         for at in range(0, len(keys), 500_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000]), pa.array(counts[at : at + 500_000])], schema=schema)
 
@@ -193,9 +200,10 @@ def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, self_pair
 
 
 def count_neighbours(train: DataFrame, units: Units, unit_class: np.ndarray, classes: int) -> DataFrame:
-    """word, key, n for all words that are no units: key a counts tokens after class a, ``classes`` + a tokens before class a, and
-    2 ``classes`` those after the word itself; neighbours have the classes of their units."""
-    schema = pa.schema([("word", pa.binary()), ("key", pa.int32()), ("n", pa.int64())])
+    """word, key and n, lists of equal length, for all words that are no units, more than one row a word: key a counts tokens after
+    class a, ``classes`` + a tokens before class a, and 2 ``classes`` those after the word itself; neighbours have the classes of their
+    units."""
+    schema = pa.schema([("word", pa.binary()), ("key", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
     first, width = len(units.word), 2 * classes + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,27 +218,21 @@ def count_neighbours(train: DataFrame, units: Units, unit_class: np.ndarray, cla
                 return place
 
         place = Place(units.word)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
         waiting = 0
 
-        def merge() -> None:
-            nonlocal keys, counts, waiting
-            if held:
-                new, n = np.unique(np.concatenate(held), return_counts=True)
-                both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                keys, counts = both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal place, waiting
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            words, starts = np.unique(keys // width, return_index=True)  # one place after another, as the keys are sorted
+            ends = np.append(starts[1:], len(keys))
+            for at in range(0, len(words), 50_000):
+                begun, last = starts[at : at + 50_000], ends[at : at + 50_000][-1]
+                offsets = pa.array(np.append(begun, last) - begun[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[begun[0] : last].astype(np.int32))) for v in (keys % width, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([further[w] for w in words[at : at + 50_000].tolist()], pa.binary()), *lists], schema=schema)
             held.clear()
             waiting = 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, counts, place
-            merge()
-            words = pa.array(further, pa.binary())
-            for at in range(0, len(keys), 200_000):
-                part = keys[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(part // width)), pa.array((part % width).astype(np.int32)), pa.array(counts[at : at + 200_000])], schema=schema)
-            keys, counts = keys[:0], counts[:0]
             further.clear()
             del class_of[first:]
             place = Place(units.word)
@@ -248,13 +250,11 @@ def count_neighbours(train: DataFrame, units: Units, unit_class: np.ndarray, cla
                     left = np.where(before == at[i], 2 * classes, np.concatenate([[0], k[:-1]])[i])
                     held += [base + left, (base + classes + k[after])[at[after] != at[i]]]
                     waiting += 2 * len(i)
-                if waiting > 2_000_000:
-                    merge()
-                if len(further) > HELD or len(keys) > 4_000_000:
+                if len(further) > 2 * HELD or waiting > 4_000_000:
                     yield from done()
         yield from done()
 
-    return train.select("text").mapInArrow(count, "word binary, key int, n long")
+    return train.select("text").mapInArrow(count, "word binary, key array<int>, n array<int>")
 
 
 def choose_classes(neighbours: DataFrame, units: Units, unit_class: np.ndarray, between: np.ndarray) -> DataFrame:
@@ -266,19 +266,19 @@ def choose_classes(neighbours: DataFrame, units: Units, unit_class: np.ndarray,
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                words, lists = batch.column(0), batch.column(1)
-                x = lists.flatten()
-                n = np.zeros((len(words), 2 * classes + 1))
-                n[np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy()), x.field("key").to_numpy()] = x.field("n").to_numpy()
+                words, keys, counts = batch.column(0), batch.column(1), batch.column(2)
+                lists = keys.flatten()  # of a word's rows, and of these the keys
+                owner = np.repeat(np.repeat(np.arange(len(words)), keys.value_lengths().to_numpy()), lists.value_lengths().to_numpy())
+                n = np.bincount(owner * (2 * classes + 1) + lists.flatten().to_numpy(), counts.flatten().flatten().to_numpy(), len(words) * (2 * classes + 1)).reshape(len(words), -1)
                 own = unit_class[np.array([units.of(w) for w in words.to_pylist()], np.int64)]
                 left, right, self_pairs = n[:, :classes], n[:, classes:-1], n[:, -1]
                 found = best_classes(own, left, right, self_pairs, between)
                 c = (left.sum(axis=1) + self_pairs).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(found.astype(np.int32))], schema=schema)
 
-    # the tasks have counted before; at most 2 * classes + 1 keys a word
-    summed = neighbours.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInArrow(choose, "word binary, c long, k int")
+    # the tasks have counted before: a word has few rows, each of at most 2 * classes + 1 keys
+    gathered = neighbours.repartition("word").groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("x")).select("word", "x.key", "x.n")
+    return gathered.mapInArrow(choose, "word binary, c long, k int")
 
 
 def exchange(pairs: DataFrame, units: Units, classes: int, rounds: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -403,10 +403,9 @@ def lay(docs: DataFrame, vocabulary: Vocabulary, folder: str, name: str) -> Data
     """One row per document: doc_id, n_tokens, n_known, logs (the sum of its tokens' logarithms of counts) and ks, the class of
     each token in a fixed number of bytes.
 
-    Tasks look up the listed words, and hand on the other words of each document once each, with their places; those are
-    joined with the counts and classes. No frequent word takes part in that join.
+    Tasks look up the listed words, and hand on the other words with their places; those are joined with the counts and classes. No frequent word takes part in that join.
     """
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("places", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("ks", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("ks", pa.binary())])
     core, core_class, log_count, names, listed_class = vocabulary.core, vocabulary.core_class, vocabulary.log_count, vocabulary.listed, vocabulary.listed_class
     classes, narrow = vocabulary.classes, np.min_scalar_type(vocabulary.classes)
 
@@ -422,53 +421,52 @@ def lay(docs: DataFrame, vocabulary: Vocabulary, folder: str, name: str) -> Data
                 return len(names) + core_class[core.of(word)]
 
         place = Place({w: k for k, w in enumerate(names)})
-        columns: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+        columns: tuple[list, ...] = ([], [], [], [], [], [])
+        rare: list[bytes] = []
+        places: list[np.ndarray] = []
         size = 0
 
-        def batch_of() -> pa.RecordBatch:
+        def batches_of() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            done = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
-            for c in columns:
+            rows_, counts = columns[0], [len(p) for p in places]
+            for own in (dict(zip(("row", "doc_id", "n", "known", "logs", "ks"), columns)), {"row": np.repeat(np.array(rows_, np.int64), counts), "word": rare, "place": np.concatenate([np.zeros(0, np.int32), *places])}):
+                yield pa.RecordBatch.from_arrays([pa.array(own[t.name], t.type) if t.name in own else pa.nulls(len(own["row"]), t.type) for t in schema], schema=schema)
+            for c in (*columns, rare, places):
                 c.clear()
             size = 0
-            return done
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = tokens(text.as_py())
                 at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                others = np.flatnonzero(at >= len(names)).tolist()
-                rare: dict[bytes, list[int]] = {}
-                for i in others:
-                    rare.setdefault(words[i], []).append(i)
-                for c, values in zip(columns, (row, doc_id, None, None, len(words), len(words) - len(others), float(count_log[at].sum()), class_of[at].astype(narrow).tobytes())):
-                    c.append(values)
-                for word, places in rare.items():
-                    for c, values in zip(columns, (row, None, word, np.array(places, np.int32).tobytes(), len(places), None, None, None)):
-                        c.append(values)
+                others = np.flatnonzero(at >= len(names))
+                rare.extend(map(words.__getitem__, others.tolist()))
+                places.append(others.astype(np.int32))
+                for c, value in zip(columns, (row, doc_id, len(words), len(words) - len(others), float(count_log[at].sum()), class_of[at].astype(narrow).tobytes())):
+                    c.append(value)
                 row += 1
                 size += len(words)
-                if len(columns[0]) > 50_000 or size > 2_000_000:
-                    yield batch_of()
-        yield batch_of()
+                if size > 500_000:
+                    yield from batches_of()
+        yield from batches_of()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            filled = []
-            for ks, found in zip(batch.column("ks").to_pylist(), batch.column("found").to_pylist()):
-                k = np.frombuffer(ks, narrow).copy()
-                for x in found or ():
-                    k[np.frombuffer(x["places"], np.int32)] = x["k"]
-                filled.append(k.tobytes())
+            ks, found = batch.column("ks").to_pylist(), batch.column("found")
+            begins = np.cumsum([0, *[len(x) // narrow.itemsize for x in ks]])
+            k, x = np.frombuffer(b"".join(ks), narrow).copy(), found.flatten()
+            owner = np.repeat(np.arange(len(ks)), found.value_lengths().fill_null(0).to_numpy())
+            k[begins[owner] + x.field("place").to_numpy()] = x.field("k").to_numpy()
+            filled = [k[a:b].tobytes() for a, b in zip(begins, begins[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")] + [pa.array(filled, pa.binary())], names=["doc_id", "n_tokens", "n_known", "logs", "ks"])
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = stored(whole.mapInArrow(partial, "row long, doc_id long, word binary, places binary, n long, known long, logs double, ks binary"), folder, f"{name}-parts")
-    rare = parts.where("word IS NOT NULL").select("row", "word", "places", "n").join(vocabulary.counts.where(F.col("c") < vocabulary.least), "word", "left")
+    parts = stored(whole.mapInArrow(partial, "row long, doc_id long, word binary, place int, n long, known long, logs double, ks binary"), folder, f"{name}-parts")
+    rare = parts.where("word IS NOT NULL").select("row", "word", "place").join(vocabulary.counts.where(F.col("c") < vocabulary.least), "word", "left")
     rare = rare.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(EMISSION))).alias("rare_logs"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known"),
-        F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "places"))).alias("found"),  # no more than the document's tokens
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(EMISSION))).alias("rare_logs"),
+        F.count("c").alias("rare_known"),
+        F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "place"))).alias("found"),  # no more than the document's tokens
     )
     out = parts.where("word IS NULL").join(rare, "row", "left").select(
         "doc_id",

@@ -107,3 +107,14 @@ def test_further_words_follow_their_neighbours_not_their_endings(spark, monkeypa
     laid = {r.doc_id: r for r in brown.lay(rows, again, common.shared_dir(spark), "laid").collect()}
     k = {bytes(r.word): r.k for r in again.counts.collect()}
     assert all(list(laid[i].ks) == [k[w] for w in brown.tokens(t)] for i, t in enumerate(texts))
+
+
+def test_neighbours_of_a_word_come_in_few_rows(spark):
+    units = brown.Units([b"a", b"b"], [])
+    rows = docs(spark, [(i, "a zz b zz zz\x0bA zz", "x") for i in range(50)]).coalesce(1)
+    assert brown.tokens("A\x0bb\x1cc\x85 \xa0É") == [b"a", "b\x1cc\x85".encode(), "\xa0É".encode(), b""]
+    got = brown.count_neighbours(rows, units, np.array([0, 1, 2, 2]), 3).collect()
+    assert [bytes(r.word) for r in got] == [b"zz"]  # a row for each key before
+    # after a, b, itself; before the end, a, b
+    assert dict(zip(got[0].key, got[0].n)) == {1: 100, 2: 50, 3: 50, 4: 50, 5: 50, 6: 50}
+    assert {(r.u, r.v): r.n for r in brown.count_pairs(rows, units).collect()} == {(0, 1): 50, (1, 3): 100, (3, 2): 50, (2, 3): 50, (3, 3): 50, (3, 1): 50, (3, 0): 50}
