@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.sources.scratch import Scratch, join_same
 
+#: Bins of a block at least, widest windows and intervals in bins, and most rows of a group's block, where blocks are searched whole.
+BLOCK, WIDEST, CROWD = 1024, 1 << 16, 200_000
+
 
 def _bin(c: str, size: int) -> Column:
     return F.floor(F.col(c) / size)
@@ -54,6 +59,59 @@ def pyramid(intervals: DataFrame, by: Sequence[str], value: str, size: int, leve
     return out
 
 
+def _most(df: DataFrame, keys: Sequence[str]) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def searched(starts: np.ndarray, lasts: np.ndarray, value: np.ndarray, one: np.ndarray, two: np.ndarray, bins: int) -> np.ndarray:
+    """The largest value of the intervals that touch bins ``one`` to ``two`` of each window, of ``bins`` ones; -inf where none does."""
+    level = lambda a, b: np.frexp((b - a + 1).astype(float))[1] - 1  # noqa: E731  the largest power of two that fits
+    cut, asked = level(starts, lasts), level(one, two)
+    tracks = np.full((max(cut.max(initial=0), asked.max(initial=0)) + 1, bins), -np.inf)
+    np.maximum.at(tracks, (cut, starts), value)
+    np.maximum.at(tracks, (cut, lasts + 1 - (1 << cut)), value)
+    for j in range(len(tracks) - 1, 0, -1):  # an entry's halves belong to the level below
+        half = 1 << (j - 1)
+        tracks[j - 1] = np.maximum(tracks[j - 1], tracks[j])
+        tracks[j - 1, half:] = np.maximum(tracks[j - 1, half:], tracks[j, :-half])
+    for j in range(1, len(tracks)):
+        half = 1 << (j - 1)
+        tracks[j] = tracks[j - 1]
+        tracks[j, :-half] = np.maximum(tracks[j, :-half], tracks[j - 1, half:])
+    return np.maximum(tracks[asked, one], tracks[asked, two + 1 - (1 << asked)])
+
+
+def _blocks(windows: DataFrame, intervals: DataFrame, by: Sequence[str], value: str, size: int, out: str) -> DataFrame | None:
+    """As ``window_tops``, of windows with bounds alone: each row goes once to the block of bins where a window starts and to those whose windows it may
+    touch, and a task searches a block of a group at a time. None if a row is too wide or a block too crowded for that."""
+    width = lambda df: df.agg(F.max(_bin("end", size) - _bin("start", size) + 1)).first()[0] or 1
+    wide, long = width(windows), width(intervals)
+    block = 1 << (max(BLOCK, wide, long) - 1).bit_length()
+    if block > WIDEST:
+        return None
+    keys = [f"_by{i}" for i in range(len(by))]
+    own = lambda df, *c: df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *c)
+    first, last = _bin("start", size), _bin("end", size)
+    left = own(windows, F.floor(first / block).alias("_block"), first.alias("_one"), last.alias("_two"), *windows.columns)
+    to = F.explode(F.sequence(F.floor((first - (wide - 1)) / block), F.floor(last / block)))
+    right = own(intervals, to.alias("_block"), first.alias("_one"), last.alias("_two"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value"))
+    keys.append("_block")
+    if _most(left, keys) > CROWD or _most(right, keys) > CROWD:
+        return None
+
+    def search(rows: pa.Table, of: pa.Table) -> pa.Table:
+        top = np.zeros(len(rows))
+        if len(rows) and len(of):
+            start = rows.column("_block")[0].as_py() * block
+            at = lambda t, c: np.clip(t.column(c).to_numpy() - start, 0, 2 * block - 1)
+            top = searched(at(of, "_one"), at(of, "_two"), of.column("_value").to_numpy(), at(rows, "_one"), at(rows, "_two"), 2 * block)
+            top[top == -np.inf] = 0.0
+        return rows.drop_columns([*keys, "_one", "_two"]).append_column(out, pa.array(top, pa.float64()))
+
+    kind = windows.limit(0).withColumn(out, F.lit(0.0)).schema
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, kind)
+
+
 def window_tops(windows: DataFrame, intervals: DataFrame, by: Sequence[str], value: str, size: int, out: str = "top", scratch: Scratch | None = None) -> DataFrame:
     """``windows`` with the largest value of an interval of the same group that touches a bin of theirs, 0 where none does.
 
@@ -63,7 +121,11 @@ def window_tops(windows: DataFrame, intervals: DataFrame, by: Sequence[str], val
     scratch = scratch or Scratch(windows.sparkSession)
     by = list(by)
     width = _bin("end", size) - _bin("start", size) + 1
-    ok = F.col("start").isNotNull() & (F.col("end") >= F.col("start"))
+    ok = F.coalesce(F.col("end") >= F.col("start"), F.lit(False))
+    none = windows.where(~ok).withColumn(out, F.lit(None).cast("double"))
+    found = _blocks(windows.where(ok), intervals.where("end >= start"), by, value, size, out)
+    if found is not None:
+        return found.unionByName(none)
     level = F.when(ok, F.floor(F.log2(width.cast("double") + 0.5)).cast("int"))
     rows = windows.withColumn("_level", level).withColumn("_one", _bin("start", size)).withColumn("_two", _bin("end", size) + 1 - F.pow(F.lit(2.0), F.col("_level")).cast("long"))
     rows = scratch.keep(rows, "windows")
@@ -74,7 +136,7 @@ def window_tops(windows: DataFrame, intervals: DataFrame, by: Sequence[str], val
     for c, n in (("_one", "_a"), ("_two", "_b")):
         side = entries.select(*by, F.col("level").alias("_level"), F.col("bin").alias(c), F.col("top").alias(n))
         rows = join_same(rows, side, [*by, "_level", c], "left")
-    top = F.when(F.col("_level").isNotNull(), F.greatest(F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))))
+    top = F.when(F.col("_level").isNotNull(), F.coalesce(F.greatest("_a", "_b"), F.lit(0.0)))
     return rows.withColumn(out, top).drop("_level", "_one", "_two", "_a", "_b")
 
 

@@ -34,6 +34,22 @@ def test_windows_of_any_width_equal_brute_force(spark):
     assert {r.pair: r.anywhere for r in pairs.collect()} == want
 
 
+def test_blocks_and_pyramid_agree_and_shuffle_no_pyramid(spark, monkeypatch):
+    rng = random.Random(4)
+    row = lambda i: (i, rng.choice(["a", "b", None]), *(lambda a: (a, a + rng.choice([0, 7, 300])))(rng.randint(-9000, 9000)), rng.choice([None, -rng.random(), rng.random()]))
+    g, w = (spark.createDataFrame([row(i) for i in range(n)], "id int, by string, start long, end long, v double") for n in (60, 300))
+    monkeypatch.setattr(tracks, "BLOCK", 32)
+    top = lambda: {r.id: r.top for r in tracks.window_tops(w.drop("v"), g, ["by"], "v", 10).collect()}
+    plain = tracks.pyramid
+    monkeypatch.setattr(tracks, "pyramid", None)
+    blocks = top()
+    monkeypatch.setattr(tracks, "pyramid", plain)
+    monkeypatch.setattr(tracks, "CROWD", 0)
+    assert blocks == top()
+    wide = [(r.id, max((x.v or 0.0 for x in g.collect() if x.by == r.by and x.start // 10 <= r.end // 10 and r.start // 10 <= x.end // 10), default=0.0)) for r in w.collect()]
+    assert blocks == dict(wide)
+
+
 def test_coverage_is_counted_by_the_job_that_writes(spark, tmp_path):
     df = spark.range(1000).select("id", F.when(F.col("id") % 200 != 0, F.col("id") * 1.0).alias("score"), F.when(F.col("id") == 7, float("nan")).otherwise(F.lit(1.0)).alias("other"))
     seen = coverage.Coverage(df, "score", {"odd": F.col("id") % 2 == 1, "none": F.lit(None)})
