@@ -26,6 +26,8 @@ from lociflow.sources.scratch import Scratch, bounded, join_same
 SLICE = 20_000
 #: Distances that a task holds at a time.
 HELD = 1 << 20
+#: Visits to cells that a slice of queries makes at most: each has a copy of its query's vector.
+VISITS = 1 << 19
 #: What a bound is widened by, for rounded sums.
 SLACK = 1e-9
 
@@ -94,10 +96,18 @@ def summary(placed: DataFrame, pivots: DataFrame, k: int, scratch: Scratch) -> D
     return scratch.keep(spans.join(least, ["gid", "cell"]).join(pivots, ["gid", "cell"]), "cells")
 
 
+def loads_of(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """gid and ``total``, the number of query types, or more where so many slices of them could visit more cells than ``VISITS``."""
+    counted = queries.groupBy("gid").agg(F.count(F.lit(1)).alias("total"))
+    there = cells.groupBy("gid").agg(F.count(F.lit(1)).alias("there"))
+    share = F.least(F.lit(float(SLICE)), F.lit(float(VISITS)) / F.coalesce("there", F.lit(1)))
+    return counted.join(there, "gid", "left").select("gid", F.ceil(F.col("total") * F.greatest(F.lit(1.0), SLICE / share)).alias("total"))
+
+
 def neighbours(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int, tolerance: float | None, scratch: Scratch) -> DataFrame:
     """id, ``list``, the k nearest candidate types of each query type as (gap, first, cand), ties by their smallest key, and
     ``whole``, whether no further one is within the tolerance."""
-    counted = scratch.keep(queries.groupBy("gid").agg(F.count(F.lit(1)).alias("total")), "asked")
+    counted = scratch.keep(loads_of(queries, cells), "asked")
     sent = cells.join(bounded(counted, 16), "gid").select("gid", _all_slices("total"), "cell", "pivot", "near", "far", "least")
     most = float("inf") if tolerance is None else tolerance
     schema = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("bound", pa.float64())])

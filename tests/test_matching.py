@@ -42,6 +42,12 @@ def test_rounds_equal_serving_one_after_another(spark, monkeypatch, seed, n, m,
     assert {r.k: (r.match, r.gap) for r in out} == brute(positives, pool, tolerance) and len({r.match for r in out}) == len(out)
 
 
+def test_no_slice_of_queries_makes_more_visits_than_a_task_holds(spark):
+    queries, cells = spark.range(60_000).selectExpr("id % 2 AS gid", "id"), spark.range(3_000).selectExpr("0L AS gid", "id AS cell")
+    slices = {r.gid: r.slices for r in matching.loads_of(queries, cells).select("gid", matching._slices("total").alias("slices")).collect()}
+    assert 30_000 * 3_000 <= slices[0] * matching.VISITS and slices[1] == 2  # no cells: as many as before
+
+
 def test_nothing_to_match(spark):
     df = spark.createDataFrame([("a", 1, [1.0])], "g string, id long, x array<double>")
     assert matching.match_vectors(df, df.limit(0), ["g"], "x", "id").collect() == []
