@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import batches_of, fresh, join_keyed, releasing, remove, shared_dir, small, stored
@@ -270,8 +270,8 @@ def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs:
     """s, c, nid and cap: what stands in the place of the rows of frequent segments.
 
     Any set that links with a node shares ``common`` of its segments, so that a node with fewer frequent ones is found by the
-    others. The rest share single shingles, ``least`` at any rate: they are sought by those that are not frequent, and by
-    their frequent segments only where frequent shingles alone can make a link, as in copies of one text. Sets of na and nb
+    others. The rest share single shingles, ``least`` at any rate: they are sought by those that are not frequent, of which the
+    rarest of each set suffice, as many as it may have beside a common one, and by their frequent segments only where frequent shingles alone can make a link, as in copies of one text. Sets of na and nb
     shingles, ha and hb of them frequent, share min(ha, hb) of these at most, which must be percent / (100 + percent) of na + nb.
     So a set's partner there has no more than ``cap`` shingles; a set whose segment has none so small leaves it. Null: no cap.
     """
@@ -282,9 +282,12 @@ def without_frequent(often: DataFrame, cuts: DataFrame, nodes: DataFrame, docs:
     sets = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few sets may be of one group, in few tasks
     single = sets.select("c", "nid", "n", "least", F.explode("items").alias("item")).select(F.xxhash64("c", "item").alias("s"), "c", "nid", "n", "least")
     single = stored(single, folder, "single")
-    known = single.groupBy("s").agg(count.alias("m"))
-    rare = single.join(known.where(f"m > 1 AND m < {FREQUENT}").select("s"), "s", "left_semi").select("s", "c", "nid", F.lit(None).cast("long").alias("cap"))
-    held = single.join(small(known.where(f"m >= {FREQUENT}").select("s"), BROADCAST_ROWS), "s", "left_semi").groupBy("nid", "n", "c", "least").agg(count.alias("h"))
+    known = single.groupBy("s").agg(count.alias("m")).where("m > 1")
+    of_set = Window.partitionBy("nid", "c")
+    placed = single.join(known, "s").withColumn("also", count.over(of_set)).withColumn("place", F.row_number().over(of_set.orderBy("m", "s")))
+    # the first shingle in the order (m, s) that two sets share has at most n - least others of each before it, those of one set included
+    rare = placed.where(f"m < {FREQUENT} AND place <= also - least + 1").select("s", "c", "nid", F.lit(None).cast("long").alias("cap"))
+    held = placed.where(f"m >= {FREQUENT}").groupBy("nid", "n", "c", "least").agg(count.alias("h"))
     alike = held.where("h >= least").select("nid", "n", "c", F.floor(F.col("h") * (100 + percent) / percent - F.col("n") + 1e-6).alias("cap"))
     back = often.select("s", "c", "nid").join(alike, ["nid", "c"])
     smallest = back.groupBy("s").agg(F.min("n").alias("smallest"))

@@ -139,3 +139,22 @@ def test_pages_of_one_template_that_do_not_link_make_few_pairs(spark):
         assert len(pairs) == len(set(pairs))
         verified[n] = len(pairs)
     assert max(verified.values()) < 4 * 900
+
+
+def test_pages_of_one_template_are_sought_by_their_rarest_shingles(spark, monkeypatch):
+    """A passage in all of them, and sentences that some share: of a set no more shingles are taken than it may have beside a common one."""
+    rng = random.Random(17)
+    passage, sentences, rows, plain = [f"p{i}" for i in range(330)], [[f"s{i}w{j}" for j in range(20)] for i in range(40)], [], jaccard.without_frequent
+    texts = [" ".join(passage + sum(rng.sample(sentences, 9), []) + [f"o{i}"]) for i in range(260)]
+    texts += [f"{t} extra{i}" for i, t in enumerate(texts[:40])]
+    docs, folder = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), common.shared_dir(spark)
+
+    def counted(*args):
+        found = plain(*args)
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "without_frequent", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, 5, 80, folder).collect())
+    assert got == brute(texts, 5, 80)
+    assert 0 < rows[0] <= spark.read.parquet(f"{folder}/hard").selectExpr("sum(n - least + 1)").first()[0]
