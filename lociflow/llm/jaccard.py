@@ -400,9 +400,9 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
     placed = across(placed_in(active, roots), sketches, folder)
     for name in ("inner", "near-0", "sketches"):
         remove(docs.sparkSession, f"{folder}/{name}")
-    ends = lambda x: met_across(placed.where(x), placed.where(x), percent, "ra < rb")
+    outer = placed.where("first OR last")  # met with itself once: sketches are what is large in these rows
     steps = {
-        "ends": lambda: ends("first").unionByName(ends("last")).distinct(),
+        "ends": lambda: met_across(outer, outer, percent, "ra < rb AND ((first_a AND first_b) OR (last_a AND last_b))"),
         "others": lambda: met_across(placed.where("NOT first"), placed, percent, "(first_b OR a < b) AND NOT (last_a AND last_b)"),
     }
     for name, of in steps.items():
@@ -417,7 +417,7 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
         if not links.limit(1).count():
             continue
         roots = contracted(roots, links, folder, name)
-        placed = placed.drop("root").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        placed = placed.drop("root").join(small(roots, BROADCAST_ROWS), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
 
     return roots
 
