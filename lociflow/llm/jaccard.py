@@ -44,6 +44,8 @@ FREQUENT = 100
 WORTH = 2
 #: One frequent segment of so many takes part in the rounds: sets that link share most of theirs.
 ROUNDS_TAKE = 4
+#: Rows of a segment up to which its nodes meet by their numbers and pairs get sketches: each row would carry one beyond its pairs.
+NARROW = 8
 #: Rows of one or three numbers up to which a key table is sent to every executor; beyond it the join is a shuffle.
 BROADCAST_ROWS = 500_000
 #: The same for tables with text keys, of about 60 bytes a row.
@@ -332,13 +334,25 @@ def _side(sketches: DataFrame, side: str) -> DataFrame:
     return sketches.select(F.col("nid").alias(side), "c", F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
 
 
-def across(placed: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
-    """s, nid, root, n, cap, sketch and whether the node is the first or the last of its component in the segment, of the segments
-    with nodes of two components."""
+def across(placed: DataFrame, sketches: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """s, c, nid, root, cap and whether the node is the first or the last of its component in the segment, of the segments with nodes
+    of two components: those of few rows without a cap, and the others with n and sketch."""
     stand = placed.groupBy("s", "root").agg(F.min("nid").alias("first"), F.max("nid").alias("last"))
-    open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
-    placed = placed.join(open_, "s", "left_semi").join(stand, ["s", "root"]).withColumn("first", F.col("nid") == F.col("first")).withColumn("last", F.col("nid") == F.col("last"))
-    return stored(placed.join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "cap", "sketch", "first", "last"), folder, "placed")
+    open_ = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m"), F.count("cap").alias("caps")).where("r0 <> r1")
+    open_ = open_.select("s", ((F.col("m") <= NARROW) & (F.col("caps") == 0)).alias("few"))
+    placed = placed.join(open_, "s").join(stand, ["s", "root"]).withColumn("first", F.col("nid") == F.col("first")).withColumn("last", F.col("nid") == F.col("last"))
+    placed = stored(placed.select("few", "s", "c", "nid", "root", "cap", "first", "last"), folder, "placed")
+    wide = placed.where("NOT few").join(sketches, ["nid", "c"]).select("s", "nid", "root", "n", "cap", "sketch", "first", "last")
+    return placed.where("few").select("s", "c", "nid", "root", "first", "last"), stored(wide, folder, "wide")
+
+
+def met_by_number(left: DataFrame, right: DataFrame, sketches: DataFrame, percent: int, order: str, folder: str, name: str) -> DataFrame:
+    """As ``met_across`` for segments of few rows: sketches go to their distinct pairs, which share many segments, not to the rows."""
+    side = lambda df, x: df.select(F.col("s").alias(f"s_{x}"), F.col("c").alias(f"c_{x}"), F.col("nid").alias(x), F.col("root").alias(f"r{x}"), F.col("first").alias(f"first_{x}"), F.col("last").alias(f"last_{x}"))
+    met = side(left, "a").join(side(right, "b"), (F.col("s_a") == F.col("s_b")) & (F.col("ra") != F.col("rb")) & F.expr(order))
+    met = stored(met.select(F.least("a", "b").alias("a"), F.col("c_a").alias("c"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-met")
+    whose = stored(met.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), folder, f"{name}-whose")
+    return near(met, sketches.join(small(whose, BROADCAST_ROWS), "nid", "left_semi"), percent).select("a", "b")
 
 
 def met_across(left: DataFrame, right: DataFrame, percent: int, order: str) -> DataFrame:
@@ -397,16 +411,17 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
                 remove(docs.sparkSession, f"{folder}/{name}")
     # then all pairs: of the first and of the last nodes of the components in each segment, and of the others where these
     # have not joined their components; no pair is verified twice
-    placed = across(placed_in(active, roots), sketches, folder)
-    for name in ("inner", "near-0", "sketches"):
+    narrow, wide = across(placed_in(active, roots), sketches, folder)
+    for name in ("inner", "near-0"):
         remove(docs.sparkSession, f"{folder}/{name}")
-    outer = placed.where("first OR last")  # met with itself once: sketches are what is large in these rows
     steps = {
-        "ends": lambda: met_across(outer, outer, percent, "ra < rb AND ((first_a AND first_b) OR (last_a AND last_b))"),
-        "others": lambda: met_across(placed.where("NOT first"), placed, percent, "(first_b OR a < b) AND NOT (last_a AND last_b)"),
+        "ends": ("first OR last", "first OR last", "ra < rb AND ((first_a AND first_b) OR (last_a AND last_b))"),  # met with itself: shuffled once
+        "others": ("NOT first", "true", "(first_b OR a < b) AND NOT (last_a AND last_b)"),
     }
-    for name, of in steps.items():
-        rest = stored(of().join(done, ["a", "b"], "left_anti"), folder, name)
+    for name, (of_a, of_b, order) in steps.items():
+        met = met_by_number(narrow.where(of_a), narrow.where(of_b), sketches, percent, order, folder, name)
+        met = met.unionByName(met_across(wide.where(of_a), wide.where(of_b), percent, order)).distinct()
+        rest = stored(met.join(done, ["a", "b"], "left_anti"), folder, name)
         if not rest.limit(1).count():
             continue
         done = done.unionByName(rest)
@@ -417,7 +432,8 @@ def linked_roots(active: DataFrame, often: DataFrame | None, cuts: DataFrame, no
         if not links.limit(1).count():
             continue
         roots = contracted(roots, links, folder, name)
-        placed = placed.drop("root").join(small(roots, BROADCAST_ROWS), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        sent = small(roots, BROADCAST_ROWS)
+        narrow, wide = (x.drop("root").join(sent, "nid", "left").withColumn("root", F.coalesce("root", "nid")) for x in (narrow, wide))
 
     return roots
 

@@ -158,3 +158,26 @@ def test_pages_of_one_template_are_sought_by_their_rarest_shingles(spark, monkey
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, 5, 80, folder).collect())
     assert got == brute(texts, 5, 80)
     assert 0 < rows[0] <= spark.read.parquet(f"{folder}/hard").selectExpr("sum(n - least + 1)").first()[0]
+
+
+def test_nodes_of_small_segments_meet_without_sketches_in_their_rows(spark, monkeypatch):
+    """Families whose members share segments and link in part: the same classes both ways, and rows that carry a sketch only for larger segments."""
+    rng = random.Random(21)
+    texts = []
+    for family in range(25):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                w[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts, 5, 80)
+    for narrow in (8, 2):
+        monkeypatch.setattr(jaccard, "NARROW", narrow)
+        folder = common.shared_dir(spark)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, 5, 80, folder).collect()) == want
+        placed = spark.read.parquet(f"{folder}/placed")
+        assert placed.count() and "sketch" not in placed.columns
+        wide = spark.read.parquet(f"{folder}/wide").count()
+        assert wide == 0 if narrow == 8 else 0 < wide < placed.count()
