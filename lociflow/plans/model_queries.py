@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
 from lociflow.operators import anova, coverage, crossfit, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
+from lociflow.sources.scratch import bounded
 from lociflow.sources.tables import table
 
 
@@ -15,7 +16,7 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    labels = bounded(table(spark, sf, "labels").select("doc_id", "quality"), 32)  # so that texts stay where they are
     return table(spark, sf, "documents").select("doc_id", "lang", "source", "text").join(labels, "doc_id").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
 
 

@@ -27,16 +27,30 @@ class Scratch:
             base = f"file://{tempfile.mkdtemp(prefix='lociflow-')}"
             spark.sparkContext.setCheckpointDir(base)
         self.spark, self.path = spark, f"{base.rstrip('/')}/lociflow-{uuid.uuid4().hex}"
+        self.latest: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back, so that later jobs start from files."""
+    def keep(self, df: DataFrame, name: str, by: Sequence[str] = (), codec: str | None = None) -> DataFrame:
+        """``df`` written and read back, so that later jobs start from files; in a folder for each value of ``by``."""
+        at = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        writer = df.write.partitionBy(*by) if by else df.write
+        (writer.option("compression", codec) if codec else writer).parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def renew(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``keep``; the table that was renewed before under that name is deleted afterwards."""
         at = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(at)
+        if name in self.latest:
+            self._delete(self.latest[name])
+        self.latest[name] = at
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self) -> None:
         """Deletes the folder; nothing that was read from it can be used afterwards."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -56,12 +70,23 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, tasks exchange so many rows at a time with Python: for rows that are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """While it lasts, tasks exchange so many rows at a time with Python: for rows that are long."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffles_dropped(spark: SparkSession):
+    """While it lasts, shuffled files go when the query that made them ends, not when the driver collects its garbage: for loops."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -5,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lociflow.operators import sparse_models
+from lociflow.sources.scratch import Scratch
 
 
 def dense(texts, y, folds, k, n_folds, l2=1.0):
@@ -137,3 +139,36 @@ def test_rows_that_hold_their_cells_fit_as_joined_ones_and_are_not_broadcast(spa
     joined = fit()
     assert used == [1] and len(own) == 120 and own.keys() == joined.keys()
     assert max(abs(a - b) for x in own for a, b in zip(own[x], joined[x])) < 1e-6
+
+
+def test_disk_does_not_grow_with_the_steps(spark, monkeypatch):
+    texts, y, folds = data(random.Random(7), 50)
+    df = spark.createDataFrame(list(zip(range(50), texts, y, folds)), "id long, seq string, y int, f int")
+
+    def tables():
+        scratch = Scratch(spark)
+        sparse_models.kmer_models(df, "id", "seq", "y", "f", 4, [1, 2], per=101.0, steps=4, scratch=scratch)
+        return Counter(t.rsplit("-", 1)[0] for t in os.listdir(scratch.path.removeprefix("file://")))
+
+    assert tables() == {"vocabulary": 1, "whole": 1, "margins": 1}  # no cells, and no weights of a step
+    monkeypatch.setattr(sparse_models, "BROADCAST_BYTES", 0)
+    joined = tables()
+    assert joined["features"] == joined["margins"] == 1
+
+
+def test_packed_rows_hold_all_cells(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abä\x00z𝄞 ", k=rng.choice([0, 1, 2, 5, 400]))) for _ in range(30)] + [None]
+    df = spark.createDataFrame([(i, t, i % 3, 1.0) for i, t in enumerate(texts)], "row long, seq string, fold int, label double").repartition(3)
+    names = {k: sparse_models.distinct_kmers([t or "" for t in texts], k) for k in (1, 3)}
+    got = {}
+    for batch in sparse_models.packed(df, [1, 3], spark.sparkContext.broadcast(names), 101.0).toArrow().combine_chunks().to_batches():
+        for part in sparse_models._parts(batch):
+            _, at, n, sizes = part
+            owner = np.repeat(np.arange(len(sizes)) + part[0].start, sizes)
+            rows, group = batch.column("row").to_pylist(), batch.column("group").to_pylist()
+            got |= {(rows[o], names[group[o]][int(a)].as_py()): x for o, a, x in zip(owner, at, n)}
+    want = {(r.row, r.kmer): r.n for r in sparse_models.kmer_cells(df, "row", "seq", [1, 3], 101.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - x) < 1e-12 * x for c, x in want.items())
+    for numbers in ([], [0, 0], [1, 300, 0], [2**32 - 1, 5]):
+        assert sparse_models._numbers_of([sparse_models._bytes_of(np.array(numbers, np.int64))], [len(numbers)]).tolist() == numbers
