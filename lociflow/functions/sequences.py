@@ -50,12 +50,14 @@ def occurrences(seq: Column, motif: Column | str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(seq, i + 1, F.length(motif)) == motif)).otherwise(F.array().cast("array<int>"))
 
 
-def kmer_counts(seq: Column, k: int, alphabet: str = "ACGU") -> Column:
+def kmer_counts(seq: Column, k: int, alphabet: str = "ACGU", written: tuple[str, str] | None = None) -> Column:
     """Counts of all overlapping k-mers over ASCII letters, in the order of ``alphabet``; k-mers with other letters are skipped.
-    Zeros for null."""
+    Zeros for null. With ``written``, ASCII letters and those of the alphabet that they stand for, in order, all other letters are
+    taken out before."""
     size = len(alphabet)
     code = np.full(256, size, np.uint8)  # further letters and the bytes of wider ones
-    code[np.frombuffer(alphabet.encode("ascii"), np.uint8)] = np.arange(size)
+    for letter, of in zip(*(written or (alphabet, alphabet))):
+        code[ord(letter)] = alphabet.index(of)
     kept = (slice(size),) * k
 
     def count(texts: pa.Array) -> pa.Array:
@@ -64,9 +66,14 @@ def kmer_counts(seq: Column, k: int, alphabet: str = "ACGU") -> Column:
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
         found = np.zeros((len(raw), size**k), np.int32)
         for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            for at in range(a, b - k + 1, BLOCK):
-                letters = code[data[at : min(b, at + BLOCK + k - 1)]].astype(np.int64)
+            letters = np.zeros(0, np.int64)
+            for at in range(a, b, BLOCK):
+                more = code[data[at : min(b, at + BLOCK)]]
+                more = more[more < size] if written else more
+                letters = np.concatenate([letters[max(0, len(letters) - k + 1) :], more])  # from the last k - 1 letters of before
                 n = len(letters) - k + 1
+                if n < 1:
+                    continue
                 number = sum(letters[j : j + n] * (size + 1) ** (k - 1 - j) for j in range(k))
                 found[row] += np.bincount(number, minlength=(size + 1) ** k).reshape((size + 1,) * k)[kept].ravel().astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * size**k, pa.int32()), pa.array(found.ravel()))

@@ -5,8 +5,8 @@ which all unserved positives propose to their nearest candidate left and a candi
 order. Equal vectors are one type: candidates of a type are one party with that many places.
 
 Nearest neighbours are exact: candidate types are dealt to the nearest of about sqrt(n) pivots; a positive's distances to the
-pivots, with each cell's smallest radii, bound how far its neighbours can be, and by the triangle inequality only cells within
-that bound are read. Cells and their visitors are cut into slices of bounded size, so that no group gathers in one task.
+pivots, with each cell's smallest radii, bound how far its neighbours can be. It is compared with the few cells of the nearest pivots first,
+which makes that bound as near as neighbours are, and by the triangle inequality only cells within it are read. Cells and their visitors are cut into slices of bounded size, so that no group gathers in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SLICE = 20_000
 HELD = 1 << 20
 #: Visits to cells that a slice of queries makes at most: each has a copy of its query's vector.
 VISITS = 1 << 19
+#: Cells that a query is compared with first.
+HOMES = 4
 #: What a bound is widened by, for rounded sums.
 SLACK = 1e-9
 
@@ -115,7 +117,7 @@ def neighbours(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int,
     def route(rows: pa.Table, of: pa.Table) -> pa.Table:
         if not len(rows) or not len(of):
             return schema.empty_table()
-        x, p = matrix(rows), matrix(of, "pivot")
+        x, p, reach = matrix(rows), matrix(of, "pivot"), rows.column("reach").to_numpy()
         cell, near, far = (of.column(c).to_numpy() for c in ("cell", "near", "far"))
         least = of.column("least").combine_chunks()
         owner, radii = np.repeat(np.arange(len(of)), np.diff(least.offsets.to_numpy())), least.flatten().to_numpy()
@@ -125,20 +127,22 @@ def neighbours(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int,
             d = distances(x[at : at + step], p)
             # so many candidates are no farther than this
             limit = np.partition(d[:, owner] + radii[None, :], k - 1, axis=1)[:, k - 1] if len(radii) >= k else np.full(len(d), np.inf)
-            limit = np.minimum(limit, most) + SLACK
-            some, there = np.nonzero(np.maximum(d - far[None, :], near[None, :] - d) <= limit[:, None])
+            limit = np.minimum(np.minimum(limit, most), reach[at : at + step]) + SLACK
+            # no candidate of a cell is nearer than its radii allow, or than half of what its pivot is farther than the nearest
+            least_ = np.maximum(np.maximum(d - far[None, :], near[None, :] - d), (d - d.min(axis=1)[:, None]) / 2)
+            within = least_ <= limit[:, None]
+            fresh = np.isinf(reach[at : at + step])
+            if fresh.any() and d.shape[1] > HOMES:
+                homes = np.zeros_like(within)
+                np.put_along_axis(homes, np.argpartition(d, HOMES - 1, axis=1)[:, :HOMES], True, axis=1)
+                within &= homes | ~fresh[:, None]
+            some, there = np.nonzero(within)
             who.append(some + at)
             to.append(there)
             bound.append(limit[some])
         who, to = np.concatenate(who), np.concatenate(to)
         return pa.Table.from_arrays([pa.array(cell[to]), rows.column("id").take(pa.array(who)), rows.column("v").take(pa.array(who)), pa.array(np.concatenate(bound))], schema=schema)
 
-    visits = _sliced(queries.join(bounded(counted, 16), "gid"), "total").select("gid", "slice", "id", "v").groupBy("gid", "slice").cogroup(sent.groupBy("gid", "slice"))
-    visits = scratch.keep(visits.applyInArrow(route, "cell long, id long, v array<double>, bound double"), "visits")
-    # a cell and its visitors, both in slices: each slice of one meets each slice of the other
-    loads = scratch.keep(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(cells.select("cell", "n"), "cell"), "loads")
-    left = _sliced(visits.join(loads, "cell"), "asked", "x").select("cell", "x", _all_slices("n", "y"), "id", "v", "bound")
-    right = _sliced(placed.join(loads, "cell"), "n", "y").select("cell", "y", _all_slices("asked", "x"), "id", "v", "first")
     kind = dict(placed.dtypes)["first"]
 
     def meet(rows: pa.Table, of: pa.Table) -> pa.Table:
@@ -161,10 +165,23 @@ def neighbours(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int,
         who, to = pa.array(np.concatenate(who)), pa.array(np.concatenate(to))
         return pa.Table.from_arrays([rows.column("id").take(who), pa.array(np.concatenate(gap)), of.column("first").take(to), of.column("id").take(to)], names=["id", "gap", "first", "cand"])
 
-    found = left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInArrow(meet, f"id long, gap double, first {kind}, cand long")
-    if tolerance is not None:
-        found = found.where(F.col("gap") <= tolerance)
-    top = found.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("gap", "first", "cand"))).where(F.col("i") <= k)
+    def best(queries: DataFrame) -> DataFrame:
+        """The k nearest candidates of each query in the cells that its ``reach`` leaves, in those of the nearest pivots where it has none."""
+        dealt = _sliced(queries.join(bounded(counted, 16), "gid"), "total").select("gid", "slice", "id", "v", "reach").groupBy("gid", "slice").cogroup(sent.groupBy("gid", "slice"))
+        visits = scratch.keep(dealt.applyInArrow(route, "cell long, id long, v array<double>, bound double"), "visits")
+        # a cell and its visitors, both in slices: each slice of one meets each slice of the other
+        loads = scratch.keep(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(cells.select("cell", "n"), "cell"), "loads")
+        left = _sliced(visits.join(loads, "cell"), "asked", "x").select("cell", "x", _all_slices("n", "y"), "id", "v", "bound")
+        right = _sliced(placed.join(loads, "cell"), "n", "y").select("cell", "y", _all_slices("asked", "x"), "id", "v", "first")
+        found = left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInArrow(meet, f"id long, gap double, first {kind}, cand long")
+        if tolerance is not None:
+            found = found.where(F.col("gap") <= tolerance)
+        return found.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("gap", "first", "cand"))).where(F.col("i") <= k)
+
+    at_home = best(queries.withColumn("reach", F.lit(float("inf")))).groupBy("id").agg(F.max("gap").alias("reach"), F.count(F.lit(1)).alias("n"))
+    # fewer than k there: any bound that is a number
+    reach = scratch.keep(at_home.select("id", F.when(F.col("n") >= k, F.col("reach")).alias("reach")), "reach")
+    top = best(queries.join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float(np.finfo(float).max)))))
     lists = top.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("gap", "first", "cand"))).alias("list"))  # k entries
     return scratch.keep(lists.withColumn("whole", F.size("list") < k), "lists")
 

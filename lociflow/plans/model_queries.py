@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import sequences as S
 from lociflow.operators import anova, coverage, crossfit, grouped_fits, matching, ordinals, resampling, sampling, sparse_models, stats, tracks
-from lociflow.sources.scratch import bounded
+from lociflow.sources.scratch import Scratch, bounded
 from lociflow.sources.tables import table
 
 
@@ -40,10 +40,12 @@ def cross_fitted_gain(spark: SparkSession, sf: str) -> DataFrame:
 
 def dinucleotide_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each labelled good document an unused other one of its language with the nearest counts of letter pairs."""
-    pairs = F.col("text"), F.regexp_replace(F.translate(F.lower("text"), "aeiotnshrdlu", "ACGUACGUACGU"), "[^ACGU]", "")
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.coalesce(pairs[1], F.lit("")).alias("seq")).withColumn("v", S.dinucleotide_counts(F.col("seq")))
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
-    found = matching.match_vectors(docs.join(good, "doc_id", "left_semi"), docs.join(good, "doc_id", "left_anti"), ["lang"], "v", "doc_id")
+    # in either case; of all other letters that alone has one of these in lower case
+    pairs = S.kmer_counts(F.replace("text", F.lit("\u0130"), F.lit("i")), 2, written=("aeiotnshrdluAEIOTNSHRDLU", "ACGU" * 6))
+    scratch = Scratch(spark)
+    docs = scratch.keep(table(spark, sf, "documents").select("doc_id", "lang", pairs.alias("v")), "pairs")  # both sides are of these
+    good = bounded(table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct(), 16)
+    found = matching.match_vectors(docs.join(good, "doc_id", "left_semi"), docs.join(good, "doc_id", "left_anti"), ["lang"], "v", "doc_id", scratch=scratch)
     return found.select("lang", F.col("k").alias("doc_id"), F.col("match").alias("matched"), F.col("gap").cast("long").alias("l1"))
 
 
@@ -91,8 +93,6 @@ def paired_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """How many documents have a label, counted by the job that writes them joined."""
-    from lociflow.sources.scratch import Scratch
-
     scratch = Scratch(spark)
     joined = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
     seen = coverage.Coverage(joined, "quality", {"odd": F.col("doc_id") % 2 == 1})

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 
 import pytest
 
 from lociflow.operators import matching, sampling
+from lociflow.sources.scratch import Scratch
 
 
 def brute(positives, pool, tolerance):
@@ -54,3 +56,19 @@ def test_nothing_to_match(spark):
     assert matching.match_vectors(df.limit(0), df, ["g"], "x", "id").collect() == []
     one = df.selectExpr("g", "id", "x[0] AS v")
     assert [(r.k, r.match, r.gap) for r in sampling.match_nearest(one, one, ["g"], "v", "id", 0.5).collect()] == [(1, 1, 0.0)]
+
+
+def test_bounds_are_near_the_neighbours(spark):
+    rng = random.Random(4)
+    rows = [(0, i, [float(rng.randint(0, 100)) for _ in range(6)], i) for i in range(1_000)]
+    make = lambda rows: spark.createDataFrame(rows, "gid long, id long, v array<double>, first long")
+    scratch = Scratch(spark)
+    placed, pivots = matching.cells_of(make(rows), scratch)
+    asked = [(0, 5_000 + i, [float(rng.randint(0, 100)) for _ in range(6)], i) for i in range(40)]
+    lists = matching.neighbours(make(asked), placed, matching.summary(placed, pivots, 4, scratch), 4, None, scratch)
+    away = {q[1]: sorted((sum(abs(a - b) for a, b in zip(q[2], r[2])), r[1]) for r in rows)[:4] for q in asked}
+    assert {r.id: [(x.gap, x["first"]) for x in r.list] for r in lists.collect()} == away
+    folder = scratch.path.removeprefix("file://")
+    last = max((f"{folder}/{t}" for t in os.listdir(folder) if t.startswith("visits-")), key=os.path.getmtime)
+    bound = {r.id: r.bound for r in spark.read.parquet(last).collect()}
+    assert sum(b / away[i][-1][0] for i, b in bound.items()) / len(bound) < 1.25

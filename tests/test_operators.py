@@ -232,3 +232,13 @@ def test_sharing_shuffles_hashes_once(spark):
     found = graphs.sharing(df, "k", "g")
     assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_pairs_of_letters_that_stand_for_others(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rows = [(i, t) for i, t in enumerate([None, "", "a", "The eİrAő uL, K-t!", "xyz", "aaaEEEi.iooo" * 3])]
+    df = spark.createDataFrame(rows, "k int, s string")
+    seq = F.regexp_replace(F.translate(F.lower("s"), "aeiotnshrdlu", "ACGUACGUACGU"), "[^ACGU]", "")
+    own = S.kmer_counts(F.replace("s", F.lit("İ"), F.lit("i")), 2, written=("aeiotnshrdluAEIOTNSHRDLU", "ACGU" * 6))
+    got = df.select(own.alias("a"), S.dinucleotide_counts(F.coalesce(seq, F.lit(""))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(got[3].a) == 9
